@@ -34,14 +34,14 @@ def encode(
     )
     hidden = F.lit(K.HIDDEN)
     cells = []
-    for i, c in enumerate(features):
+    for c in features:
         is_num, is_date = c in numbers, kind[c] == DATE
         codes = date_codes(F.col(f"`{c}`")) if is_date else {p: F.lit(0) for p in "ymdw"}
         code = F.col(f"`{c}__code`") if is_num and regression != "l2" else None
         z = F.col(f"`{c}__z`") if is_num and regression == "l2" else hidden
         text = F.coalesce(F.col(f"`{c}`"), F.lit(K.NULL_TEXT)) if kind[c] == TEXT else F.lit(None)
-        cells.append(_cell(i, kind[c], text, code, z, codes, hidden))
-    filler = _cell(-1, TEXT, F.lit(K.PAD_VALUE), None, hidden, {p: F.lit(0) for p in "ymdw"}, hidden)
+        cells.append(_cell(kind[c], text, code, z, codes, hidden))
+    filler = _cell(TEXT, F.lit(K.PAD_VALUE), None, hidden, {p: F.lit(0) for p in "ymdw"}, hidden)
     row = [*keys, "row_ord", "pos", "is_query", "target", "target_delta", "truth"]
     one = rows.select(*row, "_present", F.array(*cells, filler).alias("_cells"), F.explode("columns").alias("_c"))
     at = F.when(F.col("_c.src") < 0, F.lit(len(features))).otherwise(F.col("_c.src"))
@@ -56,12 +56,13 @@ def encode(
 CELL = ("kind", "txt", "floor", "delta", "z", "y", "m", "d", "w")
 
 
-def _cell(src, kind, text, code, z, codes, hidden):
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        text.cast("string").alias("txt"),
-        (code["floor"] if code is not None else hidden).cast("double").alias("floor"),
-        (code["delta"] if code is not None else F.lit(0.0)).cast("double").alias("delta"),
-        z.cast("double").alias("z"),
-        *[codes[p].cast("int").alias(p) for p in "ymdw"],
+def _cell(kind, text, code, z, codes, hidden):
+    values = (
+        F.lit(kind),
+        text.cast("string"),
+        (code["floor"] if code is not None else hidden).cast("double"),
+        (code["delta"] if code is not None else F.lit(0.0)).cast("double"),
+        z.cast("double"),
+        *[codes[p].cast("int") for p in "ymdw"],
     )
+    return F.named_struct(*[x for name, v in zip(CELL, values) for x in (F.lit(name), v)])
