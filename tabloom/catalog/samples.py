@@ -242,6 +242,11 @@ def winsor_limits(spark, d):
     return limits.select("chunk_id", part("a", 0, "lo"), part("a", 1, "hi"), part("b", 0, "lo2"), part("b", 1, "hi2"))
 
 
+def sql_round(x):
+    """Rounded to 6 places without negative zero."""
+    return f"case when abs({x}) < 5e-7 then 0 else round({x}, 6) end"
+
+
 def sql_scaled(source, x, role, group="chunk_id"):
     """Adds m, s, z of column expression ``x`` by the rule of the role."""
     w = f"over (partition by {group})"
@@ -260,7 +265,7 @@ def sql_scaled(source, x, role, group="chunk_id"):
 
 @query(
     "standardise",
-    f"""select a.event_id, round(a.z, 6) as z_feature, round(b.z, 6) as z_target
+    f"""select a.event_id, {sql_round("a.z")} as z_feature, {sql_round("b.z")} as z_target
         from ({sql_scaled(EVENTS, SQL_TAME, "feature")}) a join ({sql_scaled(EVENTS, SQL_TAME, "target")}) b using (event_id)""",
 )
 def standardise(spark, d):
@@ -419,7 +424,7 @@ SQL_CLS = f"""select s.*, coalesce(m.code, 62) as code from ({EVENTS}) s left jo
           0.0::double as delta, code::double as truth from ({SQL_CLS})
         union all select event_id, 'bins', case when is_query then -100 else floor_code end, case when is_query then 0 else round(delta_code, 6) end, bin_code
           from ({sql_bins(EVENTS, "gappy")})
-        union all select event_id, 'l2', case when is_query then -100 else round(z, 6) end, 0, round(z, 6) from ({sql_scaled(EVENTS, "gappy", "target")})""",
+        union all select event_id, 'l2', case when is_query then -100 else {sql_round("z")} end, 0, {sql_round("z")} from ({sql_scaled(EVENTS, "gappy", "target")})""",
 )
 def encode_target(spark, d):
     rows = split_events(spark, d)

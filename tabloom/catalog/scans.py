@@ -156,7 +156,7 @@ STAGES = (("stage1", 1000, 2), ("stage2", 4000, 3))
 
 @query(
     "epoch_plan",
-    f"""select table_id, stage, epoch, epoch_seed, rows_per_sample,
+    f"""select table_id, stage, epoch, epoch_seed, rows_per_sample::bigint as rows_per_sample,
         {sql_draw("sample", "table_id", seed="epoch_seed::varchar")} as first_draw from (
         select table_id, 'stage1' as stage, 1000 as rows_per_sample, e as epoch, e + 42 as epoch_seed
           from ({COUNTS}), range(2) r(e) union all

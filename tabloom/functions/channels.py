@@ -39,59 +39,73 @@ def finite(x):
     return F.when(~F.isnan(x) & (x != F.lit(inf)) & (x != F.lit(-inf)), x)
 
 
-def number(col):
-    """Number channel: double, NaN as null, no negative zero. Infinite values stay."""
-    x = as_col(col).cast("double")
-    return F.when(F.isnan(x), None).when(x == 0, F.lit(0.0)).otherwise(x)
+_TIME_PATTERN = "^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]([.][0-9]+)?$"
 
 
-def time_seconds(col, dtype):
-    """Seconds in the day with fraction; a value that is no time of day becomes null.
+def _number_sql(c, dtype):
+    """Double; NaN as null, no negative zero. Infinite values stay."""
+    x = f"cast({c} as double)"
+    if not isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return x
+    return f"case when isnan({x}) then null when {x} = 0 then 0D else {x} end"
 
-    Takes ``HH:mm:ss[.f]`` strings, timestamps, or whole microseconds since midnight.
-    """
-    c = as_col(col)
+
+def _time_sql(c, dtype):
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return (F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c)).cast("double")
+        return f"cast(hour({c}) * 3600 + minute({c}) * 60 + extract(second from {c}) as double)"
     if isinstance(dtype, (T.LongType, T.IntegerType)):
-        day = 86400 * 1000000
-        return F.when((c >= 0) & (c < day), c.cast("double") / 1000000)
-    ok = c.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?$")
-    part = [F.split_part(c, F.lit(":"), F.lit(i)) for i in (1, 2, 3)]
-    return F.when(
-        ok,
-        part[0].try_cast("double") * 3600
-        + part[1].try_cast("double") * 60
-        + part[2].try_cast("double"),
-    )
-
-
-def raw_text(col, dtype):
-    """Text of a value with nulls kept. Booleans read ``True``/``False``; nested values as JSON."""
-    c = as_col(col)
+        return f"case when {c} >= 0 and {c} < 86400000000 then {c} / 1000000D end"
+    part = [f"try_cast(split_part({c}, ':', {i}) as double)" for i in (1, 2, 3)]
+    total = f"{part[0]} * 3600 + {part[1]} * 60 + {part[2]}"
+    return f"case when {c} rlike '{_TIME_PATTERN}' then {total} end"
+
+
+def _text_sql(c, dtype):
     if isinstance(dtype, T.StringType):
         return c
     if isinstance(dtype, T.BooleanType):
-        return F.initcap(c.cast("string"))
+        return f"initcap(cast({c} as string))"
     if is_nested(dtype):
-        return F.to_json(c)
-    return c.cast("string")
+        return f"to_json({c})"
+    return f"cast({c} as string)"
+
 
+def quoted(name):
+    return "`" + name.replace("`", "``") + "`"
 
-def text(col, dtype):
-    """Text channel: like ``raw_text`` with null spelled out."""
-    return F.coalesce(raw_text(col, dtype), F.lit(NULL_TEXT))
 
+def channel_sql(name, dtype, kind):
+    """SQL text of a column's null-preserving channel value: double, string or timestamp_ntz.
 
-def channel_value(col, dtype, kind):
-    """Null-preserving value of a column in its channel: double, string or timestamp_ntz."""
+    Text keeps one expression per column in the plan of wide tables, where building column
+    objects one by one would dominate.
+    """
+    c = quoted(name)
     if kind == NUM:
-        return number(col)
+        return _number_sql(c, dtype)
     if kind == TIME:
-        return time_seconds(col, dtype)
+        return _time_sql(c, dtype)
     if kind == DATE:
-        return as_col(col).cast("timestamp_ntz")
-    return raw_text(col, dtype)
+        return f"cast({c} as timestamp_ntz)"
+    return _text_sql(c, dtype)
+
+
+def channel_value(name, dtype, kind):
+    return F.expr(channel_sql(name, dtype, kind))
+
+
+def time_seconds(name, dtype):
+    """Seconds in the day with fraction; a value that is no time of day becomes null.
+
+    Takes ``HH:mm:ss[.f]`` strings, timestamps, or whole microseconds since midnight.
+    """
+    return channel_value(name, dtype, TIME)
+
+
+def text(name, dtype):
+    """Text of a value; null is spelled out. Booleans read ``True``/``False``, nested values as
+    JSON."""
+    return F.coalesce(channel_value(name, dtype, TEXT), F.lit(NULL_TEXT))
 
 
 def date_codes(ts):

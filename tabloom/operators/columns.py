@@ -15,7 +15,7 @@ def normalise(rows, times=(), exclude=()):
     fields = features_of(rows, exclude)
     kind = kinds(T.StructType(fields), times)
     names = {f.name for f in fields}
-    values = [channel_value(f"`{f.name}`", f.dataType, kind[f.name]).alias(f.name) for f in fields]
+    values = [channel_value(f.name, f.dataType, kind[f.name]).alias(f.name) for f in fields]
     rest = [F.col(f"`{c}`") for c in rows.columns if c not in names]
     return rows.select(*rest, *values), kind
 

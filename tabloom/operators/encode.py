@@ -52,79 +52,75 @@ def clamp_inf(rows, columns, keys=SAMPLE):
         for side, pick in (("c", context), ("q", query)):
             aggs[_name(c, f"{side}lo")] = F.min(pick(f))
             aggs[_name(c, f"{side}hi")] = F.max(pick(f))
-    out = over_sample(rows, keys, **aggs)
+    added = {}
     for c in columns:
         x = F.col(f"`{c}`")
         lo, hi = (
             F.when(F.col("is_query"), F.col(_name(c, f"q{e}"))).otherwise(F.col(_name(c, f"c{e}")))
             for e in ("lo", "hi")
         )
-        out = out.withColumn(_name(c, "clamped"), F.when(lo.isNotNull(), clip(x, lo - 1, hi + 1)))
-    return out.drop(*aggs)
+        added[_name(c, "clamped")] = F.when(lo.isNotNull(), clip(x, lo - 1, hi + 1))
+    return over_sample(rows, keys, **aggs).withColumns(added).drop(*aggs)
 
 
-def bin_edges(x, bins=K.NUM_BINS, scale=None):
-    """Aggregate: minimum, the quantiles at (2i+1)/(2·bins), maximum, over context values.
-
-    ``scale`` rounds them, for comparison with engines that differ in the last bit.
-    """
-    c = context(x)
-    at = [(2 * i + 1) / (2 * bins) for i in range(bins)]
-    inner = F.percentile(c, at)
-    return F.min(c), inner, F.max(c), scale
+def bin_quantiles(x, bins=K.NUM_BINS):
+    """Aggregate: the context quantiles at (2i+1)/(2·bins)."""
+    return F.percentile(context(x), [(2 * i + 1) / (2 * bins) for i in range(bins)])
 
 
-def with_edges(rows, columns, keys=SAMPLE, bins=K.NUM_BINS, scale=None):
-    """Adds ``<col>__edges``: bins + 2 sorted numbers, or null without context values."""
-    aggs = {}
-    for c in columns:
-        lo, mid, hi, _ = bin_edges(F.col(f"`{c}`"), bins)
-        aggs.update({_name(c, "lo"): lo, _name(c, "mid"): mid, _name(c, "hi"): hi})
-    out = over_sample(rows, keys, **aggs)
-    for c in columns:
-        edges = join_edges(*(F.col(_name(c, s)) for s in ("lo", "mid", "hi")), scale)
-        out = out.withColumn(_name(c, "edges"), edges)
-    return out.drop(*aggs)
-
-
-def join_edges(lo, mid, hi, scale=None):
-    edges = F.when(lo.isNotNull(), F.concat(F.array(lo), mid, F.array(hi)))
-    return edges if scale is None else F.transform(edges, lambda e: F.round(e, scale))
+def _rounded(values, scale):
+    """Quantiles rounded for comparison with engines that differ in the last bit."""
+    if scale is None:
+        return values
+    unit = F.lit(float(10**scale))
+    return F.transform(values, lambda v: F.rint(v * unit) / unit)
 
 
 def sample_edges(rows, column, keys=SAMPLE, bins=K.NUM_BINS, scale=None):
-    """Edges as a side table, one row per sample."""
-    lo, mid, hi, _ = bin_edges(F.col(f"`{column}`"), bins)
-    stats = rows.groupBy(*keys).agg(lo.alias("_lo"), mid.alias("_mid"), hi.alias("_hi"))
-    return stats.select(
-        *keys, join_edges(F.col("_lo"), F.col("_mid"), F.col("_hi"), scale).alias("edges")
+    """Bin edges as a side table, one row per sample: minimum, quantiles, maximum of the context."""
+    c = context(F.col(f"`{column}`"))
+    stats = rows.groupBy(*keys).agg(
+        F.array(F.min(c)).alias("_lo"),
+        bin_quantiles(F.col(f"`{column}`"), bins).alias("_mid"),
+        F.array(F.max(c)).alias("_hi"),
     )
+    return stats.select(*keys, _rounded(F.concat("_lo", "_mid", "_hi"), scale).alias("edges"))
 
 
-def bin_of(x, edges, bins=K.NUM_BINS):
-    """Struct (floor, delta, bin) of a value among edges; a missing value has floor 63."""
-    below = F.size(F.filter(edges, lambda e: e <= x)) - 1
-    i = F.least(F.greatest(below, F.lit(1)), F.lit(bins - 1))
-    lower, upper = F.get(edges, i), F.get(edges, i + 1)
-    delta = F.least(
-        F.greatest((x - lower) / F.greatest(upper - lower, F.lit(1e-10)), F.lit(0.0)), F.lit(1.0)
-    )
-    known = x.isNotNull() & edges.isNotNull()
-    return F.struct(
-        F.when(known, i - 1).otherwise(F.lit(K.MISSING_BIN)).cast("int").alias("floor"),
-        F.when(known, delta).otherwise(F.lit(0.0)).alias("delta"),
-        F.when(known, F.rint(i - 1 + delta)).cast("int").alias("bin"),
-    )
+def code_bins(rows, columns, keys=SAMPLE, bins=K.NUM_BINS, scale=None):
+    """Adds ``<col>__code`` (floor, delta, bin) by inner edges; a missing value has floor 63.
+
+    The outer edges (minimum and maximum) cannot change the result: a value below the first inner
+    edge is in the first bin with or without them, one above the last in the last. Edges and
+    position are columns of their own steps, so that each is evaluated once per cell.
+    """
+    mids, places, codes = {}, {}, {}
+    for c in columns:
+        mids[_name(c, "mid")] = bin_quantiles(F.col(f"`{c}`"), bins)
+        x, mid, i = F.col(f"`{c}`"), F.col(f"`{_name(c, 'mid')}`"), F.col(f"`{_name(c, 'at')}`")
+        below = F.size(F.filter(mid, lambda e, x=x: e <= x))
+        place = F.least(F.greatest(below, F.lit(1)), F.lit(bins - 1))
+        places[_name(c, "at")] = F.when(x.isNotNull() & mid.isNotNull(), place)
+        lower, upper = F.get(mid, i - 1), F.get(mid, i)
+        inside = (x - lower) / F.greatest(upper - lower, F.lit(1e-10))
+        delta = F.coalesce(F.least(F.greatest(inside, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+        codes[_name(c, "code")] = F.struct(
+            F.coalesce(i - 1, F.lit(K.MISSING_BIN)).cast("int").alias("floor"),
+            F.when(i.isNotNull(), delta).otherwise(F.lit(0.0)).alias("delta"),
+            F.when(i.isNotNull(), F.rint(i - 1 + delta)).cast("int").alias("bin"),
+        )
+    out = over_sample(rows, keys, **mids)
+    if scale is not None:
+        out = out.withColumns({m: _rounded(F.col(f"`{m}`"), scale) for m in mids})
+    return out.withColumns(places).withColumns(codes).drop(*mids, *places)
 
 
 def quantile_bin(rows, columns, keys=SAMPLE, bins=K.NUM_BINS, scale=None):
-    """Adds ``<col>__code`` (floor, delta, bin) for each numeric column."""
-    out = clamp_inf(rows, columns, keys)
+    """Adds ``<col>__code`` for each numeric column, infinite values drawn in first."""
     clamped = [_name(c, "clamped") for c in columns]
-    out = with_edges(out, clamped, keys, bins, scale)
-    for c, k in zip(columns, clamped):
-        out = out.withColumn(_name(c, "code"), bin_of(F.col(f"`{k}`"), F.col(f"`{_name(k, 'edges')}`"), bins))
-    return out.drop(*clamped, *[_name(k, "edges") for k in clamped])
+    out = code_bins(clamp_inf(rows, columns, keys), clamped, keys, bins, scale)
+    named = {_name(k, "code"): _name(c, "code") for c, k in zip(columns, clamped)}
+    return out.withColumnsRenamed(named).drop(*clamped)
 
 
 # ---- standard scaling ---------------------------------------------------------------------
@@ -143,11 +139,11 @@ def tame(x):
 def fill_mean(rows, columns, keys=SAMPLE):
     """Missing feature values become the context mean of the unclipped values: ``<col>__filled``."""
     means = {_name(c, "fill"): F.avg(context(finite(F.col(f"`{c}`")))) for c in columns}
-    out = over_sample(rows, keys, **means)
-    for c in columns:
-        filled = F.coalesce(finite(F.col(f"`{c}`")), F.col(_name(c, "fill")))
-        out = out.withColumn(_name(c, "filled"), filled)
-    return out.drop(*means)
+    filled = {
+        _name(c, "filled"): F.coalesce(finite(F.col(f"`{c}`")), F.col(_name(c, "fill")))
+        for c in columns
+    }
+    return over_sample(rows, keys, **means).withColumns(filled).drop(*means)
 
 
 def winsor_limits(x, mode="valid"):
@@ -168,33 +164,33 @@ def standardise(rows, columns, keys=SAMPLE, role="feature", mode="valid"):
     else:
         out, source = rows, {c: tame(F.col(f"`{c}`")) for c in columns}
     out = over_sample(out, keys, **{_name(c, "lim"): winsor_limits(source[c], mode) for c in columns})
+    clipped = {}
     for c in columns:
         lim = F.col(_name(c, "lim"))
-        out = out.withColumn(_name(c, "clip"), clip(source[c], F.get(lim, F.lit(0)), F.get(lim, F.lit(1))))
+        clipped[_name(c, "clip")] = clip(source[c], F.get(lim, F.lit(0)), F.get(lim, F.lit(1)))
+    out = out.withColumns(clipped)
     if role == "target":
         out = over_sample(
             out, keys, **{_name(c, "cm"): F.avg(context(F.col(_name(c, "clip")))) for c in columns}
         )
-        for c in columns:
-            out = out.withColumn(
-                _name(c, "clip"), F.coalesce(F.col(_name(c, "clip")), F.col(_name(c, "cm")))
-            )
+        out = out.withColumns(
+            {_name(c, "clip"): F.coalesce(_name(c, "clip"), _name(c, "cm")) for c in columns}
+        )
     aggs = {}
     for c in columns:
         x = context(F.col(_name(c, "clip")))
         aggs[_name(c, "m")], aggs[_name(c, "s")] = F.avg(x), F.stddev_pop(x)
         aggs[_name(c, "k")] = F.count(x)
-    out = over_sample(out, keys, **aggs)
+    out, scaled = over_sample(out, keys, **aggs), {}
     for c in columns:
         m, s, k = (F.col(_name(c, e)) for e in ("m", "s", "k"))
         var = s * s
         flat = var <= k * EPS * var + (k * m * EPS) * (k * m * EPS)
         z = (F.col(_name(c, "clip")) - m) / F.when(flat, F.lit(1.0)).otherwise(s)
-        out = (
-            out.withColumn(_name(c, "z"), F.coalesce(F.when(k > 0, z), F.lit(0.0)))
-            .withColumn(_name(c, "mean"), F.coalesce(m, F.lit(0.0)))
-            .withColumn(_name(c, "std"), F.when(k > 0, s).otherwise(F.lit(1.0)))
-        )
+        scaled[_name(c, "z")] = F.coalesce(F.when(k > 0, z), F.lit(0.0))
+        scaled[_name(c, "mean")] = F.coalesce(m, F.lit(0.0))
+        scaled[_name(c, "std")] = F.when(k > 0, s).otherwise(F.lit(1.0))
+    out = out.withColumns(scaled)
     extra = ["filled", "lim", "clip", "cm", "m", "s", "k"]
     return out.drop(*[_name(c, e) for c in columns for e in extra])
 
@@ -284,11 +280,10 @@ def encode_target(
             extra = [_name(target, e) for e in ("z", "mean", "std")]
         else:
             x = finite(F.col(f"`{target}`"))
-            out = with_edges(rows.withColumn("_y", x), ["_y"], keys, bins, scale)
-            out = out.withColumn("_code", bin_of(F.col("_y"), F.col("_y__edges"), bins))
-            value, delta = F.col("_code.floor").cast("double"), F.col("_code.delta")
-            label = F.col("_code.bin").cast("double")
-            extra = ["_y", "_y__edges", "_code"]
+            out = code_bins(rows.withColumn("_y", x), ["_y"], keys, bins, scale)
+            value, delta = F.col("_y__code.floor").cast("double"), F.col("_y__code.delta")
+            label = F.col("_y__code.bin").cast("double")
+            extra = ["_y", "_y__code"]
     elif task == "classification":
         clustering = classification != "cross-entropy"
         counts = label_counts(rows, target, keys, None if clustering else K.KEPT_LABELS)

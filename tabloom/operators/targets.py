@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.draws import draw, draw_bucket
+from ..sources.shared import stage
 from . import profile as P
 from .ranking import bucketed_rank
 
@@ -121,6 +122,8 @@ def build_specs(
     kept = P.filter_small(P.profile(probe_cells), min_rows)
     chosen = choose_target(P.rule_candidates(kept), seed)
     specs = infer_task(chosen.join(tables.select("table_id", "path"), "table_id"), keyword)
+    # One short row per table, used several times below: written once instead of profiling again.
+    specs = stage(specs, "specs")
     specs = balance(specs, seed) if balanced else specs.withColumn("replica", F.lit(0).cast("bigint"))
     return order_specs(specs, seed)
 

@@ -43,14 +43,18 @@ def encode(
         cells.append(_cell(kind[c], text, code, z, codes, hidden))
     filler = _cell(TEXT, F.lit(K.PAD_VALUE), None, hidden, {p: F.lit(0) for p in "ymdw"}, hidden)
     row = [*keys, "row_ord", "pos", "is_query", "target", "target_delta", "truth"]
-    one = rows.select(*row, "_present", F.array(*cells, filler).alias("_cells"), F.explode("columns").alias("_c"))
-    at = F.when(F.col("_c.src") < 0, F.lit(len(features))).otherwise(F.col("_c.src"))
-    seen = (F.col("_c.src") < 0) | F.get("_present", F.col("_c.src"))
-    one = one.where(seen).select(
-        *row, F.col("_c.pos").alias("col_pos"), F.col("_c.col").alias("col"),
-        F.col("_c.mask").alias("mask"), F.get("_cells", at).alias("_cell"),
+    rows = rows.select(*row, "columns", "_present", F.array(*cells, filler).alias("_cells"))
+    # Each row's cells are put in feature order on the spot; nothing is copied per cell.
+    listed = F.filter("columns", lambda c: (c["src"] < 0) | F.get("_present", c["src"]))
+    at = lambda c: F.when(c["src"] < 0, F.lit(len(features))).otherwise(c["src"])
+    ordered = F.transform(
+        listed,
+        lambda c: F.named_struct(
+            F.lit("col_pos"), c["pos"], F.lit("col"), c["col"], F.lit("mask"), c["mask"],
+            F.lit("_cell"), F.get("_cells", at(c)),
+        ),
     )
-    return one.select(*row, "col_pos", "col", "mask", *[F.col(f"_cell.{n}").alias(n) for n in CELL])
+    return rows.select(*row, F.inline(ordered)).select(*row, "col_pos", "col", "mask", "_cell.*")
 
 
 CELL = ("kind", "txt", "floor", "delta", "z", "y", "m", "d", "w")

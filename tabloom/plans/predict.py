@@ -7,7 +7,7 @@ from ..functions.vectors import clipped_logit, softmax_array
 from ..operators import encode as E
 from ..operators import sampling as S
 from ..operators import similarity as M
-from ..sources.shared import fresh_path
+from ..sources.shared import stage
 
 
 def draw_context(context, bagging, m, seed, index="row_ord", table="predict"):
@@ -19,9 +19,7 @@ def draw_context(context, bagging, m, seed, index="row_ord", table="predict"):
     keyed = context.withColumn("_t", F.lit(table))
     bags = K.MAX_AUTO_BAGS if bagging == "auto" else bagging
     drawn = S.make_bags(keyed, bagging, m, seed, ["_t"], index, max_groups=1).drop("_t")
-    path = fresh_path(context.sparkSession, "context")
-    drawn.write.parquet(path)
-    held = context.sparkSession.read.parquet(path)
+    held = stage(drawn, "context")
     return int(held.agg(F.max("bag")).first()[0]) + 1, bags * m, held
 
 

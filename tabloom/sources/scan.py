@@ -5,10 +5,12 @@ import base64
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+from pyspark.errors import PySparkTypeError
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from ..functions.channels import DATE, NUM, TEXT, TIME, channel_value, kinds
+from ..functions.channels import DATE, NUM, TEXT, TIME, channel_sql, kinds
 from .manifest import _check_root, list_tables, table_id_of
 
 ROW_COLUMNS = ("table_id", "chunk_id", "row_ord")
@@ -89,23 +91,21 @@ def to_cells(rows, times=(), exclude=()):
     """
     fields = features_of(rows, exclude)
     kind = kinds(T.StructType(fields), times)
-    structs = []
-    for i, f in enumerate(fields):
-        k = kind[f.name]
-        value = channel_value(f"`{f.name}`", f.dataType, k)
-        is_num = k in (NUM, TIME)
-        structs.append(
-            F.struct(
-                F.lit(f.name).alias("col"),
-                F.lit(i).alias("col_ord"),
-                F.lit(k).alias("kind"),
-                (value if is_num else F.lit(None).cast("double")).alias("num"),
-                (value if k == TEXT else F.lit(None).cast("string")).alias("txt"),
-                (value if k == DATE else F.lit(None).cast("timestamp_ntz")).alias("ts"),
-            )
-        )
+    cells = ", ".join(_cell_sql(i, f, kind[f.name]) for i, f in enumerate(fields))
     ids = [c for c in ROW_COLUMNS if c in rows.columns]
-    return rows.select(*ids, F.inline(F.array(*structs)))
+    return rows.selectExpr(*ids, f"inline(array({cells}))")
+
+
+def _cell_sql(ordinal, field, kind):
+    value = channel_sql(field.name, field.dataType, kind)
+    name = field.name.replace("\\", "\\\\").replace("'", "\\'")
+    num = value if kind in (NUM, TIME) else "cast(null as double)"
+    txt = value if kind == TEXT else "cast(null as string)"
+    ts = value if kind == DATE else "cast(null as timestamp_ntz)"
+    return (
+        f"named_struct('col', '{name}', 'col_ord', {ordinal}, 'kind', '{kind}', "
+        f"'num', {num}, 'txt', {txt}, 'ts', {ts})"
+    )
 
 
 def _open(path):
@@ -143,34 +143,49 @@ def footer_schemas(tables):
 def schema_groups(spark, root, tables=None):
     """Split a corpus by schema: ([(schema, [paths])], [unreadable paths]).
 
-    Paths and footers are file metadata, which Spark's driver has to know to plan any scan.
-    One scan per schema replaces one plan per file.
+    Paths and distinct schemas are what Spark's driver has to know to plan any scan; no rows are
+    read. One scan per schema replaces one plan per file.
     """
     tables = list_tables(spark, root) if tables is None else tables
+    keyed = footer_schemas(tables).withColumn("_print", F.xxhash64("schema_key")).persist()
+    firsts = keyed.where("schema_key is not null").groupBy("_print").agg(
+        F.any_value("schema_key").alias("schema_key"), F.min("path").alias("path")
+    )
+    schemas = {r._print: _spark_schema(spark, r.schema_key, r.path) for r in firsts.collect()}
     groups, unreadable = {}, []
-    for row in footer_schemas(tables).toLocalIterator():
-        if row.schema_key is None:
-            unreadable.append(row.path)
+    for path, key, known in keyed.select("path", "_print", F.isnotnull("schema_key")).collect():
+        if known:
+            groups.setdefault(key, []).append(path)
         else:
-            groups.setdefault(row.schema_key, []).append(row.path)
-    return [(k, sorted(p)) for k, p in sorted(groups.items())], sorted(unreadable)
+            unreadable.append(path)
+    keyed.unpersist()
+    ordered = sorted(groups.items(), key=lambda g: min(g[1]))
+    return [(schemas[k], sorted(p)) for k, p in ordered], sorted(unreadable)
+
+
+def _spark_schema(spark, key, path):
+    """Spark schema of a serialised footer schema; types Arrow and Spark do not share are left to
+    Spark's own reader."""
+    arrow = pa.ipc.read_schema(pa.py_buffer(base64.b64decode(key)))
+    try:
+        return from_arrow_schema(arrow, prefer_timestamp_ntz=True)
+    except PySparkTypeError:
+        return spark.read.parquet(path).schema
 
 
 def corpus_tables(spark, root, tables=None):
     """One scanned frame per schema of the corpus."""
     groups, _ = schema_groups(spark, root, tables)
-    frames = []
-    for _, paths in groups:
-        schema = spark.read.parquet(paths[0]).schema
-        frames.append(scan(spark, root, paths, schema))
-    return frames
+    return [scan(spark, root, paths, schema) for schema, paths in groups]
 
 
 def union_all(frames):
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    """Union by name, halving: the plan's depth grows with the logarithm of the frame count."""
+    frames = list(frames)
+    while len(frames) > 1:
+        pairs = [frames[i : i + 2] for i in range(0, len(frames), 2)]
+        frames = [p[0].unionByName(p[1]) if len(p) == 2 else p[0] for p in pairs]
+    return frames[0]
 
 
 def corpus_cells(frames, size, min_rows=1, probe=False, times=()):

@@ -26,3 +26,10 @@ def shared_dir(spark):
 def fresh_path(spark, name):
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df, name):
+    """Write a frame below the shared folder and read it back: computed once, lineage cut."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
