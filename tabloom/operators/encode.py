@@ -87,6 +87,10 @@ def sample_edges(rows, column, keys=SAMPLE, bins=K.NUM_BINS, scale=None):
     return stats.select(*keys, _rounded(F.concat("_lo", "_mid", "_hi"), scale).alias("edges"))
 
 
+def _count_up_to(edges, x):
+    return F.size(F.filter(edges, lambda e: e <= x))
+
+
 def code_bins(rows, columns, keys=SAMPLE, bins=K.NUM_BINS, scale=None):
     """Adds ``<col>__code`` (floor, delta, bin) by inner edges; a missing value has floor 63.
 
@@ -98,8 +102,7 @@ def code_bins(rows, columns, keys=SAMPLE, bins=K.NUM_BINS, scale=None):
     for c in columns:
         mids[_name(c, "mid")] = bin_quantiles(F.col(f"`{c}`"), bins)
         x, mid, i = F.col(f"`{c}`"), F.col(f"`{_name(c, 'mid')}`"), F.col(f"`{_name(c, 'at')}`")
-        below = F.size(F.filter(mid, lambda e, x=x: e <= x))
-        place = F.least(F.greatest(below, F.lit(1)), F.lit(bins - 1))
+        place = F.least(F.greatest(_count_up_to(mid, x), F.lit(1)), F.lit(bins - 1))
         places[_name(c, "at")] = F.when(x.isNotNull() & mid.isNotNull(), place)
         lower, upper = F.get(mid, i - 1), F.get(mid, i)
         inside = (x - lower) / F.greatest(upper - lower, F.lit(1e-10))
