@@ -9,7 +9,7 @@ from ..operators import profile as P
 from ..operators import sampling as S
 from ..operators import targets as T
 from ..sources import guards, manifest, scan, sink
-from ..sources.shared import fresh_path
+from ..sources.shared import fresh_path, stage
 from .registry import (
     SEED,
     TABLES,
@@ -431,7 +431,7 @@ RARE = f"select * from ({ALL_SPECS}) where task = 'regression' or table_id like
 @query("balance_tasks", f"select table_id, col, task, replica::bigint as replica from ({_balanced_sql(RARE)})")
 def balance_tasks(spark, d):
     rare = (F.col("task") == "regression") | F.col("table_id").rlike("^(part|orders)")
-    return T.balance(all_specs(spark, d).where(rare), SEED).select("table_id", "col", "task", "replica")
+    return T.balance(stage(all_specs(spark, d).where(rare), "specs"), SEED).select("table_id", "col", "task", "replica")
 
 
 def _ordered_sql(specs):
@@ -441,7 +441,7 @@ def _ordered_sql(specs):
 
 @query("shuffle_specs", f"select table_id, col, spec_idx from ({_ordered_sql(f'select *, 0 as replica from ({ALL_SPECS})')})")
 def shuffle_specs(spark, d):
-    specs = all_specs(spark, d).withColumn("replica", F.lit(0).cast("bigint"))
+    specs = stage(all_specs(spark, d), "specs").withColumn("replica", F.lit(0).cast("bigint"))
     return T.order_specs(specs, SEED).select("table_id", "col", "spec_idx")
 
 
@@ -464,7 +464,7 @@ def target_specs(spark, d):
           select distinct table_id, row_ord // 1000 as chunk_id from ({sql_numbered()})) c using (table_id)""",
 )
 def spec_replay(spark, d):
-    specs = T.balance(chosen_targets(spark, d).drop("kind"), SEED)
+    specs = T.balance(stage(chosen_targets(spark, d).drop("kind"), "specs"), SEED)
     parts = [scan.cut_chunks(f, B).select("table_id", "chunk_id") for f in corpus(spark, d)]
     replayed = T.replay_specs(specs, scan.union_all(parts), SEED)
     return replayed.select("table_id", "col", "chunk_id", "replica", "sample_draw")

@@ -7,6 +7,12 @@ from .draws import as_col
 NORM_FLOOR = 1e-12
 
 
+def let(value, body):
+    """``body(value)`` with the value computed once. Inside a lambda, an outer expression would be
+    computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_double(vec):
     return as_col(vec).cast("array<double>")
 
@@ -16,13 +22,6 @@ def dot(a, b):
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def unit(vec):
-    """The vector over its norm, with the squared norm not below the floor."""
-    v = to_double(vec)
-    norm = F.sqrt(F.greatest(dot(v, v), F.lit(NORM_FLOOR)))
-    return F.transform(v, lambda x: x / norm)
-
-
 def cosine(a, b):
     size = lambda v: F.sqrt(F.greatest(dot(v, v), F.lit(NORM_FLOOR)))
     return dot(a, b) / (size(a) * size(b))
@@ -42,7 +41,15 @@ def clipped_logit(p, eps=1e-6):
 
 def softmax_array(scores):
     """Softmax over an array column, shifted by its maximum. Null entries count as absent."""
-    top = F.array_max(scores)
-    weights = F.transform(scores, lambda s: F.coalesce(F.exp(s - top), F.lit(0.0)))
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(weights, lambda x: x / total)
+
+    def share(weights):
+        total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
+        return let(total, lambda t: F.transform(weights, lambda x: x / t))
+
+    def weigh(held):
+        return let(
+            F.array_max(held),
+            lambda top: F.transform(held, lambda s: F.coalesce(F.exp(s - top), F.lit(0.0))),
+        )
+
+    return let(scores, lambda held: let(weigh(held), share))

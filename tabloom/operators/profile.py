@@ -17,9 +17,10 @@ def value_key(kind="kind"):
 DIGEST_CHARS = 64
 
 
-def digest(value):
+def digest(txt):
     """Stand-in of a long text for counting distinct values, so that texts are not shuffled."""
-    return F.concat_ws(":", F.char_length(value).cast("string"), F.sha2(value, 256))
+    short = F.concat_ws(":", F.char_length(txt).cast("string"), F.sha2(txt, 256))
+    return F.when(F.char_length(txt) > DIGEST_CHARS, short).otherwise(txt)
 
 
 def profile(cells, keys=("table_id",)):
@@ -27,21 +28,24 @@ def profile(cells, keys=("table_id",)):
 
     Two aggregations: by value, then by column. Both combine before shuffling, so a hot value or
     a huge column costs one partial row per task, and no set of values is ever held in memory.
+    Values are grouped in their own type.
     """
-    value = value_key()
-    chars = F.when(F.col("kind") == TEXT, F.char_length(value))
+    txt = F.col("txt")
     by_value = (
-        cells.withColumn("_chars", chars)
-        .withColumn("_value", F.when(F.col("_chars") > DIGEST_CHARS, digest(value)).otherwise(value))
-        .groupBy(*keys, "col", "col_ord", "kind", "_value")
+        cells.select(
+            *keys, "col", "col_ord", "kind", "num", "ts",
+            digest(txt).alias("txt"),
+            F.coalesce(F.char_length(txt), F.lit(0)).alias("_chars"),
+        )
+        .groupBy(*keys, "col", "col_ord", "kind", "num", "ts", "txt")
         .agg(F.count(F.lit(1)).alias("_n"), F.max("_chars").alias("_chars"))
     )
-    seen = F.col("_value").isNotNull()
+    seen = F.col("num").isNotNull() | F.col("ts").isNotNull() | F.col("txt").isNotNull()
     out = by_value.groupBy(*keys, "col", "col_ord", "kind").agg(
         F.sum("_n").alias("n_rows"),
         F.coalesce(F.sum(F.when(seen, F.col("_n"))), F.lit(0)).cast("bigint").alias("n_present"),
-        F.count("_value").alias("n_distinct"),
-        F.coalesce(F.max("_chars"), F.lit(0)).cast("bigint").alias("max_chars"),
+        F.count_if(seen).alias("n_distinct"),
+        F.max("_chars").cast("bigint").alias("max_chars"),
     )
     return (
         out.withColumn("null_ratio", (F.col("n_rows") - F.col("n_present")) / F.col("n_rows"))
@@ -74,8 +78,8 @@ def filter_small(profiled, min_rows=K.MIN_PROBE_ROWS):
 
 
 def table_widths(profiled, keys=("table_id",)):
-    """Feature count (columns less the target) per table."""
-    return profiled.groupBy(*keys).agg((F.count_distinct("col") - 1).alias("n_features"))
+    """Feature count (columns less the target) per table: the highest column number, from 0."""
+    return profiled.groupBy(*keys).agg((F.max("col_ord")).cast("bigint").alias("n_features"))
 
 
 def filter_wide(profiled, max_features, keys=("table_id",)):

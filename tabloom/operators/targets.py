@@ -77,6 +77,7 @@ def _dense(specs, keys, purpose, seed, out):
 def balance(specs, seed):
     """Repeat random classification specs until there are as many as regression specs.
 
+    The specs are read several times: pass a written table, not a plan that profiles a corpus.
     Applies only when both tasks occur and classification is the rarer one. The extra copies get
     replica numbers 1, 2, …; originals are replica 0.
     """

@@ -134,14 +134,12 @@ def _footer_schemas(batches):
 
 def footer_schemas(tables):
     """Adds schema_key, read from each file's footer in parallel; null where it is unreadable."""
-    listed = tables.select("table_id", "path")
-    return listed.mapInArrow(
-        _footer_schemas, "table_id string, path string, schema_key string"
-    )
+    listed = tables.select("path", "length")
+    return listed.mapInArrow(_footer_schemas, "path string, length bigint, schema_key string")
 
 
 def schema_groups(spark, root, tables=None):
-    """Split a corpus by schema: ([(schema, [paths])], [unreadable paths]).
+    """Split a corpus by schema: ([(schema, [paths], bytes)], [unreadable paths]).
 
     Paths and distinct schemas are what Spark's driver has to know to plan any scan; no rows are
     read. One scan per schema replaces one plan per file.
@@ -153,14 +151,16 @@ def schema_groups(spark, root, tables=None):
     )
     schemas = {r._print: _spark_schema(spark, r.schema_key, r.path) for r in firsts.collect()}
     groups, unreadable = {}, []
-    for path, key, known in keyed.select("path", "_print", F.isnotnull("schema_key")).collect():
+    found = keyed.select("path", "length", "_print", F.isnotnull("schema_key"))
+    for path, length, key, known in found.collect():
         if known:
-            groups.setdefault(key, []).append(path)
+            groups.setdefault(key, []).append((path, length))
         else:
             unreadable.append(path)
     keyed.unpersist()
     ordered = sorted(groups.items(), key=lambda g: min(g[1]))
-    return [(schemas[k], sorted(p)) for k, p in ordered], sorted(unreadable)
+    listed = [(schemas[k], sorted(p for p, _ in g), sum(n for _, n in g)) for k, g in ordered]
+    return listed, sorted(unreadable)
 
 
 def _spark_schema(spark, key, path):
@@ -176,7 +176,18 @@ def _spark_schema(spark, key, path):
 def corpus_tables(spark, root, tables=None):
     """One scanned frame per schema of the corpus."""
     groups, _ = schema_groups(spark, root, tables)
-    return [scan(spark, root, paths, schema) for schema, paths in groups]
+    return [spread(scan(spark, root, p, schema), len(p), size) for schema, p, size in groups]
+
+
+def spread(rows, n_files, n_bytes, worth=4 << 20):
+    """Spread a table of very few files over the cores. A row group is read by one task, so a
+    single small file would keep all later steps of its stage on one core. Larger inputs have
+    splits enough and are left alone."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    limit = 128 << 20
+    if n_bytes < worth or n_files >= cores or n_bytes > limit * cores:
+        return rows
+    return rows.repartition(cores, "row_ord")
 
 
 def union_all(frames):
