@@ -397,13 +397,9 @@ def label_encode(spark, d):
     return out.select("event_id", big("code"))
 
 
-@query("class_list", "select props as label, row_number() over (order by props) - 1 as idx from (select distinct props from events)")
+@query("class_list", "select distinct props as label from events")
 def class_list(spark, d):
-    rows = table(spark, d, "events")
-    listed = E.classes(rows, "props").agg(F.sort_array(F.collect_list("label")).alias("l"))
-    return listed.select(F.posexplode("l").alias("idx", "label")).select("label", big("idx"))
-
-
+    return E.classes(table(spark, d, "events"), "props")
 
 
 def sql_codes(source, label, chunk="chunk_id", name="events"):

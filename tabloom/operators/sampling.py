@@ -88,12 +88,18 @@ def stack_context_query(context, query):
     )
 
 
-def query_chunks(rows, size=None):
-    """``query_chunk`` of each query row of a split sample; by default the whole query is one."""
-    if size is not None and int(size) <= 0:
+def query_chunk_of(size=None):
+    """Number of the query chunk a query row of a split sample falls in; by default all in one."""
+    if size is None:
+        return F.lit(0).cast("bigint")
+    if int(size) <= 0:
         raise ValueError("the query chunk size must be positive")
-    chunk = F.lit(0) if size is None else F.floor((F.col("pos") - F.col("fit_rows") - 1) / int(size))
-    return rows.where("is_query").withColumn("query_chunk", chunk.cast("bigint"))
+    return F.floor((F.col("pos") - F.col("fit_rows") - 1) / int(size)).cast("bigint")
+
+
+def query_chunks(rows, size=None):
+    """Query rows of split samples with their ``query_chunk``."""
+    return rows.where("is_query").withColumn("query_chunk", query_chunk_of(size))
 
 
 def table_query_chunks(rows, size=K.QUERY_CHUNK_ROWS, index="row_ord"):
@@ -133,7 +139,7 @@ def bootstrap_bags(
 
 
 def sliding_bags(rows, m, seed, keys=("table_id",), row="row_ord", max_bags=K.MAX_AUTO_BAGS, max_groups=None):
-    """Overlapping windows over one permutation of each table, together covering all its rows.
+    """Overlapping windows over one permutation of each table, spread evenly from end to end.
 
     B = min(max_bags, ceil(N / m)) bags of m rows; up to m rows make a single bag.
     """

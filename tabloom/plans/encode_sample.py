@@ -15,8 +15,8 @@ def encode(
 ):
     """Encoded cells, one row per (sample row, feature), with the row's encoded target.
 
-    Columns: keys, row_ord, pos, is_query, target, target_delta, truth, col_pos, col, mask, kind,
-    txt, floor, delta, z, y, m, d, w. Features without any context value are left out. Statistics
+    Columns: keys, row_ord, pos, is_query, target, target_delta, truth, target_text (context labels
+    of a classification), col_pos, col, mask, kind, txt, floor, delta, z, y, m, d, w. Features without any context value are left out. Statistics
     of all columns share the partitioning the preparation made.
     """
     features = [c for c, k in kind.items() if c != target]
@@ -42,7 +42,11 @@ def encode(
         text = F.coalesce(F.col(f"`{c}`"), F.lit(K.NULL_TEXT)) if kind[c] == TEXT else F.lit(None)
         cells.append(_cell(kind[c], text, code, z, codes, hidden))
     filler = _cell(TEXT, F.lit(K.PAD_VALUE), None, hidden, {p: F.lit(0) for p in "ymdw"}, hidden)
-    row = [*keys, "row_ord", "pos", "is_query", "target", "target_delta", "truth"]
+    label = F.coalesce(F.col(f"`{target}`").cast("string"), F.lit(K.NULL_TEXT))
+    shown = label if task == "classification" else F.lit(None).cast("string")
+    rows = rows.withColumn("target_text", F.when(~F.col("is_query"), shown))
+    row = [*keys, "row_ord", "pos", "is_query", "target", "target_delta", "truth", "target_text"]
+    row += ["fit_rows"] if "fit_rows" in rows.columns else []
     rows = rows.select(*row, "columns", "_present", F.array(*cells, filler).alias("_cells"))
     # Each row's cells are put in feature order on the spot; nothing is copied per cell.
     listed = F.filter("columns", lambda c: (c["src"] < 0) | F.get("_present", c["src"]))

@@ -1,13 +1,17 @@
 """In-context prediction jobs: bagged contexts, scored query rows, combined predictions."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.vectors import clipped_logit, softmax_array
 from ..operators import encode as E
 from ..operators import sampling as S
+from ..operators import scores as O
 from ..operators import similarity as M
 from ..sources.shared import stage
+from .encode_sample import encode
+from .prepare import SampleConfig, decide_columns
 
 
 def draw_context(context, bagging, m, seed, index="row_ord", table="predict"):
@@ -101,3 +105,59 @@ def predict_value(
     values = F.transform(F.sequence(F.lit(0), F.lit(bags - 1)), bag_value)
     total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
     return sims.withColumn("_q", quantiles).select(row, (total / bags).alias("pred"))
+
+
+def in_context_samples(
+    context, queries, target, task, bagging=8, m=K.MAX_CONTEXT_ROWS, chunk=K.QUERY_CHUNK_ROWS,
+    config=None, regression="l2", classification="cross-entropy", index="row_ord", scale=None,
+):
+    """Encoded cells of every (bag, query chunk): the input of a scorer.
+
+    Both frames have a dense row index and the same feature columns; queries need no target. Each
+    sample joins one bag with one query chunk, so it has at most m + chunk rows. Column choice and
+    encoding see the context and the chunk; statistics come from the context alone. Returns
+    (samples, number of bags, bag rows).
+    """
+    config = config or SampleConfig()
+    features = [c for c in context.columns if c not in (target, index)]
+    bags, _, drawn = draw_context(context, bagging, m, config.seed, index)
+    drawn = drawn.withColumn("bag", F.col("bag").cast("bigint"))
+    cut = S.table_query_chunks(queries.select(index, *features), chunk, index)
+    last = cut.agg(F.max("query_chunk")).first()[0]
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint")))
+    held = drawn.select("bag", F.col("slot").cast("bigint").alias(index), *features, target)
+    held = held.withColumn("query_chunk", copies)
+    asked = S.plan_scoring(cut, bags).withColumn("bag", F.col("bag").cast("bigint"))
+    asked = asked.withColumn(target, F.lit(None).cast(context.schema[target].dataType))
+    both = S.stack_context_query(held, asked.select(*held.columns))
+    both = both.withColumnRenamed(index, "row_ord")
+    keys = ("bag", "query_chunk")
+    order = W.partitionBy(*keys).orderBy("is_query", "row_ord")
+    both = both.withColumn("pos", F.row_number().over(order).cast("bigint"))
+    ready, kinds = decide_columns(both, target, config, keys)
+    samples = encode(
+        ready, kinds, target, task, keys, regression, classification, "valid", config.seed,
+        K.NUM_BINS, scale,
+    )
+    return samples, bags, drawn
+
+
+def predict_with_scorer(context, queries, target, task, scorer, **options):
+    """Predictions from a user scorer over ``in_context_samples``.
+
+    ``scorer`` takes the pandas frame of one (bag, query chunk), encoded cells in long form. For
+    classification it returns (row_ord, bag, label, score); the result is (row_ord, label, prob),
+    bags combined as probabilities if all look so, else by their softmax. For regression it
+    returns (row_ord, bag, pred) in scaled units; the result is (row_ord, pred) in target units.
+    """
+    samples, bags, drawn = in_context_samples(context, queries, target, task, **options)
+    groups = ["bag", "query_chunk"]
+    if task == "classification":
+        schema = "row_ord bigint, bag bigint, label string, score double"
+        scores = M.score_hook(samples, groups, scorer, schema)
+        return O.combine_bags_auto(scores, ["row_ord"], bags, class_col="label")
+    preds = M.score_hook(samples, groups, scorer, "row_ord bigint, bag bigint, pred double")
+    marked = drawn.withColumn("is_query", F.lit(False))
+    stats = E.scale_stats(marked, [target], ["bag"], "target").drop("col")
+    scaled = O.unscale(preds.join(F.broadcast(stats), "bag"))  # stats: one short row per bag
+    return O.combine_bags_reg(scaled, ["row_ord"])

@@ -44,18 +44,23 @@ BOOKKEEPING = ("pos", "n_rows", "fit_rows")
 def prepare(rows, target, config, keys=S.SAMPLE):
     """Cap, order and split the rows of each sample and decide its feature columns.
 
-    Data columns become channel values. Adds is_query and ``columns``, the sample's feature list
-    as an array of (pos, col, src, mask); returns the frame and the channel of each column, or
-    (None, None) for a table wider than the limit. One exchange by sample key; the list is made once per
-    sample, on its first row, and spread by the window.
+    Returns the frame and the channel of each column, or (None, None) for a table wider than the
+    feature limit. One exchange by sample key serves all steps.
     """
-    fields = [f.name for f in features_of(rows, exclude=(*keys, target))]
-    if config.max_features is not None and len(fields) > config.max_features:
+    width = len(features_of(rows, exclude=(*keys, target)))
+    if config.max_features is not None and width > config.max_features:
         return None, None
     ordered = S.order_rows(rows, config.seed, keys, config.max_rows, config.shuffle)
     split = S.split_context(ordered, config.seed, config.fit_size, config.query_range, keys)
+    return decide_columns(split, target, config, keys)
+
+
+def decide_columns(split, target, config, keys=S.SAMPLE):
+    """Feature columns of samples already split: adds ``columns``, an array of (pos, col, src,
+    mask). Data columns become channel values. The list is made once per sample, on its first
+    row, and spread by the window."""
+    names = [f.name for f in features_of(split, exclude=(*keys, target, *BOOKKEEPING))]
     normal, kind = C.normalise(split, config.times, exclude=(*keys, *BOOKKEEPING))
-    names = fields
     flags = F.array(*[F.lit(True) for _ in names])
     if config.drop_constant:
         normal = _spread_flags(normal, names, keys)
