@@ -18,38 +18,45 @@ def bounded(df, rows):
 
 
 def _offsets(df, keys, bucket):
-    """Per (keys, bucket): how many rows of the group lie in lower buckets. One row per bucket."""
+    """Per (keys, bucket): rows of the group in lower buckets, and in all. One row per bucket."""
     hist = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    group = W.partitionBy(*keys)
+    before = group.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     return hist.select(
-        *keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+        *keys,
+        bucket,
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(group).alias("_total"),
     )
 
 
-def bucketed_rank(df, keys, bucket, order, out="rank", max_offsets=None):
+def bucketed_rank(df, keys, bucket, order, out="rank", max_offsets=None, total=None):
     """0-based rank of each row inside its group, for groups of any size.
 
     ``bucket`` must rise with ``order``. Rows are sorted inside a bucket only; a small histogram
     of bucket sizes gives each bucket its starting rank. ``max_offsets`` bounds its row count.
+    ``total`` names a column for the size of the group.
     """
     marked = df.withColumn("_bucket", bucket)
     local = W.partitionBy(*keys, "_bucket").orderBy(*order)
-    return (
+    ranked = (
         marked.withColumn("_local", F.row_number().over(local) - 1)
         .join(bounded(_offsets(marked, keys, "_bucket"), max_offsets), [*keys, "_bucket"])
         .withColumn(out, (F.col("_local") + F.col("_before")).cast("bigint"))
-        .drop("_bucket", "_local", "_before")
     )
+    if total is not None:
+        ranked = ranked.withColumn(total, F.col("_total"))
+    return ranked.drop("_bucket", "_local", "_before", "_total")
 
 
-def draw_rank(df, keys, drawn, ties, out="rank", bits=10, max_groups=None):
+def draw_rank(df, keys, drawn, ties, out="rank", bits=10, max_groups=None, total=None):
     """Rank by a draw column, the permutation used by row-level sampling of whole tables.
 
     2^bits buckets; pick bits so that group rows / 2^bits sort comfortably in one task.
     """
     order = [F.col(drawn), *[F.col(t) for t in ties]]
     offsets = None if max_groups is None else max_groups << bits
-    return bucketed_rank(df, keys, draw_bucket(drawn, bits), order, out, offsets)
+    return bucketed_rank(df, keys, draw_bucket(drawn, bits), order, out, offsets, total)
 
 
 def first_by_draw(df, keys, drawn, ties, n, out="rank", bits=16, max_groups=None):
@@ -61,7 +68,7 @@ def first_by_draw(df, keys, drawn, ties, n, out="rank", bits=16, max_groups=None
     """
     marked = df.withColumn("_bucket", draw_bucket(drawn, bits))
     reach = _offsets(marked, keys, "_bucket").where(F.col("_before") < n)
-    reach = bounded(reach.drop("_before"), None if max_groups is None else max_groups * n)
+    reach = bounded(reach.drop("_before", "_total"), None if max_groups is None else max_groups * n)
     local = W.partitionBy(*keys).orderBy(F.col(drawn), *[F.col(t) for t in ties])
     return (
         marked.join(reach, [*keys, "_bucket"], "left_semi")

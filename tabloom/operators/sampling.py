@@ -144,9 +144,7 @@ def sliding_bags(rows, m, seed, keys=("table_id",), row="row_ord", max_bags=K.MA
     B = min(max_bags, ceil(N / m)) bags of m rows; up to m rows make a single bag.
     """
     drawn = rows.withColumn("_d", draw(seed, "bag_order", *keys, row))
-    ranked = draw_rank(drawn, keys, "_d", [row], "_r", max_groups=max_groups).drop("_d")
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.join(bounded(sizes, max_groups), list(keys))
+    ranked = draw_rank(drawn, keys, "_d", [row], "_r", max_groups=max_groups, total="_n").drop("_d")
     n, b = F.col("_n"), F.col("_b")
     counted = ranked.withColumn(
         "_b", F.least(F.lit(max_bags), F.ceil(n / F.lit(m))).cast("bigint")
