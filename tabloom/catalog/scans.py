@@ -36,7 +36,7 @@ def corpus(spark, sf_dir):
 
 
 def probe_profile(spark, sf_dir):
-    return P.profile(scan.corpus_cells(corpus(spark, sf_dir), B, probe=True))
+    return P.profile(scan.probe_cells(spark, sf_dir, None, B))
 
 
 COUNTS = " union all ".join(f"select '{t}' as table_id, count(*) as n_rows from {t}" for t in TABLES)
@@ -450,7 +450,7 @@ def shuffle_specs(spark, d):
     f"select table_id, col, task, replica::bigint as replica, spec_idx from ({_ordered_sql(_balanced_sql(CHOSEN))})",
 )
 def target_specs(spark, d):
-    cells = scan.corpus_cells(corpus(spark, d), B, probe=True)
+    cells = scan.probe_cells(spark, d, None, B)
     tables = _paths(manifest.table_rows(spark, d).select("table_id"))
     specs = T.build_specs(cells, tables, SEED, balanced=True)
     return specs.select("table_id", "col", "task", "replica", "spec_idx")

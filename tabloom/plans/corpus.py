@@ -49,9 +49,11 @@ def corpus_samples(spark, root, config=None, encoding=None, shard=(0, 1), epoch=
     )
     if config.auto_target and size < K.MIN_PROBE_ROWS:
         raise ValueError(f"chunks of {size} rows are below the probe minimum: no table can qualify")
-    frames = scan.corpus_tables(spark, root, tables.withColumn("length", F.lit(0).cast("bigint")))
+    listed = manifest.list_tables(spark, root).join(tables.select("table_id"), "table_id", "left_semi")
+    frames = scan.corpus_tables(spark, root, listed)
     if config.auto_target:
-        parts = _auto(frames, tables, size, config, encoding)
+        cells = scan.probe_cells(spark, root, listed, size, config.min_rows, config.times)
+        parts = _auto(frames, cells, tables, size, config, encoding)
     else:
         parts = _fixed(frames, tables, size, config, encoding)
     parts = [p for p in parts if p is not None]
@@ -60,8 +62,7 @@ def corpus_samples(spark, root, config=None, encoding=None, shard=(0, 1), epoch=
     return scan.union_all(parts).join(tables.select("table_id", "path"), "table_id")
 
 
-def _auto(frames, tables, size, config, encoding):
-    cells = scan.corpus_cells(frames, size, config.min_rows, probe=True, times=config.times)
+def _auto(frames, cells, tables, size, config, encoding):
     specs = G.build_specs(
         cells, tables, config.seed, K.MIN_PROBE_ROWS, config.max_features, config.keyword, config.balanced
     )

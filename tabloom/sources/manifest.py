@@ -18,11 +18,26 @@ def _check_root(spark, root):
     return fs.makeQualified(path).toString().rstrip("/")
 
 
-def table_id_of(path, root):
-    """Table identity: the path below the root without its suffix."""
-    clean = root.split("://")[-1].split(":")[-1].lstrip("/")
-    tail = F.regexp_replace(F.regexp_replace(path, "^[a-z0-9]+:/+", ""), r"\.parquet$", "")
-    return F.substr(tail, F.lit(len(clean) + 2))
+def root_path(root):
+    """The path part of a qualified root, without scheme and host."""
+    rest = root.split("://", 1)[1] if "://" in root else root
+    if "://" in root:
+        return "/" + rest.split("/", 1)[1] if "/" in rest else ""
+    return "/" + rest.split(":", 1)[-1].lstrip("/")
+
+
+def table_id_of(path, root, encoded=False):
+    """Table identity: the path below the root without its suffix.
+
+    ``path`` is SQL text. Plain substring work, since it runs once per row; ``encoded`` paths, as
+    the file metadata column has them, are decoded only where they hold an escape.
+    """
+    lead = root_path(root) + "/"
+    lit = lead.replace("\\", "\\\\").replace("'", "\\'")
+    if encoded:
+        path = f"if(contains({path}, '%'), url_decode(replace({path}, '+', '%2B')), {path})"
+    start = f"instr({path}, '{lit}') + {len(lead)}"
+    return F.expr(f"substring({path}, {start}, length({path}) - ({start}) + 1 - {len(SUFFIX)})")
 
 
 def list_tables(spark, root):
@@ -35,7 +50,7 @@ def list_tables(spark, root):
         .load(root)
         .select("path", "length")
     )
-    return files.select(table_id_of(F.col("path"), base).alias("table_id"), "path", "length")
+    return files.select(table_id_of("path", base).alias("table_id"), "path", "length")
 
 
 def with_ordinal(tables):
@@ -62,7 +77,7 @@ def table_rows(spark, root):
         .schema("_none int")
         .load(root)
     )
-    located = rows.select(table_id_of(F.col("_metadata.file_path"), base).alias("table_id"))
+    located = rows.select(table_id_of("_metadata.file_path", base, encoded=True).alias("table_id"))
     return located.groupBy("table_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 

@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 from pyspark.errors import PySparkTypeError
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from ..functions.channels import DATE, NUM, TEXT, TIME, channel_sql, kinds
 from .manifest import _check_root, list_tables, table_id_of
@@ -27,12 +27,60 @@ def scan(spark, root, paths=None, schema=None):
         reader = reader.schema(schema).option("ignoreCorruptFiles", "true")
     rows = reader.parquet(*(paths or [root]))
     return rows.select(
-        table_id_of(F.col("_metadata.file_path"), base).alias("table_id"),
+        table_id_of("_metadata.file_path", base, encoded=True).alias("table_id"),
         F.col("_metadata.row_index").alias("row_ord"),
         "*",
     )
 
 
+def probe_scan(spark, root, tables, schema, size, min_rows=1):
+    """Rows of the first chunk of each table of one schema, as ``scan`` gives them.
+
+    ``tables``: (table_id, path) frame. A scan with a filter on the row position would decode
+    whole files; here a task opens a file and stops after ``size`` rows. A file that fails to
+    read is left out.
+    """
+    fields = [T.StructField("table_id", T.StringType()), T.StructField("row_ord", T.LongType())]
+    out = T.StructType(fields + list(schema.fields))
+    arrow = to_arrow_schema(schema)
+
+    def first_chunks(batches):
+        for batch in batches:
+            ids, paths = batch.column("table_id").to_pylist(), batch.column("path").to_pylist()
+            for table_id, path in zip(ids, paths):
+                try:
+                    fs, inner = _open(path)
+                    with fs.open_input_file(inner) as source:
+                        rows = next(pq.ParquetFile(source).iter_batches(batch_size=size), None)
+                    if rows is None or rows.num_rows < min_rows:
+                        continue
+                    cast = pa.Table.from_batches([rows]).cast(arrow)
+                except (OSError, pa.ArrowException):
+                    continue
+                n = rows.num_rows
+                keys = [pa.array([table_id] * n, pa.string()), pa.array(range(n), pa.int64())]
+                whole = pa.Table.from_arrays(
+                    keys + cast.columns, names=["table_id", "row_ord", *cast.schema.names]
+                )
+                yield from whole.combine_chunks().to_batches()
+
+    return tables.select("table_id", "path").mapInArrow(first_chunks, out)
+
+
+def probe_cells(spark, root, tables, size, min_rows=1, times=()):
+    """Cells of the probe chunk of every table of a corpus."""
+    base = _check_root(spark, root)
+    parts = []
+    for schema, paths, _ in schema_groups(spark, root, tables)[0]:
+        # File metadata the driver holds anyway; one task per file up to the parallelism allowed.
+        listed = spark.createDataFrame([(p,) for p in paths], "path string")
+        listed = listed.repartition(max(1, min(len(paths), 10_000)))
+        listed = listed.select(table_id_of("path", base).alias("table_id"), "path")
+        rows = probe_scan(spark, root, listed, schema, size, min_rows)
+        parts.append(to_cells(rows.withColumn("chunk_id", F.lit(0).cast("bigint")), times))
+    return union_all(parts)
+
+
 def named_table(df, table_id, row_ord):
     """Give an in-memory or single-table frame the scan columns. ``row_ord``: dense 0-based key."""
     return df.withColumn("table_id", F.lit(table_id)).withColumn(
