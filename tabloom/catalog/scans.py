@@ -36,7 +36,7 @@ def corpus(spark, sf_dir):
 
 
 def probe_profile(spark, sf_dir):
-    return P.profile(scan.probe_cells(spark, sf_dir, None, B))
+    return P.profile(scan.corpus_cells(corpus(spark, sf_dir), B, probe=True))
 
 
 COUNTS = " union all ".join(f"select '{t}' as table_id, count(*) as n_rows from {t}" for t in TABLES)
@@ -80,14 +80,9 @@ def chunk_scan(spark, d):
         from ({sql_numbered()}) where row_ord < 1000 group by 1 having count(*) >= 100""",
 )
 def probe_chunk(spark, d):
-    parts = [
-        scan.probe_chunk(scan.cut_chunks(f, B, 100)).select("table_id", "row_ord")
-        for f in corpus(spark, d)
-    ]
-    return (
-        scan.union_all(parts)
-        .groupBy("table_id")
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.max("row_ord").alias("last_row"))
+    cells = scan.probe_cells(spark, d, None, B, 100).where("col_ord = 0")
+    return cells.groupBy("table_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max("row_ord").alias("last_row")
     )
 
 
@@ -450,7 +445,7 @@ def shuffle_specs(spark, d):
     f"select table_id, col, task, replica::bigint as replica, spec_idx from ({_ordered_sql(_balanced_sql(CHOSEN))})",
 )
 def target_specs(spark, d):
-    cells = scan.probe_cells(spark, d, None, B)
+    cells = scan.corpus_cells(corpus(spark, d), B, probe=True)
     tables = _paths(manifest.table_rows(spark, d).select("table_id"))
     specs = T.build_specs(cells, tables, SEED, balanced=True)
     return specs.select("table_id", "col", "task", "replica", "spec_idx")

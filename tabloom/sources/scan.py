@@ -74,7 +74,8 @@ def probe_cells(spark, root, tables, size, min_rows=1, times=()):
     for schema, paths, _ in schema_groups(spark, root, tables)[0]:
         # File metadata the driver holds anyway; one task per file up to the parallelism allowed.
         listed = spark.createDataFrame([(p,) for p in paths], "path string")
-        listed = listed.repartition(max(1, min(len(paths), 10_000)))
+        few = len(paths) <= spark.sparkContext.defaultParallelism
+        listed = listed.coalesce(len(paths)) if few else listed.repartition(min(len(paths), 10_000))
         listed = listed.select(table_id_of("path", base).alias("table_id"), "path")
         rows = probe_scan(spark, root, listed, schema, size, min_rows)
         parts.append(to_cells(rows.withColumn("chunk_id", F.lit(0).cast("bigint")), times))
@@ -157,12 +158,20 @@ def _cell_sql(ordinal, field, kind):
 
 
 def _open(path):
-    """Filesystem and path for a location string; bare paths are local."""
-    if "://" in path:
-        return pafs.FileSystem.from_uri(path)
+    """Filesystem and path for a location string; bare paths are local.
+
+    A scheme Arrow does not know is an error, never an unreadable file.
+    """
     if path.startswith("file:"):
-        return pafs.LocalFileSystem(), path[len("file:") :]
-    return pafs.LocalFileSystem(), path
+        return pafs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
+    if "://" not in path:
+        return pafs.LocalFileSystem(), path
+    scheme, rest = path.split("://", 1)
+    uri = f"s3://{rest}" if scheme in ("s3a", "s3n") else path
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid as exc:
+        raise RuntimeError(f"no filesystem for {path}") from exc
 
 
 def _footer_schemas(batches):
