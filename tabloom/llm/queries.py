@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from .decontaminate import mark_documents
+from .licenses import BASE, COMMON, TEMPLATES, scan_licences
+from .mixing import Level, MixPlan, mix
 from .quality import score_lines
+from .sharding import shard_rows
 
 QUERIES, CHECKS = {}, {}
 
@@ -100,3 +103,110 @@ def benchmark_decontamination(spark, sf_dir):
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
     )
+
+
+# Sources in four domains by their number; weights are parts of their family.
+DOMAIN = "get(array('web', 'books', 'code', 'news'), cast(try_cast(substring(source, 4) as int) div 5 as int))"
+MIX = MixPlan(
+    levels=(
+        Level("domain", DOMAIN, {"web": 40, "books": 30, "code": 20, "news": 10}),
+        Level("lang", "lang", {"en": 50, "de": 20, "fr": 20, "es": 10}),
+        Level("source", "source"),
+    )
+)
+
+SQL_MIX_SHARE = """
+select *, case when ok then cap else (w * (b - cf)) // (wa - wf) end as got from (
+  select *, sum(case when ok then cap else 0 end) over (partition by {parent})::bigint as cf,
+    sum(case when ok then w else 0 end) over (partition by {parent})::bigint as wf from (
+    select *, bool_and(cap * (wa - wb) <= w * (b - cb)) over (partition by {parent} order by cap / w, {node}) as ok from (
+      select *, sum(w) over (partition by {parent})::bigint as wa,
+        coalesce(sum(cap) over (partition by {parent} order by cap / w, {node} rows between unbounded preceding and 1 preceding), 0)::bigint as cb,
+        coalesce(sum(w) over (partition by {parent} order by cap / w, {node} rows between unbounded preceding and 1 preceding), 0)::bigint as wb
+      from ({children}))))
+"""
+
+
+def _mix_sql():
+    weights = {
+        "domain": "case domain when 'web' then 40 when 'books' then 30 when 'code' then 20 when 'news' then 10 else 1 end",
+        "lang": "case lang when 'en' then 50 when 'de' then 20 when 'fr' then 20 when 'es' then 10 else 1 end",
+        "source": "1",
+    }
+    path, ctes, above = [], [], "(select sum(tokens)::bigint * 80 // 100 as got from leaf)"
+    for name, w in weights.items():
+        parent = ", ".join(path) or "0"
+        on = f"using ({', '.join(path)})" if path else "on true"
+        path.append(name)
+        children = (
+            f"select {', '.join('n.' + c for c in path)}, n.cap, n.w, a.got as b from (select {', '.join(path)}, "
+            f"sum(tokens)::bigint * 2 as cap, ({w})::bigint as w from leaf group by {', '.join(path)}) n join {above} a {on}"
+        )
+        ctes.append(f"b_{name} as ({SQL_MIX_SHARE.format(parent=parent, node=name, children=children)})")
+        above = f"b_{name}"
+    return f"""
+with d as (select doc_id, md5(coalesce(text, '')) as t, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  coalesce(['web', 'books', 'code', 'news'][cast(substring(source, 4) as int) // 5 + 1], '') as domain,
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as n_tokens from documents),
+leaf as (select domain, lang, source, sum(n_tokens)::bigint as tokens from d group by all),
+{', '.join(ctes)},
+plan as (select domain, lang, source, f, case when f < 2 then got - f * tokens end as rest from (
+  select domain, lang, source, got, tokens, case when tokens > 0 then least(got // tokens, 2) else 0 end as f
+  from leaf join b_source using (domain, lang, source))),
+p as (select d.*, f, rest, sum(n_tokens) over (partition by domain, lang, source
+    order by md5(concat_ws(':', '42', f::varchar, doc_id::varchar, t)), doc_id rows unbounded preceding) as upto
+  from d join plan using (domain, lang, source))
+select doc_id, domain, lang, source, n_tokens, unnest(range(0, f))::int as epoch from p
+union all select doc_id, domain, lang, source, n_tokens, f::int from p where upto <= rest
+"""
+
+
+@query("op5_source_mixing", _mix_sql())
+def source_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"), MIX).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
+def _licence_sql():
+    def values(rows):
+        return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+    phrases = [("base", label, p) for p, label in BASE.items()] + [("key", t, key) for t, (_, key) in TEMPLATES.items()]
+    postings = [(t, k, w) for t, (text, _) in TEMPLATES.items() for k, w in enumerate(text.split()) if w not in COMMON]
+    return f"""
+with d as (select row_number() over () as rid, doc_id, {SQL_PLAIN_WORDS.format('text')} as w from documents),
+places as (select rid, unnest(w) as word, unnest(range(0, len(w))) as pos from d),
+phrase as (select kind, label, string_split(p, ' ') as q from (values {values(phrases)}) v(kind, label, p)),
+found as (select rid, kind, label, pos from places join phrase on word = q[1] join d using (rid)
+  where list_slice(w, pos + 1, pos + len(q)) = q),
+base as (select rid, count(*) as n_base, min(pos) as first_word, max(pos) as last_word,
+  list(distinct label) as labels from found where kind = 'base' group by rid),
+post as (select * from (values {values(postings)}) v(template, spot, word)),
+hits as (select rid, word, pos from places where word in (select word from post)),
+spread as (select word, count(distinct rid) as n from hits group by word),
+rare as (select rid, word, pos from hits join spread using (word)
+  qualify dense_rank() over (partition by rid order by n, word) <= 8),
+votes as (select rid, template, pos - spot as shift, count(distinct word) as shared
+  from rare join post using (word) group by all having count(distinct word) >= 2),
+best as (select rid, template, max(shared) as shared from votes group by all),
+ok as (select rid, list(template) as names, max(shared) as shared, count(*) as n from best
+  where (rid, template) in (select rid, label from found where kind = 'key') group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word,
+  last_word::bigint as last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') as base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(names, [])))), ',') as labels,
+  case when n_base > 0 then 1.0 else coalesce(shared, 0) / 8.0 end::double as score, coalesce(n, 0)::bigint as n_templates
+from d left join base using (rid) left join ok using (rid)
+"""
+
+
+@query("op6_license_scans", _licence_sql())
+def license_scans(spark, sf_dir):
+    return scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_lpt_sharding")
+def lpt_sharding(spark, sf_dir):
+    placed = shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
