@@ -97,62 +97,57 @@ def leaf_budgets(leaves, plan):
     return leaves.join(above.withColumnRenamed("_budget", "budget"), names)
 
 
-def draw(seed, epoch, key="doc_id"):
-    """Seeded hexadecimal draw of a document for an epoch."""
-    return F.md5(
-        F.concat_ws(
-            ":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("")),
-            F.md5(whole(F.col("text")).cast("binary")),
-        ).cast("binary")
-    )
+def draw(seed, epoch):
+    """Seeded hexadecimal draw of a measured document for an epoch."""
+    key = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_md5")
+    return F.md5(key.cast("binary"))
 
 
-def mix(docs, plan, tokens=None):
-    """One row per selected document and epoch: the columns of docs, level columns, n_tokens, epoch."""
-    spark = docs.sparkSession
-    names = [x.name for x in plan.levels]
-    nodes = [f"_node{i}" for i in range(len(names))]
+def measure(docs, plan, tokens=None):
+    """docs with n_tokens (words, or another column), tree nodes and the text's digest."""
     tokens = F.regexp_count(whole(F.col("text")), F.lit(BLANK_WORD)) if tokens is None else tokens
-    rows = docs.drop("n_tokens", "epoch").withColumn("n_tokens", tokens.cast("bigint"))
-    rows = rows.withColumns({n: F.coalesce(F.expr(x.value).cast("string"), F.lit("")) for n, x in zip(nodes, plan.levels)})
+    nodes = {f"_node{i}": F.coalesce(F.expr(x.value).cast("string"), F.lit("")) for i, x in enumerate(plan.levels)}
+    digest = F.md5(whole(F.col("text")).cast("binary"))
+    return docs.withColumns({"n_tokens": tokens.cast("bigint"), "_md5": digest, **nodes})
 
+
+def mix(measured, plan):
+    """One row per selected document and epoch: the columns of the measured documents, level
+    columns and epoch. Work columns start with an underscore; level columns replace others so named."""
+    names = [x.name for x in plan.levels]
+    nodes = [f"_node{i}" for i in range(len(names))]
+    rows = stage(measured, "mix-rows")
     sizes = rows.groupBy(*nodes).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_tokens").alias("tokens"))
-    sizes = sizes.withColumnsRenamed(dict(zip(nodes, names)))
-    leaves = leaf_budgets(stage(sizes, "mix-leaves"), plan)
-    leaves = leaves.withColumn(
-        "full", F.when(F.col("tokens") > 0, F.least(F.expr("budget DIV tokens"), F.lit(plan.max_epochs))).otherwise(0)
-    )
-    leaves = leaves.select(
+    leaves = leaf_budgets(stage(sizes.withColumnsRenamed(dict(zip(nodes, names))), "mix-leaves"), plan)
+    full = F.when(F.col("tokens") > 0, F.least(F.expr("budget DIV tokens"), F.lit(plan.max_epochs))).otherwise(0)
+    leaves = leaves.withColumn("full", full).select(
         *[F.col(a).alias(b) for a, b in zip(names, nodes)],
         F.col("full").cast("int").alias("_full"),
         F.when(F.col("full") < plan.max_epochs, F.expr("budget - full * tokens")).alias("_rest"),
         F.ceil(F.col("n_rows") / plan.per_bucket).alias("_buckets"),
     )
     leaves = stage(leaves, "mix-budgets")
-    placed = rows.join(leaves, nodes).withColumn("_draw", draw(plan.seed, F.col("_full")))
-    bucket = F.shiftright(F.conv(F.substring("_draw", 1, 8), 16, 10).cast("bigint") * F.col("_buckets"), 32)
-    placed = placed.withColumn("_bucket", bucket)
+
+    def placed(by_leaf):
+        out = rows.join(by_leaf, nodes).withColumn("_draw", draw(plan.seed, F.col("_full")))
+        high = F.conv(F.substring("_draw", 1, 8), 16, 10).cast("bigint")
+        return out.withColumn("_bucket", F.shiftright(high * F.col("_buckets"), 32))
 
     # Where each leaf's last epoch ends: the first bucket at whose end the rest is exceeded.
-    sums = placed.filter("_rest is not null").groupBy(*nodes, "_rest", "_bucket").agg(F.sum("n_tokens").alias("s"))
+    sums = placed(leaves).filter("_rest is not null").groupBy(*nodes, "_rest", "_bucket").agg(F.sum("n_tokens").alias("s"))
     upto = F.sum("s").over(W.partitionBy(*nodes).orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0))
     ends = sums.withColumn("upto", upto).filter("upto > _rest").groupBy(*nodes)
-    ends = ends.agg(
-        F.min("_bucket").alias("_end"), F.min_by(F.col("upto") - F.col("s"), "_bucket").alias("_before")
-    )
-    ends = stage(leaves.join(ends, nodes, "left"), "mix-ends")
-    placed = rows.join(ends, nodes).withColumn("_draw", draw(plan.seed, F.col("_full"))).withColumn("_bucket", bucket)
-
-    epochs = F.when(F.col("_full") > 0, F.sequence(F.lit(0), F.col("_full") - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    last = F.col("_rest").isNotNull() & (F.col("_end").isNull() | (F.col("_bucket") < F.col("_end")))
-    keep = docs.drop(*names, "n_tokens", "epoch").columns
-    shown = [*[F.col(c) for c in keep], *[F.col(a).alias(b) for a, b in zip(nodes, names)], "n_tokens"]
-    whole_rows = placed.withColumn(
-        "epoch", F.explode(F.when(last, F.concat(epochs, F.array("_full"))).otherwise(epochs))
-    ).select(*shown, "epoch")
-    edge = placed.filter(F.col("_rest").isNotNull() & (F.col("_bucket") == F.col("_end")))
+    ends = ends.agg(F.min("_bucket").alias("_end"), F.min_by(F.col("upto") - F.col("s"), "_bucket").alias("_before"))
+    dealt = placed(stage(leaves.join(ends, nodes, "left"), "mix-ends"))
+
+    none = F.array().cast("array<int>")
+    epochs = F.when(F.col("_full") > 0, F.sequence(F.lit(0), F.col("_full") - 1)).otherwise(none)
+    inside = F.col("_rest").isNotNull() & (F.col("_end").isNull() | (F.col("_bucket") < F.col("_end")))
+    keep = [c for c in measured.columns if c not in {*names, *nodes, "epoch", "_md5"}]
+    shown = [*[F.col(c) for c in keep], *[F.col(a).alias(b) for a, b in zip(nodes, names)]]
+    all_epochs = F.when(inside, F.concat(epochs, F.array("_full"))).otherwise(epochs)
+    most = dealt.select(*shown, F.explode(all_epochs).alias("epoch"))
     run = W.partitionBy(*nodes).orderBy("_draw", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    edge = dealt.filter(F.col("_rest").isNotNull() & (F.col("_bucket") == F.col("_end")))
     edge = edge.withColumn("_upto", F.col("_before") + F.sum("n_tokens").over(run)).filter("_upto <= _rest")
-    return whole_rows.union(edge.select(*shown, F.col("_full").alias("epoch")))
+    return most.union(edge.select(*shown, F.col("_full").alias("epoch")))

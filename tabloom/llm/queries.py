@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import mark_documents
 from .licenses import BASE, COMMON, TEMPLATES, scan_licences
-from .mixing import Level, MixPlan, mix
+from .mixing import Level, MixPlan, measure, mix
 from .quality import score_lines
 from .sharding import shard_rows
 
@@ -163,7 +163,8 @@ union all select doc_id, domain, lang, source, n_tokens, f::int from p where upt
 
 @query("op5_source_mixing", _mix_sql())
 def source_mixing(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents"), MIX).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+    measured = measure(table(spark, sf_dir, "documents"), MIX).drop("text", "n_chars")
+    return mix(measured, MIX).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
 def _licence_sql():

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
 # Words of the licence and benchmark scans before lower-casing: digits, ASCII letters, all beyond ASCII.
@@ -27,27 +26,14 @@ def ascii_lower(text):
     )
 
 
-def _cut(trimmed, gap):
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, gap))
-
-
 def blank_words(text):
     """Runs of anything but blanks, in order; null gives none."""
-    return _cut(F.trim(whole(text), F.lit(BLANKS)), BLANK_RUN)
+    return F.array_remove(F.split(whole(text), BLANK_RUN), "")
 
 
 def plain_words(text):
     """Runs of letters, digits and characters beyond ASCII, A-Z in lower case; null gives none."""
-    edged = F.regexp_replace(ascii_lower(whole(text)), PLAIN_GAP, " ")
-    return _cut(F.trim(edged), " ")
-
-
-def slices(words, n):
-    """Hashes of each run of n words; fewer words give none."""
-    last = F.size(words) - n + 1
-    return F.when(last < 1, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, n)))
-    )
+    return F.array_remove(F.split(ascii_lower(whole(text)), PLAIN_GAP), "")
 
 
 def text_key(text):
