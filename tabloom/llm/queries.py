@@ -7,6 +7,8 @@ from .licenses import BASE, COMMON, TEMPLATES, scan_licences
 from .mixing import Level, MixPlan, measure, mix
 from .quality import score_lines
 from .sharding import shard_rows
+from .tokens import token_files
+from .warc import archive_pages
 
 QUERIES, CHECKS = {}, {}
 
@@ -211,3 +213,22 @@ def lpt_sharding(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def vocabulary():
+    """The byte-level vocabulary named by the contract, from where its package is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op2_token_files")
+def token_id_files(spark, sf_dir):
+    return token_files(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op3_warc_normaliser")
+def warc_normaliser(spark, sf_dir):
+    return archive_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
