@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from .decontaminate import mark_documents
+from .langid import identify
 from .licenses import BASE, COMMON, TEMPLATES, scan_licences
 from .mixing import Level, MixPlan, measure, mix
 from .quality import score_lines
@@ -232,3 +233,8 @@ def warc_normaliser(spark, sf_dir):
     return archive_pages(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op4_language_id")
+def language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
