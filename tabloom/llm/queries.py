@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from .decontaminate import mark_documents
+from .jaccard import jaccard_components
 from .langid import identify
 from .licenses import BASE, COMMON, TEMPLATES, scan_licences
 from .mixing import Level, MixPlan, measure, mix
@@ -238,3 +239,22 @@ def warc_normaliser(spark, sf_dir):
 @query("op4_language_id")
 def language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
+
+
+JACCARD_SQL = f"""
+with recursive d as (select doc_id, list_filter(string_split_regex({SQL_LOWER.format('text')}, '[\\x20\\x09-\\x0D]+'),
+  lambda w: w <> '') as w from documents),
+s as (select distinct doc_id, list_slice(w, i, i + 4) as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+link as (select a, b from shared join n x on a = x.doc_id join n y on b = y.doc_id where 100 * i >= 75 * (x.n + y.n - i)),
+reach(doc_id, other) as (select doc_id, doc_id from d union select r.doc_id, b from reach r join link on r.other = a)
+select doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(other) as component_id
+from reach left join n using (doc_id) group by doc_id
+"""
+
+
+@query("op7_ngram_jaccard", JACCARD_SQL)
+def ngram_jaccard(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_key")
