@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import stage
 from .components import components
 from .shingles import shingle_set
-from .words import same_row, text_key, whole
+from .words import text_key, whole
 
 PERCENT = 75
 WORDS = 5
@@ -249,8 +249,6 @@ def first_of_each(docs, percent=PERCENT, n_words=WORDS):
     found = stage(jaccard_components(docs, percent, n_words), "components")
     keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id", "text_key").distinct()
     one = keep.groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
-    named = keyed.filter("doc_id is not null").join(one, same_row(keyed, one), "left_semi")
-    repeats = named.groupBy("doc_id", "text_key").count().filter("count > 1")
-    single = named.join(repeats, same_row(named, repeats), "left_anti")
-    doubled = named.join(repeats, same_row(named, repeats), "left_semi").dropDuplicates(["doc_id", "text_key"])
-    return single.union(doubled).union(keyed.filter("doc_id is null")).select(*docs.columns)
+    named = keyed.filter("doc_id is not null").join(one, ["doc_id", "text_key"], "left_semi")
+    named = named.dropDuplicates(["doc_id", "text_key"])  # by the join's own partitions
+    return named.select(*docs.columns).union(keyed.filter("doc_id is null").select(*docs.columns))

@@ -9,6 +9,7 @@ from .licenses import BASE, COMMON, TEMPLATES, scan_licences
 from .mixing import Level, MixPlan, measure, mix
 from .quality import score_lines
 from .sharding import shard_rows
+from .substrings import remove_repeats
 from .tokens import token_files
 from .warc import archive_pages
 
@@ -111,13 +112,18 @@ def benchmark_decontamination(spark, sf_dir):
 
 # Sources in four domains by their number; weights are parts of their family.
 DOMAIN = "get(array('web', 'books', 'code', 'news'), cast(try_cast(substring(source, 4) as int) div 5 as int))"
-MIX = MixPlan(
-    levels=(
-        Level("domain", DOMAIN, {"web": 40, "books": 30, "code": 20, "news": 10}),
-        Level("lang", "lang", {"en": 50, "de": 20, "fr": 20, "es": 10}),
-        Level("source", "source"),
+
+
+def mix_plan(prefix=""):
+    """The plan of the query; a prefix keeps its level columns apart from those of the table."""
+    return MixPlan(
+        levels=(
+            Level(f"{prefix}domain", DOMAIN, {"web": 40, "books": 30, "code": 20, "news": 10}),
+            Level(f"{prefix}lang", "lang", {"en": 50, "de": 20, "fr": 20, "es": 10}),
+            Level(f"{prefix}source", "source"),
+        )
     )
-)
+
 
 SQL_MIX_SHARE = """
 select *, case when ok then cap else (w * (b - cf)) // (wa - wf) end as got from (
@@ -167,8 +173,9 @@ union all select doc_id, domain, lang, source, n_tokens, f::int from p where upt
 
 @query("op5_source_mixing", _mix_sql())
 def source_mixing(spark, sf_dir):
-    measured = measure(table(spark, sf_dir, "documents"), MIX).drop("text", "n_chars")
-    return mix(measured, MIX).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+    plan = mix_plan()
+    measured = measure(table(spark, sf_dir, "documents"), plan).drop("text", "n_chars")
+    return mix(measured, plan).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
 def _licence_sql():
@@ -258,3 +265,23 @@ from reach left join n using (doc_id) group by doc_id
 @query("op7_ngram_jaccard", JACCARD_SQL)
 def ngram_jaccard(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+SUBSTRING_SQL = f"""
+with d as (select doc_id, {SQL_BLANK_WORDS} as w from documents),
+win as (select doc_id, i, sha256(array_to_string(list_slice(w, i, i + 49), ' ')) as h
+  from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+hit as (select doc_id, i, min(doc_id) over (partition by h) < doc_id as again from win),
+gone as (select doc_id, list(distinct i + o) as places from
+  (select doc_id, i, unnest(range(0, 50)) as o from hit where again) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(len(places), 0)::bigint as n_removed,
+  sha256(array_to_string(case when places is null then w else
+    list_filter(w, lambda x, i: not list_contains(places, i)) end, ' ')) as kept_sha256
+from d left join gone using (doc_id)
+"""
+
+
+@query("op8_substring_dedup", SUBSTRING_SQL)
+def substring_dedup(spark, sf_dir):
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
