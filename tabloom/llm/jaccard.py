@@ -11,17 +11,20 @@ Steps, all distributed:
 
 1. Shingle hashes by NumPy per text; each batch reports its most frequent shingles, and the most
    frequent of the whole table (``HOT`` at most) go last in the order. The order never changes results.
-2. Equal sets are one class with one representative; copies are never paired.
-3. Prefix shingles with a single owner are dropped; costs choose l for each representative.
-4. Each document is verified against one promising partner, the one with most shared shingles of the
-   document with the least private prefix in each posting list. Links found connect large groups of
+2. A set is a node, named by 64 bits of its digest; copies are one node and never paired.
+3. Prefix shingles with a single owner are dropped; costs choose l for each node.
+4. Each node is verified against one promising partner, the one with most shared shingles among the
+   nodes with the least private prefix in its posting lists. Links found connect large groups of
    near copies, so that step 5 need not pair their members with each other.
 5. All pairs of different groups that share enough prefix shingles are verified. Posting lists are
    kept in bounded blocks per group, so no task holds a whole list.
 6. Components of all links, by star contraction.
 
+Sets are not stored for all documents: those of candidate pairs are computed again from the texts.
+A bitmap of fixed size keeps most others from being sent; where it is full, more is sent, no less found.
+
 Components are exact: only pairs already connected are left unverified. Shingles are compared by
-64-bit hashes, sets by 128-bit digests.
+64-bit hashes, as are sets (among n different sets, n^2 / 2^65 collisions are expected).
 
 Defined cases: a null or blank text has no shingles and its own id as component; fewer than five
 words are one shingle; repeated rows and copies share a component; null ids are members, never the
@@ -38,116 +41,140 @@ from pyspark.sql import functions as F
 from ..sources.shared import stage
 from .components import components
 from .shingles import shingle_set
-from .words import text_key, whole
+from .words import whole
 
 PERCENT = 75
 WORDS = 5
-MOST = 4
-VERIFY_COST = 20
+NEEDS = (1, 2, 4, 8, 16)
+VERIFY_COST = 50
 HOT = 65_536
 BLOCK = 256
+FILTER_BITS = 1 << 24
 
 
 def _sets(batch, n_words):
     return [shingle_set(t.as_py(), n_words) for t in batch.column(batch.schema.get_field_index("text"))]
 
 
-def frequent_shingles(docs, n_words=WORDS, most=HOT):
-    """(sorted hashes, counts) of the most frequent shingles over all documents."""
+def _node(s):
+    return int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True)
+
+
+def _lists(parts):
+    values = pa.array(np.concatenate([*parts, np.zeros(0, dtype=np.int64)]))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), values)
+
+
+def _must(n, percent):
+    """Shingles a set of n shares at least with any that is similar enough."""
+    return (n * percent + 99) // 100
+
 
-    def count(batches):
+def survey(docs, n_words=WORDS):
+    """(doc_id, n, node, token, times): a row per document, and with n = -1 the frequent shingles of each batch."""
+
+    def look(batches):
         for batch in batches:
             sets = _sets(batch, n_words)
-            token, n = np.unique(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), return_counts=True)
-            often = n >= max(8, len(sets) // 500)
-            yield pa.RecordBatch.from_pydict({"token": token[often].view(np.int64), "n": n[often]})
+            token, times = np.unique(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), return_counts=True)
+            often = times >= max(8, len(sets) // 500)
+            token, times = token[often].view(np.int64), times[often]
+            k = len(token)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": pa.concat_arrays([batch.column(0), pa.nulls(k, pa.int64())]),
+                    "n": pa.array([len(s) for s in sets] + [-1] * k, pa.int32()),
+                    "node": pa.array([_node(s) if len(s) else None for s in sets] + [None] * k, pa.int64()),
+                    "token": pa.concat_arrays([pa.nulls(len(sets), pa.int64()), pa.array(token)]),
+                    "times": pa.concat_arrays([pa.nulls(len(sets), pa.int64()), pa.array(times.astype(np.int64))]),
+                }
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(look, "doc_id long, n int, node long, token long, times long")
 
-    local = docs.select("text").mapInArrow(count, "token long, n long")
-    top = local.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(most).toPandas()
-    token, n = top.token.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(np.int64)
+
+def frequent_shingles(surveyed, most=HOT):
+    """(sorted hashes, counts) of the most frequent shingles over all documents."""
+    times = surveyed.filter("n < 0").groupBy("token").agg(F.sum("times").alias("times"))
+    top = times.orderBy(F.desc("times"), "token").limit(most).toPandas()
+    token, n = top.token.to_numpy(np.int64).view(np.uint64), top.times.to_numpy(np.int64)
     order = np.argsort(token)
     return token[order], n[order]
 
 
 def ordered_prefixes(docs, hot, percent=PERCENT, n_words=WORDS):
-    """(doc_id, text_key, n, digest, prefix, rare) with prefix the first shingles in global order, long
-    enough for every l, and rare the number of them outside the frequent list."""
+    """(node, n, prefix, rare): the first shingles in global order, enough for every need, and how many
+    of them are outside the frequent list; copies within a batch once."""
     tokens, counts = hot
 
     def prefix(batches):
         for batch in batches:
-            n, digests, heads, rares = [], [], [], []
-            for s in _sets(batch, n_words):
-                n.append(len(s))
-                digests.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
+            sets = {_node(s): s for s in _sets(batch, n_words) if len(s)}
+            heads, rares = [], []
+            for s in sets.values():
                 at = np.searchsorted(tokens, s)
                 at[at == len(tokens)] = 0
                 known = tokens[at] == s if len(tokens) else np.zeros(len(s), dtype=bool)
                 late = s[known][np.argsort(counts[at[known]], kind="stable")]
-                length = min(len(s), len(s) - (percent * len(s) + 99) // 100 + MOST)
+                length = min(len(s), len(s) - _must(len(s), percent) + NEEDS[-1])
                 rares.append(min(length, int(len(s) - known.sum())))
                 heads.append(np.concatenate([s[~known], late])[:length].view(np.int64))
-            values = pa.array(np.concatenate([*heads, np.zeros(0, dtype=np.int64)]))
-            offsets = pa.array(np.cumsum([0, *map(len, heads)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(digests, pa.binary()),
-                 pa.ListArray.from_arrays(offsets, values), pa.array(rares, pa.int32())],
-                ["doc_id", "text_key", "n", "digest", "prefix", "rare"],
+                [pa.array(list(sets), pa.int64()), pa.array([len(s) for s in sets.values()], pa.int32()), _lists(heads),
+                 pa.array(rares, pa.int32())],
+                ["node", "n", "prefix", "rare"],
             )
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(
-        prefix, "doc_id long, text_key long, n int, digest binary, prefix array<bigint>, rare int"
-    )
+    return docs.select("text").mapInArrow(prefix, "node long, n int, prefix array<bigint>, rare int")
 
 
-def shared_postings(reps):
-    """(token, rid, n, pos, df) of prefix shingles with two owners or more."""
-    cut = reps.select("rid", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
+def shared_postings(prefixes):
+    """(token, node, n, pos, df) of prefix shingles with two owners or more."""
+    cut = prefixes.select("node", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
     place = (F.col("n").cast("bigint") * (1 << 31) + F.col("pos")).alias("place")
-    late = cut.filter(F.col("pos") >= F.col("rare")).select("token", "rid", place)
-    rare = cut.filter(F.col("pos") < F.col("rare")).select("token", "rid", place)
+    late = cut.filter(F.col("pos") >= F.col("rare")).select("token", "node", place).distinct()
+    rare = cut.filter(F.col("pos") < F.col("rare")).select("token", "node", place)
 
     def owners(batches):
         parts = [[c.to_numpy() for c in b.columns] for b in batches]
         if not parts:
             return
-        token, rid, where = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(token, kind="stable")
-        token, rid, where = token[order], rid[order], where[order]
-        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        df = np.repeat(np.diff(np.append(first, len(token))), np.diff(np.append(first, len(token))))
+        token, node, where = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((node, token))
+        token, node, where = token[order], node[order], where[order]
+        new = np.concatenate(([True], token[1:] != token[:-1]))
+        once = new | np.concatenate(([True], node[1:] != node[:-1]))
+        token, node, where, new = token[once], node[once], where[once], new[once]
+        sizes = np.diff(np.append(np.flatnonzero(new), len(token)))
+        df = np.repeat(sizes, sizes)
         keep = df > 1
-        table = pa.table({"token": token[keep], "rid": rid[keep], "place": where[keep], "df": df[keep]})
+        table = pa.table({"token": token[keep], "node": node[keep], "place": where[keep], "df": df[keep]})
         yield from table.to_batches(max_chunksize=10_000)
 
-    shared = rare.repartition("token").mapInArrow(owners, "token long, rid long, place long, df long")
+    shared = rare.repartition("token").mapInArrow(owners, "token long, node long, place long, df long")
     # Frequent shingles are known to be shared and never meet in one task.
+    late = stage(late, "late")
     counted = late.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = shared.union(late.join(F.broadcast(counted), "token"))  # at most HOT rows
     return shared.select(
-        "token", "rid", F.expr("cast(place div 2147483648 as int)").alias("n"),
+        "token", "node", F.expr("cast(place div 2147483648 as int)").alias("n"),
         F.expr("cast(place % 2147483648 as int)").alias("pos"), "df",
     )
 
 
 def adaptive_prefixes(postings, percent=PERCENT):
-    """(token, rid, n, need, score): postings within the prefix of the l each document chose."""
-    own = W.partitionBy("rid")
+    """(token, node, n, need, score): postings within the prefix of the need each node chose."""
+    own = W.partitionBy("node")
     must = F.floor((F.col("n") * percent + 99) / 100)
-    inside = [F.col("pos") < F.col("n") - must + l for l in range(1, MOST + 1)]
-    met = [F.sum(F.when(x, F.col("df") - 1).otherwise(0)).over(own) for x in inside]
-    costs = [
-        F.when((must >= l) | F.lit(l == 1), met[l - 1] * (1 + VERIFY_COST / l)) for l in range(1, MOST + 1)
-    ]
-    out = postings.withColumns({f"_c{l}": costs[l - 1] for l in range(1, MOST + 1)})
-    out = out.withColumn("_owned", F.count(F.lit(1)).over(own))
-    best = F.least(*[F.col(f"_c{l}") for l in range(1, MOST + 1)])
-    need = F.lit(MOST)
-    for l in range(MOST - 1, 0, -1):
+    met = {l: F.sum(F.when(F.col("pos") < F.col("n") - must + l, F.col("df") - 1).otherwise(0)).over(own) for l in NEEDS}
+    costs = {f"_c{l}": F.when((must >= l) | F.lit(l == 1), met[l] * (1 + VERIFY_COST / l)) for l in NEEDS}
+    out = postings.withColumns({**costs, "_owned": F.count(F.lit(1)).over(own)})
+    best, need = F.least(*costs), F.lit(NEEDS[-1])
+    for l in NEEDS[-2::-1]:
         need = F.when(F.col(f"_c{l}") == best, F.lit(l)).otherwise(need)
     out = out.withColumn("need", need).filter(F.col("pos") < F.col("n") - must + F.col("need"))
-    # Share of the prefix that others own too: 1 for the text that near copies were made from.
-    return out.select("token", "rid", "n", "need", (F.col("_owned") / F.col("n")).alias("score"))
+    # Share of the prefix that others own too: highest for the text that near copies were made from.
+    return out.select("token", "node", "n", "need", (F.col("_owned") / F.col("n")).alias("score"))
 
 
 def _fit(a, b, percent):
@@ -155,100 +182,106 @@ def _fit(a, b, percent):
 
 
 def promising_pairs(prefixes, percent=PERCENT):
-    """(a, b): for each document the partner it shares most with among the heads of its lists."""
-    heads = prefixes.groupBy("token").agg(F.max(F.struct("score", (-F.col("rid")).alias("back"), "n")).alias("h"))
+    """(a, b): for each node the partner it shares most with among the heads of its lists."""
+    heads = prefixes.groupBy("token").agg(F.max(F.struct("score", "node", "n", "need")).alias("h"))
     heads = stage(heads, "heads")
-    met = prefixes.join(heads, "token").filter((F.col("rid") != -F.col("h.back")) & _fit(F.col("n"), F.col("h.n"), percent))
-    met = met.groupBy("rid", (-F.col("h.back")).alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max("h.score").alias("s"))
-    best = met.groupBy("rid").agg(F.max(F.struct("k", "s", (-F.col("b")).alias("back"))).alias("best"))
-    return best.select(F.col("rid").alias("a"), (-F.col("best.back")).alias("b"))
+    met = prefixes.join(heads, "token")
+    met = met.filter((F.col("node") != F.col("h.node")) & _fit(F.col("n"), F.col("h.n"), percent))
+    met = met.groupBy("node", F.col("h.node").alias("b"), F.least("need", "h.need").alias("least"))
+    met = met.agg(F.count(F.lit(1)).alias("k"), F.max("h.score").alias("s")).filter("k >= least")
+    best = met.groupBy("node").agg(F.max(F.struct("k", "s", "b")).alias("best"))
+    return best.select(F.col("node").alias("a"), F.col("best.b").alias("b"))
+
+
+def node_sets(docs, pairs, n_words=WORDS, bits=FILTER_BITS):
+    """(node, tokens) of the nodes in pairs (a, b), computed from the texts."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    bit = F.pmod("node", F.lit(bits)) + 1  # bucket and position both count from 1
+    marks = wanted.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("marks")
+    )
+    filled = np.zeros(bits + (1 << 16), dtype=bool)
+    for part, mark in marks.collect():  # at most bits / 32768 rows of 4096 bytes
+        flags = np.unpackbits(np.frombuffer(bytes(mark), dtype=np.uint8), bitorder="little")
+        start = (part - 1) * 32768
+        filled[start : start + len(flags)] = flags
+    filled = np.packbits(filled)
+
+    def sets(batches):
+        for batch in batches:
+            found = {}
+            for s in _sets(batch, n_words):
+                if len(s):
+                    node = _node(s)
+                    at = node % bits
+                    if filled[at >> 3] >> (7 - (at & 7)) & 1:
+                        found[node] = s.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), _lists(list(found.values()))], ["node", "tokens"])
+
+    found = docs.select("text").mapInArrow(sets, "node long, tokens array<bigint>")
+    return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def verified(pairs, sets, percent=PERCENT):
+def verified(docs, pairs, percent=PERCENT, n_words=WORDS):
     """Pairs (a, b) whose whole sets are similar enough."""
-    left = sets.select(F.col("rid").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("rid").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
+    sets = stage(node_sets(docs, pairs, n_words), "sets")
+    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
+    both = pairs.join(right, "b").join(left, "a")
     both = both.withColumn("i", F.size(F.array_intersect("ta", "tb")))
     return both.filter(F.col("i") * 100 >= percent * (F.size("ta") + F.size("tb") - F.col("i"))).select("a", "b")
 
 
 def group_pairs(prefixes, groups, percent=PERCENT, block=BLOCK):
     """(a, b) of different groups that share as many prefix shingles as the smaller need."""
-    placed = prefixes.join(groups, "rid", "left").withColumn("g", F.coalesce("g", "rid"))
-    placed = stage(placed.select("token", "rid", "n", "need", "g"), "grouped")
+    placed = prefixes.join(groups, "node", "left").withColumn("g", F.coalesce("g", "node"))
+    placed = stage(placed.select("token", "node", "n", "need", "g"), "grouped")
     counts = placed.groupBy("token", "g").agg(F.count(F.lit(1)).alias("c"))
     spans = counts.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi")
     counts = stage(counts.join(spans.select("token"), "token", "left_semi"), "group-counts")
     lists = placed.join(counts, ["token", "g"])
-    salt = F.pmod(F.xxhash64("rid"), F.ceil(F.col("c") / block))
-    lists = lists.groupBy("token", "g", salt.alias("salt")).agg(F.collect_list(F.struct("rid", "n", "need")).alias("docs"))
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / block))
+    lists = lists.groupBy("token", "g", salt.alias("salt")).agg(F.collect_list(F.struct("node", "n", "need")).alias("docs"))
     lists = stage(lists.select("token", "g", "docs"), "lists")
     other = lists.select("token", F.col("g").alias("h"), F.col("docs").alias("others"))
     met = lists.join(other, "token").filter("g < h")
     met = met.select("others", F.explode("docs").alias("x")).select("x", F.explode("others").alias("y"))
     met = met.filter(_fit(F.col("x.n"), F.col("y.n"), percent))
-    met = met.groupBy(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
+    met = met.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     met = met.agg(F.count(F.lit(1)).alias("k"), F.min(F.least("x.need", "y.need")).alias("need"))
     return met.filter("k >= need").select("a", "b")
 
 
-def document_sets(docs, wanted, n_words=WORDS):
-    """(rid, tokens) of the documents in wanted (doc_id, text_key, rid), read from their texts again."""
-    found = docs.join(wanted.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key"),
-                      docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["text_key"] == F.col("_key")))
-
-    def sets(batches):
-        for batch in batches:
-            all_sets = [s.view(np.int64) for s in _sets(batch, n_words)]
-            values = pa.array(np.concatenate([*all_sets, np.zeros(0, dtype=np.int64)]))
-            offsets = pa.array(np.cumsum([0, *map(len, all_sets)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], ["rid", "tokens"])
-
-    return found.select("rid", "text").mapInArrow(sets, "rid long, tokens array<bigint>").dropDuplicates(["rid"])
-
-
 def jaccard_components(docs, percent=PERCENT, n_words=WORDS):
-    """(doc_id, text_key, n_shingles, component_id) of every document."""
+    """(doc_id, n_shingles, component_id) of every document."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole(F.col("text")).alias("text"))
-    docs = docs.withColumn("text_key", text_key(F.col("text")))
-    hot = frequent_shingles(docs, n_words)
-    rows = ordered_prefixes(docs, hot, percent, n_words)
-    rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()), "prefixes")
-    classes = rows.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("first_id"))
-    classes = stage(classes, "classes")
-    reps = rows.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    postings = stage(shared_postings(reps), "postings")
+    surveyed = stage(survey(docs, n_words), "survey")
+    hot = frequent_shingles(surveyed)
+    postings = stage(shared_postings(ordered_prefixes(docs, hot, percent, n_words)), "postings")
     prefixes = stage(adaptive_prefixes(postings, percent), "adapted")
-    owners = prefixes.select("rid").distinct()
-    wanted = rows.select("doc_id", "text_key", "rid").join(owners, "rid", "left_semi")
-    sets = stage(document_sets(docs, wanted, n_words), "sets")
-    near = stage(verified(promising_pairs(prefixes, percent), sets, percent), "near")
-    # Any connected group will do here: a document, its partner and that one's partner.
+    near = stage(verified(docs, stage(promising_pairs(prefixes, percent), "promising"), percent, n_words), "near")
+    # Any connected group will do here: a node, its partner and that one's partner.
     step = near.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    groups = near.join(step, "b", "left").select(F.col("a").alias("rid"), F.coalesce("c", "b").alias("g"))
-    links = near.union(verified(group_pairs(prefixes, groups, percent), sets, percent))
-    roots = components(links).withColumnRenamed("node", "rep")
-    placed = classes.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    placed = stage(placed.select("digest", "root", "first_id"), "placed")
-    least = placed.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    ids = stage(placed.join(least, "root").select("digest", "least_id"), "component-ids")
-    out = rows.select("doc_id", "text_key", "n", "digest").join(ids, "digest", "left")
-    return out.select(
-        "doc_id", "text_key", F.col("n").cast("bigint").alias("n_shingles"),
+    groups = near.join(step, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("g"))
+    pairs = stage(group_pairs(prefixes, groups, percent), "pairs")
+    roots = components(near.union(verified(docs, pairs, percent, n_words)))
+    rows = surveyed.filter("n >= 0")
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    nodes = stage(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
+    least = nodes.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    ids = stage(nodes.join(least, "root").select("node", "least_id"), "component-ids")
+    return rows.join(ids, "node", "left").select(
+        "doc_id", F.col("n").cast("bigint").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
 def first_of_each(docs, percent=PERCENT, n_words=WORDS):
-    """Documents with the smallest id of their component, whole; of repeated rows of that id, one.
+    """Documents with the smallest id of their component, whole; of rows sharing that id, one.
 
     Rows with a null id have no smallest id to compare with and stay.
     """
-    keyed = docs.withColumn("text_key", text_key(F.col("text")))
     found = stage(jaccard_components(docs, percent, n_words), "components")
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id", "text_key").distinct()
-    one = keep.groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
-    named = keyed.filter("doc_id is not null").join(one, ["doc_id", "text_key"], "left_semi")
-    named = named.dropDuplicates(["doc_id", "text_key"])  # by the join's own partitions
-    return named.select(*docs.columns).union(keyed.filter("doc_id is null").select(*docs.columns))
+    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi")
+    return named.dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null"))

@@ -264,7 +264,7 @@ from reach left join n using (doc_id) group by doc_id
 
 @query("op7_ngram_jaccard", JACCARD_SQL)
 def ngram_jaccard(spark, sf_dir):
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_key")
+    return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 SUBSTRING_SQL = f"""
