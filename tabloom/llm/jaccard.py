@@ -2,9 +2,10 @@
 
 A document is its set of distinct 5-word shingles. Shingles have one global order, rare before
 frequent. Two sets of the wanted similarity share at least l shingles among the first
-n - ceil(t n) + l of each, for any l. Each document takes the l from 1 to ``MOST`` with the least
-estimated cost: the postings its prefix would meet, plus verifications, of which there are at most
-(postings met) / l. A pair is verified once it shares as many prefix shingles as the smaller l of
+n - ceil(t n) + l of each, for any l. Each document takes, of 1 and some parts of n, the l with the
+least estimated cost: the postings its prefix would meet, plus verifications, of which there are at most
+(postings met) / l. A document whose prefix for some l holds fewer than l shingles that anyone shares
+has no partner. A pair is verified once it shares as many prefix shingles as the smaller l of
 the two; verification counts the whole sets.
 
 Steps, all distributed:
@@ -45,7 +46,7 @@ from .words import whole
 
 PERCENT = 75
 WORDS = 5
-NEEDS = (1, 2, 4, 8, 16)
+PARTS = (None, 64, 32, 16)  # needs: 1, and these parts of the set
 VERIFY_COST = 50
 HOT = 65_536
 BLOCK = 256
@@ -70,6 +71,11 @@ def _must(n, percent):
     return (n * percent + 99) // 100
 
 
+def _needs(n):
+    """Shared shingles a prefix may ask for, in ascending order, as integer columns or arrays."""
+    return [F.lit(1) if p is None else F.greatest(F.floor(n / p), F.lit(1)).cast("int") for p in PARTS]
+
+
 def survey(docs, n_words=WORDS):
     """(doc_id, n, node, token, times): a row per document, and with n = -1 the frequent shingles of each batch."""
 
@@ -77,7 +83,7 @@ def survey(docs, n_words=WORDS):
         for batch in batches:
             sets = _sets(batch, n_words)
             token, times = np.unique(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), return_counts=True)
-            often = times >= max(8, len(sets) // 500)
+            often = times >= max(3, len(sets) // 1000)
             token, times = token[often].view(np.int64), times[often]
             k = len(token)
             yield pa.RecordBatch.from_pydict(
@@ -116,7 +122,7 @@ def ordered_prefixes(docs, hot, percent=PERCENT, n_words=WORDS):
                 at[at == len(tokens)] = 0
                 known = tokens[at] == s if len(tokens) else np.zeros(len(s), dtype=bool)
                 late = s[known][np.argsort(counts[at[known]], kind="stable")]
-                length = min(len(s), len(s) - _must(len(s), percent) + NEEDS[-1])
+                length = min(len(s), len(s) - _must(len(s), percent) + max(1, len(s) // PARTS[-1]))
                 rares.append(min(length, int(len(s) - known.sum())))
                 heads.append(np.concatenate([s[~known], late])[:length].view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -165,28 +171,37 @@ def shared_postings(prefixes):
 def adaptive_prefixes(postings, percent=PERCENT):
     """(token, node, n, need, score): postings within the prefix of the need each node chose."""
     own = W.partitionBy("node")
-    must = F.floor((F.col("n") * percent + 99) / 100)
-    met = {l: F.sum(F.when(F.col("pos") < F.col("n") - must + l, F.col("df") - 1).otherwise(0)).over(own) for l in NEEDS}
-    costs = {f"_c{l}": F.when((must >= l) | F.lit(l == 1), met[l] * (1 + VERIFY_COST / l)) for l in NEEDS}
-    out = postings.withColumns({**costs, "_owned": F.count(F.lit(1)).over(own)})
-    best, need = F.least(*costs), F.lit(NEEDS[-1])
-    for l in NEEDS[-2::-1]:
-        need = F.when(F.col(f"_c{l}") == best, F.lit(l)).otherwise(need)
-    out = out.withColumn("need", need).filter(F.col("pos") < F.col("n") - must + F.col("need"))
-    # Share of the prefix that others own too: highest for the text that near copies were made from.
-    return out.select("token", "node", "n", "need", (F.col("_owned") / F.col("n")).alias("score"))
-
-
-def _fit(a, b, percent):
-    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
+    head = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)  # the prefix for need l is head + l long
+    needs = dict(enumerate(_needs(F.col("n"))))
+    inside = {i: F.col("pos") < head + l for i, l in needs.items()}
+    met = {i: F.sum(F.when(x, F.col("df") - 1).otherwise(0)).over(own) for i, x in inside.items()}
+    held = {i: F.sum(F.when(x, 1).otherwise(0)).over(own) for i, x in inside.items()}
+    out = postings.withColumns({f"_c{i}": met[i] * (1 + VERIFY_COST / l) for i, l in needs.items()})
+    out = out.withColumns({f"_h{i}": held[i] for i in needs}).withColumn("_owned", F.count(F.lit(1)).over(own))
+    # What no partner at all shares often enough has no partner.
+    for i, l in needs.items():
+        out = out.filter(F.col(f"_h{i}") >= l)
+    best, need = F.least(*[F.col(f"_c{i}") for i in needs]), needs[len(PARTS) - 1]
+    for i in range(len(PARTS) - 2, -1, -1):
+        need = F.when(F.col(f"_c{i}") == best, needs[i]).otherwise(need)
+    out = out.withColumn("need", need).filter(F.col("pos") < head + F.col("need"))
+    # Shingles nobody shares cannot be in an intersection: at most this many are.
+    most = F.col("n") - (F.least(F.col("n"), head + needs[len(PARTS) - 1]) - F.col("_owned"))
+    return out.select("token", "node", "n", most.cast("int").alias("most"), "need")
+
+
+def _can_link(n, most, n2, most2, percent):
+    """Whether sets of n and n2 shingles can be similar enough, sharing at most the smaller most."""
+    return F.least(most, most2) * (100 + percent) >= percent * (n + n2)
 
 
 def promising_pairs(prefixes, percent=PERCENT):
-    """(a, b): for each node the partner it shares most with among the heads of its lists."""
-    heads = prefixes.groupBy("token").agg(F.max(F.struct("score", "node", "n", "need")).alias("h"))
-    heads = stage(heads, "heads")
-    met = prefixes.join(heads, "token")
-    met = met.filter((F.col("node") != F.col("h.node")) & _fit(F.col("n"), F.col("h.n"), percent))
+    """(a, b): for each node the partner it shares most with among the heads of its lists, the heads
+    being the nodes with the largest share of shared shingles."""
+    head = F.struct((F.col("most") / F.col("n")).alias("score"), "node", "n", "most", "need")
+    heads = stage(prefixes.groupBy("token").agg(F.max(head).alias("h")), "heads")
+    met = prefixes.join(heads, "token").filter(F.col("node") != F.col("h.node"))
+    met = met.filter(_can_link(F.col("n"), F.col("most"), F.col("h.n"), F.col("h.most"), percent))
     met = met.groupBy("node", F.col("h.node").alias("b"), F.least("need", "h.need").alias("least"))
     met = met.agg(F.count(F.lit(1)).alias("k"), F.max("h.score").alias("s")).filter("k >= least")
     best = met.groupBy("node").agg(F.max(F.struct("k", "s", "b")).alias("best"))
@@ -195,7 +210,7 @@ def promising_pairs(prefixes, percent=PERCENT):
 
 def node_sets(docs, pairs, n_words=WORDS, bits=FILTER_BITS):
     """(node, tokens) of the nodes in pairs (a, b), computed from the texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
     bit = F.pmod("node", F.lit(bits)) + 1  # bucket and position both count from 1
     marks = wanted.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("marks")
@@ -233,23 +248,38 @@ def verified(docs, pairs, percent=PERCENT, n_words=WORDS):
 
 
 def group_pairs(prefixes, groups, percent=PERCENT, block=BLOCK):
-    """(a, b) of different groups that share as many prefix shingles as the smaller need."""
+    """(a, b) of different groups that share as many prefix shingles as the smaller need.
+
+    Posting lists meet in blocks of about ``block`` entries; NumPy compares two blocks at a time and
+    only pairs that can link become rows.
+    """
     placed = prefixes.join(groups, "node", "left").withColumn("g", F.coalesce("g", "node"))
-    placed = stage(placed.select("token", "node", "n", "need", "g"), "grouped")
-    counts = placed.groupBy("token", "g").agg(F.count(F.lit(1)).alias("c"))
-    spans = counts.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi")
-    counts = stage(counts.join(spans.select("token"), "token", "left_semi"), "group-counts")
-    lists = placed.join(counts, ["token", "g"])
-    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / block))
-    lists = lists.groupBy("token", "g", salt.alias("salt")).agg(F.collect_list(F.struct("node", "n", "need")).alias("docs"))
-    lists = stage(lists.select("token", "g", "docs"), "lists")
-    other = lists.select("token", F.col("g").alias("h"), F.col("docs").alias("others"))
-    met = lists.join(other, "token").filter("g < h")
-    met = met.select("others", F.explode("docs").alias("x")).select("x", F.explode("others").alias("y"))
-    met = met.filter(_fit(F.col("x.n"), F.col("y.n"), percent))
-    met = met.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    met = met.agg(F.count(F.lit(1)).alias("k"), F.min(F.least("x.need", "y.need")).alias("need"))
-    return met.filter("k >= need").select("a", "b")
+    placed = stage(placed.select("token", "node", "n", "most", "need", "g"), "grouped")
+    spans = placed.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("lo"), F.max("g").alias("hi"))
+    spans = stage(spans.filter("lo < hi").select("token", "c"), "spans")
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / block)).alias("salt")
+    fields = ["node", "g", "n", "most", "need"]
+    lists = placed.join(spans, "token").groupBy("token", salt)
+    lists = stage(lists.agg(*[F.collect_list(x).alias(x) for x in fields]), "lists")
+    other = lists.select("token", F.col("salt").alias("salt2"), *[F.col(x).alias(f"{x}2") for x in fields])
+    met = lists.join(other, "token").filter("salt <= salt2")
+
+    def compare(batches):
+        for batch in batches:
+            parts = []
+            for row in batch.to_pylist():
+                one = [np.array(row[x], dtype=np.int64)[:, None] for x in fields]
+                two = [np.array(row[f"{x}2"], dtype=np.int64)[None, :] for x in fields]
+                ok = np.minimum(one[3], two[3]) * (100 + percent) >= percent * (one[2] + two[2])
+                ok &= (one[1] != two[1]) & ((one[0] < two[0]) | (row["salt"] < row["salt2"]))
+                i, j = np.nonzero(ok)
+                parts.append((one[0][i, 0], two[0][0, j], np.minimum(one[4][i, 0], two[4][0, j])))
+            a, b, need = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), "need": need})
+
+    columns = ["salt", "salt2", *fields, *[f"{x}2" for x in fields]]
+    met = met.select(columns).mapInArrow(compare, "a long, b long, need long").groupBy("a", "b")
+    return met.agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need")).filter("k >= need").select("a", "b")
 
 
 def jaccard_components(docs, percent=PERCENT, n_words=WORDS):
