@@ -9,8 +9,8 @@ The dictionary is trained on the serialized ids of at most ``SAMPLE_DOCS`` docum
 ``SAMPLE_BYTES`` bytes of text (a seeded draw over the whole table): it changes sizes, never
 contents. With too few samples there is none, and its hash is zero.
 
-Encoding is by the tokenizers library. Pieces between single spaces are cut where the pre-tokenizer
-cuts as well, so each distinct piece is encoded once per worker and then taken from a bounded cache.
+Encoding is by the tokenizers library. Texts are cut into pieces only where the pre-tokenizer cuts as
+well, so a piece is encoded once and then taken from a bounded cache of the worker.
 
 Defined cases: a null text is the empty text, one end id; null ids come first; equal ids are ordered
 by their text's hash and each keeps its own entry; an empty table writes no shard; extra columns are
@@ -18,7 +18,10 @@ ignored. Lost tasks write the same bytes again under the same name.
 """
 
 import hashlib
+import re
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -39,6 +42,8 @@ LEVEL = 3
 CACHED_PIECES = 400_000
 CHUNK_CHARS = 1_000_000
 NO_DICTIONARY = bytes(32)
+UNEVEN = re.compile(r"\s\s")
+MARK = re.compile(r"[.,](?=[ \n])(?<=[^\W_].)")
 
 
 class Encoder:
@@ -47,32 +52,37 @@ class Encoder:
     def __init__(self, vocabulary):
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise OSError("ids are serialized as this machine's unsigned 32-bit integers")
+
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.known = {}
 
     def ids(self, texts):
         """Serialized ids of each text as the library gives them."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]  # little-endian machines only, as checked above
 
     def encode(self, texts):
         end = np.array([END_ID], dtype="<u4").tobytes()
-        cut = [None if "  " in t else self._pieces(t) for t in texts]
         if len(self.known) > CACHED_PIECES:
             self.known = {}
-        new = list({p for pieces in cut if pieces for p in pieces if p not in self.known})
-        self.known.update(zip(new, self.ids(new)))
-        get = self.known.__getitem__
+        get = self.known.get
+        cut = [None if "\0" in t or UNEVEN.search(t) else self._pieces(t) for t in texts]
+        found = [pieces and list(map(get, pieces)) for pieces in cut]
+        new = {p for pieces, ids in zip(cut, found) if ids and None in ids for p, x in zip(pieces, ids) if x is None}
+        self.known.update(zip(new, self.ids(list(new))))
         return [
-            (self.ids([t])[0] if pieces is None else b"".join(map(get, pieces))) + end
-            for t, pieces in zip(texts, cut)
+            (self.ids([t])[0] if ids is None else b"".join(map(get, pieces) if None in ids else ids)) + end
+            for t, pieces, ids in zip(texts, cut, found)
         ]
 
     @staticmethod
     def _pieces(text):
-        """Each single space starts a piece; without double spaces these are token boundaries."""
-        head, *rest = text.split(" ")
-        return [head, *map(" ".__add__, rest)]
+        """Without neighbouring blanks, each space starts a token, each line end is one, and a mark
+        between a letter or digit and a blank starts one."""
+        marked = MARK.sub(r"\0\g<0>", text)
+        return marked.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
 @lru_cache(maxsize=2)
