@@ -113,8 +113,10 @@ def score_lines(docs, rules=QualityRules()):
 
 def clean_documents(docs, rules=QualityRules()):
     """Documents that pass, with their failing lines removed and n_chars counted anew."""
-    scored = score_lines(docs.select(*docs.columns), rules).filter("kept")
-    new = {"text": F.col("clean_text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("clean_text").cast("bigint")
+    scored = score_lines(docs, rules)
+    # A generator drops the others: a filter would be pushed down and score every text twice.
+    passed = F.when(F.col("kept"), F.array(F.struct(F.col("clean_text").alias("_clean"))))
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    scored = scored.select(*others, F.inline(passed))
+    new = {"text": F.col("_clean"), "n_chars": F.length("_clean").cast("bigint")}
     return scored.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
