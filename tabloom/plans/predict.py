@@ -77,8 +77,11 @@ def predict_value(
     context, queries, row, vec, target, bagging=8, m=K.MAX_CONTEXT_ROWS, seed=42, kind="cosine",
     index="row_ord", bins=K.NUM_BINS, scale=None,
 ):
-    """(row, pred): expected value over the quantile bins of each bag, averaged over the bags."""
-    valued = context.where(F.col(target).isNotNull()).withColumn("_y", F.col(target).cast("double"))
+    """(row, pred): expected value over the quantile bins of each bag, averaged over the bags.
+
+    NaN targets are missing targets.
+    """
+    valued = context.withColumn("_y", F.col(target).cast("double")).where("_y is not null and not isnan(_y)")
     bags, limit, drawn = draw_context(valued, bagging, m, seed, index)
     marked = drawn.withColumn("is_query", F.lit(False))
     coded = E.quantile_bin(marked, ["_y"], ["bag"], bins, scale)

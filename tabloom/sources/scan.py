@@ -1,6 +1,7 @@
 """Table scans: row ordinals, chunks, probe chunks and the long cell relation."""
 
 import base64
+import time
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -33,6 +34,23 @@ def scan(spark, root, paths=None, schema=None):
     )
 
 
+def retried(read, attempts=3, wait=0.2):
+    """What read() gives; an input/output error is tried again and then raised, never swallowed."""
+    for attempt in range(attempts):
+        try:
+            return read()
+        except OSError:
+            if attempt == attempts - 1:
+                raise
+            time.sleep(wait * 2**attempt)
+
+
+def _first_rows(path, size):
+    fs, inner = _open(path)
+    with fs.open_input_file(inner) as source:
+        return next(pq.ParquetFile(source).iter_batches(batch_size=size), None)
+
+
 def probe_scan(spark, root, tables, schema, size, min_rows=1):
     """Rows of the first chunk of each table of one schema, as ``scan`` gives them.
 
@@ -49,13 +67,11 @@ def probe_scan(spark, root, tables, schema, size, min_rows=1):
             ids, paths = batch.column("table_id").to_pylist(), batch.column("path").to_pylist()
             for table_id, path in zip(ids, paths):
                 try:
-                    fs, inner = _open(path)
-                    with fs.open_input_file(inner) as source:
-                        rows = next(pq.ParquetFile(source).iter_batches(batch_size=size), None)
+                    rows = retried(lambda path=path: _first_rows(path, size))
                     if rows is None or rows.num_rows < min_rows:
                         continue
                     cast = pa.Table.from_batches([rows]).cast(arrow)
-                except (OSError, pa.ArrowException):
+                except pa.ArrowException:  # not a Parquet file, or broken inside
                     continue
                 n = rows.num_rows
                 keys = [pa.array([table_id] * n, pa.string()), pa.array(range(n), pa.int64())]
@@ -174,15 +190,19 @@ def _open(path):
         raise RuntimeError(f"no filesystem for {path}") from exc
 
 
+def _footer(path):
+    fs, inner = _open(path)
+    return pq.read_schema(inner, filesystem=fs).remove_metadata()
+
+
 def _footer_schemas(batches):
     for batch in batches:
         keys = []
         for path in batch.column("path").to_pylist():
             try:
-                fs, inner = _open(path)
-                schema = pq.read_schema(inner, filesystem=fs).remove_metadata()
+                schema = retried(lambda path=path: _footer(path))
                 keys.append(base64.b64encode(schema.serialize().to_pybytes()).decode())
-            except (OSError, pa.ArrowException):
+            except pa.ArrowException:  # not a Parquet file, or broken inside
                 keys.append(None)
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(keys, pa.string())], names=[*batch.schema.names, "schema_key"]

@@ -1,31 +1,46 @@
 """Sample output."""
 
+from functools import reduce
+
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 LAYOUT = ("task", "stage", "epoch")
 
 
-def write_samples(samples, path):
-    """Write samples by task, stage and epoch, replacing just the partitions they fall in.
+def write_samples(samples, path, shard=None):
+    """Write samples by task, stage and epoch, replacing just the partitions they fall in, and give
+    back what this run wrote.
 
-    Classification targets are integers, regression targets floats: both typed columns exist and
-    the other one is null. Raises when no sample was produced.
+    Runs that each write a part of the same epochs name their ``shard``: it is a further partition
+    level, so that one run never replaces what another wrote. Classification targets are integers,
+    regression targets floats: both typed columns exist and the other one is null. Raises when this
+    run produced no sample, whatever lies below the path already.
     """
-    typed = samples
+    typed, layout = samples, list(LAYOUT)
+    if shard is not None:
+        typed, layout = typed.withColumn("shard", F.lit(shard)), [*layout, "shard"]
     if "target" in samples.columns:
         is_reg = F.col("task") == "regression"
-        typed = samples.withColumn(
+        typed = typed.withColumn(
             "target_int", F.when(~is_reg, F.col("target")).cast("int")
         ).withColumn("target_float", F.when(is_reg, F.col("target")).cast("float"))
         typed = typed.drop("target")
+    seen = Observation()
+    # One entry per partition written.
+    places = F.collect_set(F.struct(*[F.col(c).cast("string").alias(c) for c in layout]))
     (
-        typed.write.mode("overwrite")
+        typed.observe(seen, F.count(F.lit(1)).alias("n"), places.alias("places"))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*LAYOUT)
+        .partitionBy(*layout)
         .parquet(path)
     )
-    spark = samples.sparkSession
-    written = spark.read.schema(typed.schema).parquet(path)
-    if written.isEmpty():
+    if not seen.get["n"]:
         raise ValueError(f"no eligible samples were produced for {path}")
-    return written
+    own = [
+        reduce(lambda x, y: x & y, [F.col(c).cast("string").eqNullSafe(F.lit(place[c])) for c in layout])
+        for place in seen.get["places"]
+    ]
+    written = samples.sparkSession.read.schema(typed.schema).parquet(path)
+    return written.where(reduce(lambda x, y: x | y, own))

@@ -119,9 +119,33 @@ def test_sink_types_and_empty_result(spark, tmp_path):
     got = {r.task: (r.target_int, r.target_float) for r in sink.write_samples(df, path).collect()}
     assert got == {"classification": (3, None), "regression": (None, 0.25)}
     again = sink.write_samples(df.where("task = 'regression'"), path)
-    assert again.count() == 2  # only the partition written was replaced
+    assert again.count() == 1 and spark.read.parquet(path).count() == 2  # only that partition was replaced
     with pytest.raises(ValueError):
         sink.write_samples(df.where("false"), str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        sink.write_samples(df.where("false"), path)  # older output does not hide an empty run
+
+
+def test_shards_of_an_epoch_do_not_replace_each_other(spark, tmp_path):
+    rows = [("regression", "s1", 0, 0.25), ("regression", "s1", 0, 0.5)]
+    df = spark.createDataFrame(rows, "task string, stage string, epoch int, target double")
+    path = str(tmp_path / "out")
+    for shard in (0, 1, 1):
+        assert sink.write_samples(df, path, shard).count() == 2
+    assert sorted(r.shard for r in spark.read.parquet(path).collect()) == [0, 0, 1, 1]
+
+
+def test_read_errors_are_retried_and_then_raised():
+    calls = []
+
+    def broken():
+        calls.append(1)
+        raise OSError("store is away")
+
+    with pytest.raises(OSError):
+        scan.retried(broken, wait=0)
+    assert len(calls) == 3
+    assert scan.retried(lambda: 5) == 5
 
 
 CONFIG = SampleConfig(
