@@ -18,7 +18,9 @@ Steps, all distributed:
    nodes with the least private prefix in its posting lists. Links found connect large groups of
    near copies, so that step 5 need not pair their members with each other.
 5. All pairs of different groups that share enough prefix shingles are verified. Posting lists are
-   kept in bounded blocks per group, so no task holds a whole list.
+   kept in bounded blocks per group, so no task holds a whole list. Before a pair becomes a row, two
+   bounds must allow the link: the shingles nobody else has, and the parity marks of the sets (each
+   shingle flips one of ``MARK_BITS`` bits; sets differ by at least the number of bits that differ).
 6. Components of all links, by star contraction.
 
 Sets are not stored for all documents: those of candidate pairs are computed again from the texts.
@@ -51,6 +53,7 @@ VERIFY_COST = 50
 HOT = 65_536
 BLOCK = 256
 FILTER_BITS = 1 << 24
+MARK_BITS = 512
 
 
 def _sets(batch, n_words):
@@ -61,6 +64,12 @@ def _node(s):
     return int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True)
 
 
+def _mark(s):
+    """Parity bits of a set: bit i tells whether an odd number of its shingles fall on i."""
+    odd = np.bincount((s % np.uint64(MARK_BITS)).astype(np.int64), minlength=MARK_BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 def _lists(parts):
     values = pa.array(np.concatenate([*parts, np.zeros(0, dtype=np.int64)]))
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), values)
@@ -77,7 +86,7 @@ def _needs(n):
 
 
 def survey(docs, n_words=WORDS):
-    """(doc_id, n, node, token, times): a row per document, and with n = -1 the frequent shingles of each batch."""
+    """(doc_id, n, node, mark, token, times): a row per document, and with n = -1 the frequent shingles of each batch."""
 
     def look(batches):
         for batch in batches:
@@ -91,12 +100,14 @@ def survey(docs, n_words=WORDS):
                     "doc_id": pa.concat_arrays([batch.column(0), pa.nulls(k, pa.int64())]),
                     "n": pa.array([len(s) for s in sets] + [-1] * k, pa.int32()),
                     "node": pa.array([_node(s) if len(s) else None for s in sets] + [None] * k, pa.int64()),
+                    "mark": pa.array([_mark(s) if len(s) else None for s in sets] + [None] * k, pa.binary()),
                     "token": pa.concat_arrays([pa.nulls(len(sets), pa.int64()), pa.array(token)]),
                     "times": pa.concat_arrays([pa.nulls(len(sets), pa.int64()), pa.array(times.astype(np.int64))]),
                 }
             )
 
-    return docs.select("doc_id", "text").mapInArrow(look, "doc_id long, n int, node long, token long, times long")
+    columns = "doc_id long, n int, node long, mark binary, token long, times long"
+    return docs.select("doc_id", "text").mapInArrow(look, columns)
 
 
 def frequent_shingles(surveyed, most=HOT):
@@ -247,7 +258,7 @@ def verified(docs, pairs, percent=PERCENT, n_words=WORDS):
     return both.filter(F.col("i") * 100 >= percent * (F.size("ta") + F.size("tb") - F.col("i"))).select("a", "b")
 
 
-def group_pairs(prefixes, groups, percent=PERCENT, block=BLOCK):
+def group_pairs(prefixes, groups, marks, percent=PERCENT, block=BLOCK):
     """(a, b) of different groups that share as many prefix shingles as the smaller need.
 
     Posting lists meet in blocks of about ``block`` entries; NumPy compares two blocks at a time and
@@ -258,8 +269,8 @@ def group_pairs(prefixes, groups, percent=PERCENT, block=BLOCK):
     spans = placed.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("lo"), F.max("g").alias("hi"))
     spans = stage(spans.filter("lo < hi").select("token", "c"), "spans")
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / block)).alias("salt")
-    fields = ["node", "g", "n", "most", "need"]
-    lists = placed.join(spans, "token").groupBy("token", salt)
+    fields = ["node", "g", "n", "most", "need", "mark"]
+    lists = placed.join(spans, "token").join(marks, "node").groupBy("token", salt)
     lists = stage(lists.agg(*[F.collect_list(x).alias(x) for x in fields]), "lists")
     other = lists.select("token", F.col("salt").alias("salt2"), *[F.col(x).alias(f"{x}2") for x in fields])
     met = lists.join(other, "token").filter("salt <= salt2")
@@ -268,11 +279,18 @@ def group_pairs(prefixes, groups, percent=PERCENT, block=BLOCK):
         for batch in batches:
             parts = []
             for row in batch.to_pylist():
-                one = [np.array(row[x], dtype=np.int64)[:, None] for x in fields]
-                two = [np.array(row[f"{x}2"], dtype=np.int64)[None, :] for x in fields]
+                one = [np.array(row[x], dtype=np.int64)[:, None] for x in fields[:-1]]
+                two = [np.array(row[f"{x}2"], dtype=np.int64)[None, :] for x in fields[:-1]]
                 ok = np.minimum(one[3], two[3]) * (100 + percent) >= percent * (one[2] + two[2])
                 ok &= (one[1] != two[1]) & ((one[0] < two[0]) | (row["salt"] < row["salt2"]))
                 i, j = np.nonzero(ok)
+                m, m2 = (np.frombuffer(b"".join(row[x]), dtype=np.uint64).reshape(len(row[x]), -1) for x in ("mark", "mark2"))
+                for at in range(0, len(i), 16_384):
+                    p, q = i[at : at + 16_384], j[at : at + 16_384]
+                    apart = np.bitwise_count(m[p] ^ m2[q]).sum(axis=1, dtype=np.int64)
+                    both = one[2][p, 0] + two[2][0, q]
+                    ok[p, q] = (both - apart) * (100 + percent) >= 2 * percent * both
+                i, j = np.nonzero(ok)
                 parts.append((one[0][i, 0], two[0][0, j], np.minimum(one[4][i, 0], two[4][0, j])))
             a, b, need = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
             yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), "need": need})
@@ -293,9 +311,10 @@ def jaccard_components(docs, percent=PERCENT, n_words=WORDS):
     # Any connected group will do here: a node, its partner and that one's partner.
     step = near.select(F.col("a").alias("b"), F.col("b").alias("c"))
     groups = near.join(step, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("g"))
-    pairs = stage(group_pairs(prefixes, groups, percent), "pairs")
-    roots = components(near.union(verified(docs, pairs, percent, n_words)))
     rows = surveyed.filter("n >= 0")
+    marks = rows.filter("n > 0").groupBy("node").agg(F.first("mark").alias("mark"))
+    pairs = stage(group_pairs(prefixes, groups, marks, percent), "pairs")
+    roots = components(near.union(verified(docs, pairs, percent, n_words)))
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     nodes = stage(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
     least = nodes.groupBy("root").agg(F.min("first_id").alias("least_id"))
