@@ -142,6 +142,19 @@ def test_jaccard_near_copies_of_many_degrees(spark):
     assert sorted([tuple(r) for r in got.collect()], key=str) == brute_components(rows)
 
 
+def test_parity_marks_never_exceed_the_difference_of_two_sets():
+    draw = np.random.default_rng(5)
+    for size in (1, 5, 60, 900, 5000):
+        base = draw.integers(0, 1 << 63, size, dtype=np.uint64)
+        for share in (0, 0.1, 0.3, 1):
+            new = draw.integers(0, 1 << 63, int(size * share), dtype=np.uint64)
+            a, b = np.unique(base), np.unique(np.concatenate([base[len(new) :], new]))
+            bits = [np.frombuffer(jaccard._mark(x), dtype=np.uint64) for x in (a, b)]
+            apart = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+            assert apart <= len(np.setxor1d(a, b))
+            assert len(bits[0]) * 64 == jaccard.MARK_BITS
+
+
 def brute_repeats(rows):
     cut = [(i, BLANKS.findall(t or "")) for i, t in rows]
     first = {}
