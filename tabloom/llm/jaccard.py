@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import stage
 from .components import components
-from .shingles import shingle_set
+from .shingles import shingle_sets
 from .words import whole
 
 PERCENT = 75
@@ -57,7 +57,7 @@ MARK_BITS = 512
 
 
 def _sets(batch, n_words):
-    return [shingle_set(t.as_py(), n_words) for t in batch.column(batch.schema.get_field_index("text"))]
+    return shingle_sets(batch.column(batch.schema.get_field_index("text")), n_words)
 
 
 def _node(s):

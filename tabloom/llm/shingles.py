@@ -5,10 +5,12 @@ A word is a run of bytes other than the ASCII blanks. Its hash is a polynomial o
 """
 
 import numpy as np
+import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BLOCK = 1 << 20
+PIECE, TOGETHER = 1 << 16, 1 << 20  # bytes summed at once, and of short texts handled at once
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -81,3 +83,48 @@ def shingle_set(text, n=5):
     """Sorted distinct hashes of the n-word runs of a text in lower case (A-Z); fewer words are one run."""
     hashes = words(text, lower=True)[3]
     return np.unique(runs(hashes, min(n, max(1, len(hashes)))))
+
+
+def _word_hashes(data, cuts):
+    """(hashes, first): hashes of all words of texts lying side by side, text i's from first[i] on."""
+    blank = np.ones(len(data) + 2, dtype=bool)
+    blank[1:-1] = BLANK[data]
+    begin, end = ~blank[1:-1], ~blank[1:-1]
+    begin &= blank[:-2]
+    end &= blank[2:]
+    inner = cuts[(cuts > 0) & (cuts < len(data))]  # a text's edge parts words as a blank does
+    begin[inner] = ~blank[inner + 1]
+    end[inner - 1] = ~blank[inner]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    hashes, at = np.empty(len(starts), dtype=np.uint64), 0
+    while at < len(starts):
+        low = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, low + PIECE, side="right")))
+        a, b = starts[at:to] - low, ends[at:to] - low
+        piece = LOWER[data[low : low + b[-1]]]
+        up, down = powers(len(piece) + 1)
+        sums = np.zeros(len(piece) + 1, dtype=np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=sums[1:])
+        value = (sums[b] - sums[a]) * down[a]
+        hashes[at:to] = mix(value ^ ((b - a).astype(np.uint64) << np.uint64(48)))
+        at = to
+    return hashes, np.searchsorted(starts, cuts)
+
+
+def shingle_sets(texts, n=5):
+    """``shingle_set`` of each text of an Arrow array, read from its buffer."""
+    raw = texts.cast(pa.large_binary()).fill_null(b"")
+    cuts = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else []
+    data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)
+    sets, at = [], 0
+    while at < len(raw):
+        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + TOGETHER, side="right")) - 1)
+        hashes, first = _word_hashes(data[cuts[at] : cuts[to]], cuts[at : to + 1] - cuts[at])
+        joined = runs(hashes, n)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            found = np.sort(joined[a : b - n + 1] if b - a >= n else runs(hashes[a:b], max(1, b - a)))
+            new = np.ones(len(found), dtype=bool)
+            np.not_equal(found[1:], found[:-1], out=new[1:])
+            sets.append(found[new])
+        at = to
+    return sets
