@@ -51,6 +51,7 @@ WORDS = 5
 PARTS = (None, 64, 32, 16)  # needs: 1, and these parts of the set
 VERIFY_COST = 50
 HOT = 65_536
+SPREAD = 1_024  # tasks at most that share the owners of one frequent shingle
 BLOCK = 256
 FILTER_BITS = 1 << 24
 MARK_BITS = 512
@@ -148,31 +149,33 @@ def ordered_prefixes(docs, hot, percent=PERCENT, n_words=WORDS):
 def shared_postings(prefixes):
     """(token, node, n, pos, df) of prefix shingles with two owners or more."""
     cut = prefixes.select("node", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
-    place = (F.col("n").cast("bigint") * (1 << 31) + F.col("pos")).alias("place")
-    late = cut.filter(F.col("pos") >= F.col("rare")).select("token", "node", place).distinct()
-    rare = cut.filter(F.col("pos") < F.col("rare")).select("token", "node", place)
+    place = F.col("n").cast("bigint") * (1 << 31) + F.col("pos")
+    # Frequent shingles are known to be shared: their owners spread over tasks and are counted later.
+    often = F.col("pos") >= F.col("rare")
+    cut = cut.select("token", "node", place.alias("place"), often.alias("often"))
+    spread = F.when(F.col("often"), F.pmod("node", F.lit(SPREAD))).otherwise(-1)
 
     def owners(batches):
-        parts = [[c.to_numpy() for c in b.columns] for b in batches]
+        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
         if not parts:
             return
-        token, node, where = (np.concatenate(x) for x in zip(*parts))
+        token, node, where, often = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((node, token))
-        token, node, where = token[order], node[order], where[order]
+        token, node, where, often = token[order], node[order], where[order], often[order]
         new = np.concatenate(([True], token[1:] != token[:-1]))
         once = new | np.concatenate(([True], node[1:] != node[:-1]))
-        token, node, where, new = token[once], node[once], where[once], new[once]
+        token, node, where, often, new = token[once], node[once], where[once], often[once], new[once]
         sizes = np.diff(np.append(np.flatnonzero(new), len(token)))
-        df = np.repeat(sizes, sizes)
-        keep = df > 1
+        df = np.where(often, 0, np.repeat(sizes, sizes))
+        keep = df != 1
         table = pa.table({"token": token[keep], "node": node[keep], "place": where[keep], "df": df[keep]})
         yield from table.to_batches(max_chunksize=10_000)
 
-    shared = rare.repartition("token").mapInArrow(owners, "token long, node long, place long, df long")
-    # Frequent shingles are known to be shared and never meet in one task.
-    late = stage(late, "late")
+    met = cut.repartition("token", spread).mapInArrow(owners, "token long, node long, place long, df long")
+    met = stage(met, "owners")
+    late = met.filter("df = 0").drop("df")
     counted = late.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = shared.union(late.join(F.broadcast(counted), "token"))  # at most HOT rows
+    shared = met.filter("df > 0").union(late.join(F.broadcast(counted), "token"))  # at most HOT rows
     return shared.select(
         "token", "node", F.expr("cast(place div 2147483648 as int)").alias("n"),
         F.expr("cast(place % 2147483648 as int)").alias("pos"), "df",
@@ -305,7 +308,7 @@ def jaccard_components(docs, percent=PERCENT, n_words=WORDS):
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole(F.col("text")).alias("text"))
     surveyed = stage(survey(docs, n_words), "survey")
     hot = frequent_shingles(surveyed)
-    postings = stage(shared_postings(ordered_prefixes(docs, hot, percent, n_words)), "postings")
+    postings = shared_postings(ordered_prefixes(docs, hot, percent, n_words))
     prefixes = stage(adaptive_prefixes(postings, percent), "adapted")
     near = stage(verified(docs, stage(promising_pairs(prefixes, percent), "promising"), percent, n_words), "near")
     # Any connected group will do here: a node, its partner and that one's partner.

@@ -9,12 +9,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tools.check import compare, duck
 from tabloom.llm import decontaminate, jaccard, langid, licenses, mixing, quality, sharding, substrings, tokens, warc
 from tabloom.llm.queries import CHECKS, QUERIES, mix_plan, vocabulary
+from tabloom.llm.shingles import shingle_set, shingle_sets
 
 TINY = "/root/testdata/sf0.001"
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, n_words string, key string, shard int"
@@ -142,6 +144,37 @@ def test_jaccard_near_copies_of_many_degrees(spark):
     assert sorted([tuple(r) for r in got.collect()], key=str) == brute_components(rows)
 
 
+def test_shingle_sets_read_from_a_buffer_are_those_of_each_text():
+    draw = random.Random(5)
+    texts = [None, "", " ", "a b c d e", "A b\tC d\ne", "x" * 300_000, "a " * 90_000, " \u00e9 \u00fc", "a", "b", None, ""]
+    texts += ["".join(draw.choices("ab \n\0\x0c\u00c4", k=draw.randrange(60))) for _ in range(500)]
+    for array in (pa.array(texts), pa.array(texts)[3:], pa.array(texts[:2]), pa.array([], pa.string())):
+        got = shingle_sets(array)
+        assert len(got) == len(array)
+        assert all(np.array_equal(g, shingle_set(t.as_py())) for g, t in zip(got, array))
+
+
+def test_blocks_of_posting_lists_change_no_pairs(spark):
+    draw = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, [*base[: 40 + draw.randrange(20)], f"t{k % 7}"]) for k in range(40)]
+    ids = {k: jaccard._node(jaccard.shingle_sets(pa.array([" ".join(w)]))[0]) for k, w in rows}
+    sets = {ids[k]: set(w) for k, w in rows}
+    placed = [(zlib.crc32(t.encode()), n, len(s), len(s), 1) for n, s in sets.items() for t in s]
+    placed = spark.createDataFrame(placed, "token long, node long, n int, most int, need int")
+    marks = spark.createDataFrame([(n, bytes(64)) for n in sets], "node long, mark binary")
+    groups = spark.createDataFrame([(n, 1) for n in list(sets)[:5]], "node long, g long")
+    alike = {}
+    for block in (3, 256):
+        pairs = jaccard.group_pairs(placed, groups, marks, block=block).collect()
+        alike[block] = sorted(map(tuple, pairs))
+        assert len(set(alike[block])) == len(alike[block])
+    grouped = set(list(sets)[:5])
+    want = {(a, b) for a in sets for b in sets if a < b and not {a, b} <= grouped
+            and 175 * min(len(sets[a]), len(sets[b])) >= 75 * (len(sets[a]) + len(sets[b]))}
+    assert set(alike[3]) == set(alike[256]) == want
+
+
 def test_parity_marks_never_exceed_the_difference_of_two_sets():
     draw = np.random.default_rng(5)
     for size in (1, 5, 60, 900, 5000):
