@@ -86,8 +86,13 @@ def _needs(n):
     return [F.lit(1) if p is None else F.greatest(F.floor(n / p), F.lit(1)).cast("int") for p in PARTS]
 
 
+def _key():
+    return F.xxhash64("text").alias("key")
+
+
 def survey(docs, n_words=WORDS):
-    """(doc_id, n, node, mark, token, times): a row per document, and with n = -1 the frequent shingles of each batch."""
+    """(doc_id, key, n, node, mark, token, times): a row per document, key being its text's hash, and
+    with n = -1 the frequent shingles of each batch."""
 
     def look(batches):
         for batch in batches:
@@ -99,6 +104,7 @@ def survey(docs, n_words=WORDS):
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.concat_arrays([batch.column(0), pa.nulls(k, pa.int64())]),
+                    "key": pa.concat_arrays([batch.column(2), pa.nulls(k, pa.int64())]),
                     "n": pa.array([len(s) for s in sets] + [-1] * k, pa.int32()),
                     "node": pa.array([_node(s) if len(s) else None for s in sets] + [None] * k, pa.int64()),
                     "mark": pa.array([_mark(s) if len(s) else None for s in sets] + [None] * k, pa.binary()),
@@ -107,8 +113,8 @@ def survey(docs, n_words=WORDS):
                 }
             )
 
-    columns = "doc_id long, n int, node long, mark binary, token long, times long"
-    return docs.select("doc_id", "text").mapInArrow(look, columns)
+    columns = "doc_id long, key long, n int, node long, mark binary, token long, times long"
+    return docs.select("doc_id", "text", _key()).mapInArrow(look, columns)
 
 
 def frequent_shingles(surveyed, most=HOT):
@@ -222,10 +228,15 @@ def promising_pairs(prefixes, percent=PERCENT):
     return best.select(F.col("node").alias("a"), F.col("best.b").alias("b"))
 
 
-def node_sets(docs, pairs, n_words=WORDS, bits=FILTER_BITS):
-    """(node, tokens) of the nodes in pairs (a, b), computed from the texts."""
-    wanted = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
-    bit = F.pmod("node", F.lit(bits)) + 1  # bucket and position both count from 1
+def node_sets(docs, pairs, nodes, n_words=WORDS, bits=FILTER_BITS):
+    """(node, tokens) of the nodes in pairs (a, b), computed from one text of each.
+
+    ``nodes`` (node, mark, key) names that text by its hash; texts whose hash has no bit in the filter
+    are passed over unread.
+    """
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = stage(wanted.join(nodes.select("node", "key"), "node"), "wanted")
+    bit = F.pmod("key", F.lit(bits)) + 1  # bucket and position both count from 1
     marks = wanted.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("marks")
     )
@@ -238,22 +249,18 @@ def node_sets(docs, pairs, n_words=WORDS, bits=FILTER_BITS):
 
     def sets(batches):
         for batch in batches:
-            found = {}
-            for s in _sets(batch, n_words):
-                if len(s):
-                    node = _node(s)
-                    at = node % bits
-                    if filled[at >> 3] >> (7 - (at & 7)) & 1:
-                        found[node] = s.view(np.int64)
+            at = batch.column(1).to_numpy() % bits
+            batch = batch.filter(pa.array((filled[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            found = {_node(s): s.view(np.int64) for s in _sets(batch, n_words) if len(s)}
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), _lists(list(found.values()))], ["node", "tokens"])
 
-    found = docs.select("text").mapInArrow(sets, "node long, tokens array<bigint>")
+    found = docs.select("text", _key()).mapInArrow(sets, "node long, tokens array<bigint>")
     return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def verified(docs, pairs, percent=PERCENT, n_words=WORDS):
+def verified(docs, pairs, nodes, percent=PERCENT, n_words=WORDS):
     """Pairs (a, b) whose whole sets are similar enough."""
-    sets = stage(node_sets(docs, pairs, n_words), "sets")
+    sets = stage(node_sets(docs, pairs, nodes, n_words), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(right, "b").join(left, "a")
@@ -310,16 +317,19 @@ def jaccard_components(docs, percent=PERCENT, n_words=WORDS):
     hot = frequent_shingles(surveyed)
     postings = shared_postings(ordered_prefixes(docs, hot, percent, n_words))
     prefixes = stage(adaptive_prefixes(postings, percent), "adapted")
-    near = stage(verified(docs, stage(promising_pairs(prefixes, percent), "promising"), percent, n_words), "near")
+    rows = surveyed.filter("n >= 0")
+    seen = F.min(F.struct("key", "mark"))
+    nodes = rows.filter("n > 0").groupBy("node").agg(seen.alias("s"), F.min("doc_id").alias("first_id"))
+    nodes = stage(nodes.select("node", "s.key", "s.mark", "first_id"), "nodes")
+    promising = stage(promising_pairs(prefixes, percent), "promising")
+    near = stage(verified(docs, promising, nodes, percent, n_words), "near")
     # Any connected group will do here: a node, its partner and that one's partner.
     step = near.select(F.col("a").alias("b"), F.col("b").alias("c"))
     groups = near.join(step, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("g"))
-    rows = surveyed.filter("n >= 0")
-    marks = rows.filter("n > 0").groupBy("node").agg(F.first("mark").alias("mark"))
-    pairs = stage(group_pairs(prefixes, groups, marks, percent), "pairs")
-    roots = components(near.union(verified(docs, pairs, percent, n_words)))
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    nodes = stage(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
+    pairs = stage(group_pairs(prefixes, groups, nodes.select("node", "mark"), percent), "pairs")
+    roots = components(near.union(verified(docs, pairs, nodes, percent, n_words)))
+    nodes = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    nodes = stage(nodes, "rooted")
     least = nodes.groupBy("root").agg(F.min("first_id").alias("least_id"))
     ids = stage(nodes.join(least, "root").select("node", "least_id"), "component-ids")
     return rows.join(ids, "node", "left").select(
