@@ -53,6 +53,8 @@ VERIFY_COST = 50
 HOT = 65_536
 SPREAD = 1_024  # tasks at most that share the owners of one frequent shingle
 BLOCK = 256
+AT_ONCE = 1 << 17  # pairs of entries compared in one step
+ENTRY = ("node", "g", "n", "most", "need", "mark")
 FILTER_BITS = 1 << 24
 MARK_BITS = 512
 
@@ -268,46 +270,87 @@ def verified(docs, pairs, nodes, percent=PERCENT, n_words=WORDS):
     return both.filter(F.col("i") * 100 >= percent * (F.size("ta") + F.size("tb") - F.col("i"))).select("a", "b")
 
 
-def group_pairs(prefixes, groups, marks, percent=PERCENT, block=BLOCK):
-    """(a, b) of different groups that share as many prefix shingles as the smaller need.
+def _runs_of_rows(sizes, most):
+    """(first, last) of runs of rows whose sizes sum up to ``most``, or of one row."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, to
+        at = to
 
-    Posting lists meet in blocks of about ``block`` entries; NumPy compares two blocks at a time and
-    only pairs that can link become rows.
-    """
-    placed = prefixes.join(groups, "node", "left").withColumn("g", F.coalesce("g", "node"))
-    placed = stage(placed.select("token", "node", "n", "most", "need", "g"), "grouped")
-    spans = placed.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("lo"), F.max("g").alias("hi"))
-    spans = stage(spans.filter("lo < hi").select("token", "c"), "spans")
-    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / block)).alias("salt")
-    fields = ["node", "g", "n", "most", "need", "mark"]
-    lists = placed.join(spans, "token").join(marks, "node").groupBy("token", salt)
-    lists = stage(lists.agg(*[F.collect_list(x).alias(x) for x in fields]), "lists")
-    other = lists.select("token", F.col("salt").alias("salt2"), *[F.col(x).alias(f"{x}2") for x in fields])
-    met = lists.join(other, "token").filter("salt <= salt2")
+
+def _flat(column):
+    """(offsets, values) of a list column, values as an array; binary values as rows of 64-bit words."""
+    offsets = column.offsets.to_numpy()
+    values = column.flatten()  # the values of this slice only
+    if pa.types.is_binary(values.type):
+        values = np.frombuffer(b"".join(values.to_pylist()), dtype=np.uint64).reshape(len(values), -1)
+    else:
+        values = values.to_numpy()
+    return offsets - offsets[0], values
+
+
+def comparer(percent, second):
+    """Compares in each row the list of entries with the second list, whose columns end in ``second``:
+    (a, b, need) of the pairs that can link."""
 
     def compare(batches):
         for batch in batches:
+            side = {}
+            for x in ENTRY:
+                side[x] = _flat(batch.column(batch.schema.get_field_index(x)))
+                side[x, 2] = _flat(batch.column(batch.schema.get_field_index(x + second)))
+            from1, from2 = side["node"][0], side["node", 2][0]
+            len1, len2 = np.diff(from1), np.diff(from2)
+            salt, salt2 = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("salt", "salt" + second))
             parts = []
-            for row in batch.to_pylist():
-                one = [np.array(row[x], dtype=np.int64)[:, None] for x in fields[:-1]]
-                two = [np.array(row[f"{x}2"], dtype=np.int64)[None, :] for x in fields[:-1]]
-                ok = np.minimum(one[3], two[3]) * (100 + percent) >= percent * (one[2] + two[2])
-                ok &= (one[1] != two[1]) & ((one[0] < two[0]) | (row["salt"] < row["salt2"]))
-                i, j = np.nonzero(ok)
-                m, m2 = (np.frombuffer(b"".join(row[x]), dtype=np.uint64).reshape(len(row[x]), -1) for x in ("mark", "mark2"))
-                for at in range(0, len(i), 16_384):
-                    p, q = i[at : at + 16_384], j[at : at + 16_384]
-                    apart = np.bitwise_count(m[p] ^ m2[q]).sum(axis=1, dtype=np.int64)
-                    both = one[2][p, 0] + two[2][0, q]
-                    ok[p, q] = (both - apart) * (100 + percent) >= 2 * percent * both
-                i, j = np.nonzero(ok)
-                parts.append((one[0][i, 0], two[0][0, j], np.minimum(one[4][i, 0], two[4][0, j])))
+            for at, to in _runs_of_rows(len1.astype(np.int64) * len2, AT_ONCE):
+                # Entry i of the first list, repeated for each entry j of the second one.
+                row = np.repeat(np.arange(at, to), len1[at:to])
+                i = np.arange(from1[at], from1[to])
+                times = len2[row]
+                starts = np.cumsum(times) - times
+                j = np.arange(times.sum()) + np.repeat(from2[row] - starts, times)
+                i, row = np.repeat(i, times), np.repeat(row, times)
+                v = {x: side[x][1] for x in ENTRY}
+                w = {x: side[x, 2][1] for x in ENTRY}
+                ok = np.minimum(v["most"][i], w["most"][j]) * (100 + percent) >= percent * (v["n"][i] + w["n"][j])
+                ok &= v["g"][i] != w["g"][j]
+                ok &= (salt[row] < salt2[row]) | (v["node"][i] < w["node"][j])
+                i, j = i[ok], j[ok]
+                apart = np.bitwise_count(v["mark"][i] ^ w["mark"][j]).sum(axis=1, dtype=np.int64)
+                both = v["n"][i] + w["n"][j]
+                ok = (both - apart) * (100 + percent) >= 2 * percent * both
+                i, j = i[ok], j[ok]
+                parts.append((v["node"][i], w["node"][j], np.minimum(v["need"][i], w["need"][j])))
             a, b, need = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
             yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), "need": need})
 
-    columns = ["salt", "salt2", *fields, *[f"{x}2" for x in fields]]
-    met = met.select(columns).mapInArrow(compare, "a long, b long, need long").groupBy("a", "b")
-    return met.agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need")).filter("k >= need").select("a", "b")
+    return compare
+
+
+def group_pairs(prefixes, groups, marks, percent=PERCENT, block=BLOCK):
+    """(a, b) of different groups that share as many prefix shingles as the smaller need.
+
+    Posting lists meet in blocks of about ``block`` entries; NumPy compares two blocks at a time and
+    only pairs that can link become rows. A list of one block meets itself where it is.
+    """
+    placed = prefixes.join(groups, "node", "left").withColumn("g", F.coalesce("g", "node"))
+    placed = placed.select("token", "node", F.col("n").cast("bigint"), F.col("most").cast("bigint"), F.col("need").cast("bigint"), "g")
+    placed = stage(placed, "grouped")
+    spans = placed.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("lo"), F.max("g").alias("hi"))
+    spans = stage(spans.filter("lo < hi").select("token", F.ceil(F.col("c") / block).alias("blocks")), "spans")
+    salt = F.pmod(F.xxhash64("node"), "blocks").alias("salt")
+    lists = placed.join(spans, "token").join(marks, "node").groupBy("token", "blocks", salt)
+    lists = stage(lists.agg(*[F.collect_list(x).alias(x) for x in ENTRY]), "lists")
+    many = lists.filter("blocks > 1").drop("blocks")
+    other = many.select("token", *[F.col(x).alias(f"{x}2") for x in ("salt", *ENTRY)])
+    met = many.join(other, "token").filter("salt <= salt2").drop("token")
+    alone = lists.filter("blocks = 1").select("salt", *ENTRY)
+    columns = "a long, b long, need long"
+    met = met.mapInArrow(comparer(percent, "2"), columns).union(alone.mapInArrow(comparer(percent, ""), columns))
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need"))
+    return met.filter("k >= need").select("a", "b")
 
 
 def jaccard_components(docs, percent=PERCENT, n_words=WORDS):
