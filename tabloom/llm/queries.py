@@ -1,12 +1,17 @@
 """The registered queries of this subpackage and the SQL that checks them."""
 
+import zlib
+
 from pyspark.sql import functions as F
 
+from .conversations import repair_reports
 from .decontaminate import mark_documents
 from .jaccard import jaccard_components
 from .langid import identify
 from .licenses import BASE, COMMON, TEMPLATES, scan_licences
 from .mixing import Level, MixPlan, measure, mix
+from .periodic import find_runs
+from .pieces import encode_pieces
 from .quality import score_lines
 from .sharding import shard_rows
 from .substrings import remove_repeats
@@ -285,3 +290,72 @@ from d left join gone using (doc_id)
 def substring_dedup(spark, sf_dir):
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def repeat_tail(doc_id, words):
+    """Words with the tail of every tenth document, by the checksum of its id, made periodic."""
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def sha256_text(column):
+    return F.sha2(column.cast("binary"), 256)
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark, sf_dir):
+    found = find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), prepare=repeat_tail)
+    none = F.struct(*[F.lit(None).cast("bigint").alias(x) for x in ("start", "length", "period")])
+    # Runs come by start, then period, so only a greater ratio takes the place of the one held.
+    best = F.aggregate(
+        "runs", none, lambda b, x: F.when(b.start.isNull() | (x.length * b.period > b.length * x.period), x).otherwise(b)
+    )
+    listed = F.transform("runs", lambda x: F.concat_ws(",", x.start, x.length, x.period))
+    runs_text = F.when(F.size("runs") > 0, F.concat(F.array_join(listed, "\n"), F.lit("\n"))).otherwise("")
+    found = found.withColumns({"best": best, "runs_text": runs_text})
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        sha256_text(F.col("runs_text")).alias("runs_sha256"), sha256_text(F.col("collapsed_text")).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+def piece_model():
+    """The piece model named by the contract, from where its package is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op12_sentence_pieces")
+def sentence_pieces(spark, sf_dir):
+    encoded = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
+    return encoded.select(
+        "doc_id", "n_tokens", sha256_text(F.array_join("ids", ",")).alias("ids_sha256"),
+        sha256_text(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
+def damaged(turns):
+    """Turns with the faults of the contract, by the checksum of conversation and turn; copies counts rows."""
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    kind = F.col("_kind")
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    turns = turns.withColumn("_kind", F.crc32(name.cast("binary")) % 20)
+    return turns.select(
+        "conv_id", "turn",
+        F.when(kind == 4, "user").otherwise(role).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("copies"),
+    )
+
+
+@query("op13_conversation_repair")
+def conversation_repair(spark, sf_dir):
+    return repair_reports(damaged(table(spark, sf_dir, "conversations")))

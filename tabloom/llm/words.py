@@ -44,3 +44,9 @@ def text_key(text):
 def same_row(a, b, key="doc_id"):
     """Join condition over a nullable id and text_key, columns of frames a and b."""
     return a[key].eqNullSafe(b[key]) & (a["text_key"] == b["text_key"])
+
+
+def beside(docs, names, *columns):
+    """Columns of docs by name and others after them, named by place so that no names can clash."""
+    chosen = docs.select(*["`" + c.replace("`", "``") + "`" for c in names], *columns)
+    return chosen.toDF(*[f"c{i}" for i in range(len(chosen.columns))])
