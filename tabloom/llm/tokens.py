@@ -18,14 +18,16 @@ ignored. Lost tasks write the same bytes again under the same name.
 """
 
 import hashlib
-import re
+import json
 import sys
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import zstandard
 from pyspark import TaskContext
@@ -39,11 +41,11 @@ MAGIC = b"TOKZ1\n"
 END_ID = 0
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1_000, 8_192, 32_768
 LEVEL = 3
-CACHED_PIECES = 400_000
-CHUNK_CHARS = 1_000_000
+CACHED_PIECES = 1_000_000  # of some 200 bytes
+CHUNK_BYTES = 4_000_000
 NO_DICTIONARY = bytes(32)
-UNEVEN = re.compile(r"\s\s")
-MARK = re.compile(r"[.,](?=[ \n])(?<=[^\W_].)")
+NUL = "\0"
+UNEVEN = r"[\s\x0b\x1c-\x1f\x{85}\pZ]{2}"
 
 
 class Encoder:
@@ -54,9 +56,14 @@ class Encoder:
 
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise OSError("ids are serialized as this machine's unsigned 32-bit integers")
-
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.known = {}
+        # Cuts hold for the byte-level pre-tokenizer; with another one texts are encoded whole.
+        with open(vocabulary, encoding="utf-8") as f:
+            made = json.load(f)
+        before = made.get("pre_tokenizer") or {}
+        plain = made.get("normalizer") is None and before.get("type") == "ByteLevel"
+        self.cuts = plain and before.get("use_regex", True) and not before.get("add_prefix_space")
 
     def ids(self, texts):
         """Serialized ids of each text as the library gives them."""
@@ -64,25 +71,48 @@ class Encoder:
         return [array("I", x.ids).tobytes() for x in found]  # little-endian machines only, as checked above
 
     def encode(self, texts):
+        """Serialized ids of each text of a list or Arrow array without nulls."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        # Special tokens of the vocabulary are matched before the pre-tokenizer cuts.
+        odd = pc.or_(pc.match_substring(texts, NUL), pc.match_substring_regex(texts, UNEVEN))
+        odd = pc.or_(odd, pc.match_substring(texts, "<|")) if self.cuts else pc.is_valid(texts)
+        lists = self._pieces(pc.if_else(odd, pa.scalar("", pa.large_string()), texts))
+        ends = lists.offsets.to_numpy()
+        table = lists.flatten().dictionary_encode()
+        pieces = self._of(table.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.array([len(x) // 4 for x in pieces], dtype=np.int64)
+        first, flat = np.cumsum(size) - size, np.frombuffer(b"".join(pieces), dtype="<u4")
+        code = table.indices.to_numpy()
+        sizes = size[code]
+        before = np.concatenate(([0], np.cumsum(sizes)))
+        joined = flat[np.arange(before[-1]) + np.repeat(first[code] - before[:-1], sizes)]
+        cuts = before[ends - ends[0]].tolist()
         end = np.array([END_ID], dtype="<u4").tobytes()
-        if len(self.known) > CACHED_PIECES:
-            self.known = {}
-        get = self.known.get
-        cut = [None if "\0" in t or UNEVEN.search(t) else self._pieces(t) for t in texts]
-        found = [pieces and list(map(get, pieces)) for pieces in cut]
-        new = {p for pieces, ids in zip(cut, found) if ids and None in ids for p, x in zip(pieces, ids) if x is None}
-        self.known.update(zip(new, self.ids(list(new))))
-        return [
-            (self.ids([t])[0] if ids is None else b"".join(map(get, pieces) if None in ids else ids)) + end
-            for t, pieces, ids in zip(texts, cut, found)
-        ]
+        out = [joined[a:b].tobytes() + end for a, b in zip(cuts[:-1], cuts[1:])]
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        for i, x in zip(odd, self.ids([texts[i].as_py() for i in odd]) if odd else ()):
+            out[i] = x + end
+        return out
+
+    def _of(self, pieces):
+        """Serialized ids of distinct pieces, those known from a bounded table of the worker."""
+        found = list(map(self.known.get, pieces))
+        new = [p for p, x in zip(pieces, found) if x is None]
+        made = dict(zip(new, self.ids(new)))
+        self.known.update(made)
+        if len(self.known) > CACHED_PIECES:  # the older half goes
+            for p in list(islice(self.known, len(self.known) - CACHED_PIECES // 2)):
+                del self.known[p]
+        return [made[p] if x is None else x for p, x in zip(pieces, found)]
 
     @staticmethod
-    def _pieces(text):
+    def _pieces(texts):
         """Without neighbouring blanks, each space starts a token, each line end is one, and a mark
         between a letter or digit and a blank starts one."""
-        marked = MARK.sub(r"\0\g<0>", text)
-        return marked.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        parted = pc.replace_substring_regex(texts, r"([\pL\pN])([.,])([ \n])", rf"\1{NUL}\2\3")
+        parted = pc.replace_substring(pc.replace_substring(parted, " ", NUL + " "), "\n", f"{NUL}\n{NUL}")
+        return pc.split_pattern(parted, NUL)
 
 
 @lru_cache(maxsize=2)
@@ -93,19 +123,17 @@ def encoder(vocabulary):
     return Encoder(vocabulary)
 
 
-def _chunks(batch):
-    """(ids, texts) of a batch in runs of bounded text."""
-    ids, texts, size = [], [], 0
-    for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-        t = t.as_py() or ""
-        ids.append(i)
-        texts.append(t)
-        size += len(t)
-        if size > CHUNK_CHARS:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def _encoded(batch, vocabulary):
+    """(ids, serialized texts) of a batch in runs of bounded text, equal texts of a run encoded once."""
+    texts = batch.column(1).cast(pa.large_string()).fill_null("")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, side="right")))
+        table = texts.slice(at, to - at).dictionary_encode()
+        found = encoder(vocabulary).encode(table.dictionary)
+        yield batch.column(0).slice(at, to - at), [found[i] for i in table.indices.to_pylist()]
+        at = to
 
 
 def train_dictionary(docs, vocabulary, sample_docs=SAMPLE_DOCS, sample_bytes=SAMPLE_BYTES):
@@ -118,8 +146,8 @@ def train_dictionary(docs, vocabulary, sample_docs=SAMPLE_DOCS, sample_bytes=SAM
 
     def encode(batches):
         for batch in batches:
-            for _, texts in _chunks(batch):
-                yield pa.RecordBatch.from_pydict({"ids": pa.array(encoder(vocabulary).encode(texts), pa.binary())})
+            for _, encoded in _encoded(batch, vocabulary):
+                yield pa.RecordBatch.from_pydict({"ids": pa.array(encoded, pa.binary())})
 
     samples = [bytes(r[0]) for r in picked.mapInArrow(encode, "ids binary").collect()]  # at most sample_docs
     try:
@@ -142,22 +170,22 @@ def write_tokens(docs, path, vocabulary, dictionary=None):
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         out, ids, ends, counts = None, [], [], []
         for batch in batches:
-            for doc_ids, texts in _chunks(batch):
+            for doc_ids, encoded in _encoded(batch, vocabulary):
                 if out is None:
                     out = Written(f"{name}.tok")
                     out.write(MAGIC + digest)
-                for data in encoder(vocabulary).encode(texts):
+                for data in encoded:
                     out.write(press.compress(data))
                     ends.append(out.at)
                     counts.append(len(data) // 4)
-                ids += doc_ids
+                ids.append(doc_ids)
         if out is None:
             return
         out.close()
         starts = [len(MAGIC) + len(digest), *ends[:-1]]
         index = pa.table(
             {
-                "doc_id": pa.array(ids, pa.int64()),
+                "doc_id": pa.concat_arrays(ids),
                 "offset": pa.array(starts, pa.int64()),
                 "length": pa.array([b - a for a, b in zip(starts, ends)], pa.int64()),
                 "n_tokens": pa.array(counts, pa.int64()),
@@ -169,7 +197,7 @@ def write_tokens(docs, path, vocabulary, dictionary=None):
         sidecar.write(buffer.getvalue().to_pybytes())
         sidecar.close()
         yield pa.RecordBatch.from_pydict(
-            {"shard": [shard], "path": [name], "n_docs": [len(ids)], "n_ids": [sum(counts)]}
+            {"shard": [shard], "path": [name], "n_docs": [len(counts)], "n_ids": [sum(counts)]}
         )
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
