@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import stage
 from .components import components
 from .shingles import shingle_sets
-from .words import whole
+from .words import apart, whole
 
 PERCENT = 75
 WORDS = 5
@@ -353,8 +353,8 @@ def group_pairs(prefixes, groups, marks, percent=PERCENT, block=BLOCK):
     return met.filter("k >= need").select("a", "b")
 
 
-def jaccard_components(docs, percent=PERCENT, n_words=WORDS):
-    """(doc_id, n_shingles, component_id) of every document."""
+def _rooted(docs, percent, n_words):
+    """(rows, nodes): (doc_id, key, n, node) of each document, and (node, first_id, root) of each set."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole(F.col("text")).alias("text"))
     surveyed = stage(survey(docs, n_words), "survey")
     hot = frequent_shingles(surveyed)
@@ -366,13 +366,16 @@ def jaccard_components(docs, percent=PERCENT, n_words=WORDS):
     nodes = stage(nodes.select("node", "s.key", "s.mark", "first_id"), "nodes")
     promising = stage(promising_pairs(prefixes, percent), "promising")
     near = stage(verified(docs, promising, nodes, percent, n_words), "near")
-    # Any connected group will do here: a node, its partner and that one's partner.
-    step = near.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    groups = near.join(step, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("g"))
+    groups = components(near).withColumnRenamed("root", "g")
     pairs = stage(group_pairs(prefixes, groups, nodes.select("node", "mark"), percent), "pairs")
     roots = components(near.union(verified(docs, pairs, nodes, percent, n_words)))
     nodes = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    nodes = stage(nodes, "rooted")
+    return rows, stage(nodes, "rooted")
+
+
+def jaccard_components(docs, percent=PERCENT, n_words=WORDS):
+    """(doc_id, n_shingles, component_id) of every document."""
+    rows, nodes = _rooted(docs, percent, n_words)
     least = nodes.groupBy("root").agg(F.min("first_id").alias("least_id"))
     ids = stage(nodes.join(least, "root").select("node", "least_id"), "component-ids")
     return rows.join(ids, "node", "left").select(
@@ -382,11 +385,21 @@ def jaccard_components(docs, percent=PERCENT, n_words=WORDS):
 
 
 def first_of_each(docs, percent=PERCENT, n_words=WORDS):
-    """Documents with the smallest id of their component, whole; of rows sharing that id, one.
+    """One document of each component, whole, and all documents without shingles.
 
-    Rows with a null id have no smallest id to compare with and stay.
+    The one with the smallest id stays, null ids last; of equal ids the one whose text has the smallest
+    hash. Rows equal in id and text are one document, of which the row with the smallest hash stays.
     """
-    found = stage(jaccard_components(docs, percent, n_words), "components")
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null"))
+    rows, nodes = _rooted(docs, percent, n_words)
+    member = rows.filter("n > 0").join(nodes.select("node", "root"), "node")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")
+    keep = member.groupBy("root").agg(first).select("f.doc_id", "f.key")
+    keep = keep.union(rows.filter("n = 0").select("doc_id", "key").distinct())
+    keep = stage(keep.toDF("_keep_id", "_keep_key"), "kept")
+    docs, names = apart(docs, ("_id", "_key", "_nth", "_keep_id", "_keep_key"))
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("bigint"), "_key": F.xxhash64(whole(F.col("text")))})
+    same = F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_key") == F.col("_keep_key"))
+    order = W.partitionBy("_id", "_key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in hashed]))
+    kept = keyed.join(keep, same, "left_semi").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
+    return kept.select(*docs.columns).withColumnsRenamed(names)

@@ -50,3 +50,18 @@ def beside(docs, names, *columns):
     """Columns of docs by name and others after them, named by place so that no names can clash."""
     chosen = docs.select(*["`" + c.replace("`", "``") + "`" for c in names], *columns)
     return chosen.toDF(*[f"c{i}" for i in range(len(chosen.columns))])
+
+
+def apart(docs, work):
+    """(docs with columns named like a work column, or in need of quotes, renamed; the names that give the
+    old ones back)."""
+    work = {w.lower() for w in work}
+    taken, new = work | {c.lower() for c in docs.columns}, {}
+    for c in docs.columns:
+        if c.lower() in work or "." in c or "`" in c:
+            name = c.replace(".", "_").replace("`", "_")
+            while name.lower() in taken:
+                name = f"_{name}_"
+            taken.add(name.lower())
+            new[c] = name
+    return docs.withColumnsRenamed(new), {b: a for a, b in new.items()}
