@@ -9,13 +9,14 @@ one is joined by key instead, with the same rows. Up to ``max_listed`` windows,
 last word belong to no window are left out before they are hashed; that only saves work.
 
 Defined cases: null texts have no words; items with a null id mark words but are not listed; equal
-windows count for each item; equal rows get equal results; no items, no hits; other columns pass
-through, and columns named like a new one are replaced by it.
+windows count for each item; equal rows get equal results; no items, no hits; a very long text is one
+row and is read whole. ``mark_documents`` passes other columns through and replaces those named like a
+new one; the others give back the columns they got.
 """
 
 from pyspark.sql import functions as F
 
-from .words import PLAIN_GAP, plain_words, same_row, text_key, whole
+from .words import PLAIN_GAP, apart, plain_words, same_row, text_key, whole
 
 N = 10
 MAX_BROADCAST = 2_000_000  # windows of some 60 bytes
@@ -102,8 +103,9 @@ def hit_documents(docs, items, n=N, max_broadcast=MAX_BROADCAST, max_listed=MAX_
 
 def mark_documents(docs, items, n=N, max_broadcast=MAX_BROADCAST, max_listed=MAX_LISTED):
     """docs with n_words, n_hit, n_items, hit_items, spans and contaminated."""
-    new = ["n_words", "n_hit", "n_items", "hit_items", "spans", "contaminated", "text_key"]
-    rows = docs.drop(*new).withColumns(
+    new = ["n_words", "n_hit", "n_items", "hit_items", "spans", "contaminated"]
+    docs, names = apart(docs.drop(*new), ["text_key"])
+    rows = docs.withColumns(
         {
             "text_key": text_key(F.col("text")),
             "n_words": F.regexp_count(whole(F.col("text")), F.lit(PLAIN_GAP.replace("[", "[^", 1))).cast("bigint"),
@@ -119,18 +121,21 @@ def mark_documents(docs, items, n=N, max_broadcast=MAX_BROADCAST, max_listed=MAX
         F.coalesce(found["hit_items"], F.array().cast("array<string>")).alias("hit_items"),
         found["spans"],
         found["n_hit"].isNotNull().alias("contaminated"),
-    )
+    ).withColumnsRenamed(names)
 
 
 def drop_contaminated(docs, items, n=N, max_broadcast=MAX_BROADCAST, max_listed=MAX_LISTED):
     """Documents without a hit, as they are."""
+    docs, names = apart(docs, ["text_key"])
     keyed = docs.select("*", text_key(F.col("text")).alias("text_key"))
     found = hit_documents(docs, items, n, max_broadcast, max_listed)
-    return keyed.join(found, same_row(keyed, found), "left_anti").select(*docs.columns)
+    return keyed.join(found, same_row(keyed, found), "left_anti").select(*docs.columns).withColumnsRenamed(names)
 
 
 def cut_spans(docs, items, n=N, max_broadcast=MAX_BROADCAST, max_listed=MAX_LISTED):
     """All documents, the words under hits taken out with the gap after each."""
+    work = ("n_words", "n_hit", "n_items", "hit_items", "spans", "contaminated", "text_key", "_cut", "_pieces")
+    docs, names = apart(docs, work)
     marked = mark_documents(docs, items, n, max_broadcast, max_listed)
     word = PLAIN_GAP.replace("[", "[^", 1)
     # Pieces: a word and the gap behind it; what stands before the first word stays in front.
@@ -144,4 +149,4 @@ def cut_spans(docs, items, n=N, max_broadcast=MAX_BROADCAST, max_listed=MAX_LIST
     left = F.array_except(F.sequence(F.lit(0), F.size("_pieces") - 1), F.col("_cut"))
     text = F.concat(head, F.array_join(F.transform(left, lambda i: F.get(F.col("_pieces"), i)), ""))
     text = F.when(F.col("contaminated"), text).otherwise(F.col("text"))
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns]).withColumnsRenamed(names)

@@ -14,7 +14,6 @@ predicted but not learned from; equal texts get equal predictions; extra columns
 than ``max_classes`` languages are an error, not a cut.
 """
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +24,6 @@ BITS = 16
 WIDTH = 1 << BITS
 ORDERS = 3
 SCALE = 30.0
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -167,7 +165,7 @@ class LanguageModel:
         return self.bias + (self.table[at].sum(axis=0) * (SCALE / total) if total else 0.0)
 
     def predict(self, text):
-        if text is None or not self.languages or not LETTER.search(text):
+        if text is None or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0
         p = softmax(self.logits(text) / self.temperature)
         best = int(p.argmax())
@@ -176,7 +174,7 @@ class LanguageModel:
 
 def fit(training, settings=FitSettings()):
     """A model from rows (doc_id, text, lang); rows without text, letter or language do not count."""
-    training = training.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    training = training.filter(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
     by_lang = training.groupBy("lang").count().limit(settings.max_classes + 1).collect()
     counts = {r[0]: r[1] for r in by_lang}
     if len(counts) > settings.max_classes:

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.shared import stage
-from .words import BLANK_WORD, whole
+from .words import BLANK_WORD, apart, whole
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,9 @@ class Level:
         return out.cast("bigint")
 
 
+WORK = ("_full", "_rest", "_buckets", "_draw", "_bucket", "_end", "_before", "_upto", "_budget")
+
+
 @dataclass(frozen=True)
 class MixPlan:
     levels: tuple
@@ -113,9 +116,10 @@ def measure(docs, plan, tokens=None):
 
 def mix(measured, plan):
     """One row per selected document and epoch: the columns of the measured documents, level
-    columns and epoch. Work columns start with an underscore; level columns replace others so named."""
+    columns and epoch. Level columns and epoch replace others so named."""
     names = [x.name for x in plan.levels]
     nodes = [f"_node{i}" for i in range(len(names))]
+    measured, given = apart(measured, WORK)
     rows = stage(measured, "mix-rows")
     sizes = rows.groupBy(*nodes).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_tokens").alias("tokens"))
     leaves = leaf_budgets(stage(sizes.withColumnsRenamed(dict(zip(nodes, names))), "mix-leaves"), plan)
@@ -150,4 +154,11 @@ def mix(measured, plan):
     run = W.partitionBy(*nodes).orderBy("_draw", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     edge = dealt.filter(F.col("_rest").isNotNull() & (F.col("_bucket") == F.col("_end")))
     edge = edge.withColumn("_upto", F.col("_before") + F.sum("n_tokens").over(run)).filter("_upto <= _rest")
-    return most.union(edge.select(*shown, F.col("_full").alias("epoch")))
+    return most.union(edge.select(*shown, F.col("_full").alias("epoch"))).withColumnsRenamed(given)
+
+
+def mix_documents(docs, plan):
+    """The documents a plan takes, one row per epoch that takes them, with their own columns alone."""
+    work = ("n_tokens", "_md5", "epoch", *(f"_node{i}" for i in range(len(plan.levels))))
+    docs, names = apart(docs, work)
+    return mix(measure(docs, plan), plan).select(*docs.columns).withColumnsRenamed(names)

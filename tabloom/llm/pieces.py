@@ -77,7 +77,7 @@ class Pieces:
         lists = chunks_of(pc.if_else(odd, pa.scalar("", pa.large_string()), texts))
         ends = lists.offsets.to_numpy()
         table = lists.flatten().dictionary_encode()
-        code, chunks = table.indices.to_numpy(), table.dictionary.to_pylist()
+        code, chunks = table.indices.to_numpy(), table.dictionary.to_numpy(zero_copy_only=False).tolist()
         full = np.array([c != "" for c in chunks], dtype=bool)  # an empty text has one empty chunk
         ids = [[]] * len(chunks)
         for i, x in zip(np.flatnonzero(full).tolist(), self.segment([c for c in chunks if c])):

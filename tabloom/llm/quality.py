@@ -6,16 +6,20 @@ losing more than ``max_loss`` percent of its non-blank characters is rejected, a
 the base rules (too few words, or too many words in repeated 3-word windows).
 
 Defined cases: a null text has no words, fails the base rules and stays null; blank lines never
-fail; equal rows get equal results; other columns pass through, and columns named like a new one
-are replaced by it. A run of words is compared by 64-bit hashes within one document.
+fail; equal rows get equal results; a very long text is one row and is judged whole; an empty table
+gives no rows. ``score_lines`` passes other columns through and replaces those named like a new
+one; ``clean_documents`` gives back the columns it got, with their own values. A run of words is compared by 64-bit hashes within one document.
 """
 
 from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
-from .words import BLANK_RUN, BLANK_WORD, blank_words, let, whole
+from .words import BLANK_RUN, BLANK_WORD, apart, blank_words, let, whole
 
+SCORES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_failed_lines",
+          "lost_chars", "kept", "clean_text")
+WORK = ("_words", "_lines", "_left")
 SYMBOLS = r"[#*$%&|<>]"
 SEPARATORS = r"[|»›•·]|>>|::"
 MARKS = r"[!-/:-@\[-`{-~»›•·]"
@@ -83,6 +87,7 @@ def repeat_words(words):
 def score_lines(docs, rules=QualityRules()):
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     n_lines, n_failed_lines, lost_chars, kept and clean_text (the lines left)."""
+    docs, names = apart(docs, WORK)
     text = whole(F.col("text"))
     out = docs.withColumn("_words", blank_words(F.col("text"))).withColumn("_lines", F.split(text, "\n"))
     lined = F.filter("_lines", lambda x: x.rlike(BLANK_WORD))
@@ -108,15 +113,16 @@ def score_lines(docs, rules=QualityRules()):
         }
     )
     kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= rules.max_loss * F.col("word_chars"))
-    return out.withColumn("kept", kept).drop("_words", "_lines", "_left")
+    return out.withColumn("kept", kept).drop(*WORK).withColumnsRenamed(names)
 
 
 def clean_documents(docs, rules=QualityRules()):
     """Documents that pass, with their failing lines removed and n_chars counted anew."""
+    docs, names = apart(docs, (*SCORES, *WORK, "_clean"))
     scored = score_lines(docs, rules)
     # A generator drops the others: a filter would be pushed down and score every text twice.
     passed = F.when(F.col("kept"), F.array(F.struct(F.col("clean_text").alias("_clean"))))
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     scored = scored.select(*others, F.inline(passed))
     new = {"text": F.col("_clean"), "n_chars": F.length("_clean").cast("bigint")}
-    return scored.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return scored.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns]).withColumnsRenamed(names)

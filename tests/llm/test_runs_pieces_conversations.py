@@ -259,28 +259,30 @@ def test_walk_takes_the_least_of_the_cheapest_edits():
         assert edits + conversations.walk(codes[cut:], conversations.END, state, True)[0] == audit
 
 
-@pytest.mark.parametrize("parts", [1, 24])
-def test_conversations_of_odd_rows_over_many_ranges(spark, parts):
-    rows = random_turns(random.Random(parts), 60, 12) + random_turns(random.Random(9), 1, 300)
-    df = spark.createDataFrame([(*r, "x") for r in rows], TURNS + ", audit string").repartition(3)
+@pytest.fixture(params=[1, 24])
+def ranges(spark, request):
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        assert reports(conversations.repair_reports(df)) == brute_reports(rows, harm=False)
-        assert reports(conversations.repair_reports(damaged(df))) == brute_reports(rows)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_conversations_of_odd_rows_over_many_ranges(spark, ranges):
+    rows = random_turns(random.Random(ranges), 60, 12) + random_turns(random.Random(9), 1, 300)
+    df = spark.createDataFrame([(*r, "x") for r in rows], TURNS + ", audit string").repartition(3)
+    assert reports(conversations.repair_reports(df)) == brute_reports(rows, harm=False)
+    assert reports(conversations.repair_reports(damaged(df))) == brute_reports(rows)
 
 
-def test_one_long_conversation_over_many_ranges(spark):
+def test_one_long_conversation_over_many_ranges(spark, ranges):
     draw = random.Random(1)
     rows = [(5, t, draw.choice(["user", "assistant", "assistant"]), draw.choice([f"{t % 50}.", "cut"])) for t in range(700)]
     df = spark.createDataFrame(rows, TURNS)
     assert reports(conversations.repair_reports(df)) == brute_reports(rows, harm=False)
     found = conversations.segments(conversations.judged(conversations.readable(df)))
-    assert found.filter("open").count() > 1
+    assert found.filter("open").count() > ranges // 2
     repaired = conversations.repaired_rows(df).orderBy("place").collect()
     text = "\n".join(f"{r.role}:{r.text}" for r in repaired)
     assert sha(text) == brute_reports(rows, harm=False)[0][-1]
