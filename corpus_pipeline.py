@@ -2,19 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and gives a frame
 that ``run`` writes as Parquet and reads back, so that a lost executor repeats one stage at most.
+
+Defined cases: null and empty texts fail the first stage; of rows equal in id and text one is left, rows
+with an id in common but other texts are documents of their own; null ids take part; columns of any
+name pass through to the last stage; an empty table gives no rows; each stage holds a text whole, as one row.
 """
 
 from tabloom.llm.decontaminate import drop_contaminated
 from tabloom.llm.jaccard import first_of_each
-from tabloom.llm.mixing import measure, mix
+from tabloom.llm.mixing import mix_documents
 from tabloom.llm.quality import clean_documents
 from tabloom.llm.queries import mix_plan, table, vocabulary
 from tabloom.llm.tokens import token_files
 from tabloom.sources.shared import stage
 
-PREFIX = "_mix_"
-
-
 def quality_rules(spark, docs, sf_dir):
     """Failing lines go, and documents that lose too much or fail the base rules."""
     return clean_documents(docs)
@@ -32,8 +33,7 @@ def benchmark_decontamination(spark, docs, sf_dir):
 
 def source_mixing(spark, docs, sf_dir):
     """Documents by target weights, one row per epoch that takes them."""
-    plan = mix_plan(PREFIX)
-    return mix(measure(docs, plan), plan).select(*docs.columns)
+    return mix_documents(docs, mix_plan("_mix_"))
 
 
 def token_output(spark, docs, sf_dir):
