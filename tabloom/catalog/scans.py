@@ -8,7 +8,10 @@ from ..operators import encode as E
 from ..operators import profile as P
 from ..operators import sampling as S
 from ..operators import targets as T
+from ..plans.corpus import corpus_samples
+from ..plans.prepare import SampleConfig
 from ..sources import guards, manifest, scan, sink
+from ..sources.corpus import plan_corpus, probe_cells
 from ..sources.shared import fresh_path, stage
 from .registry import (
     SEED,
@@ -36,7 +39,7 @@ def corpus(spark, sf_dir):
 
 
 def probe_profile(spark, sf_dir):
-    return P.profile(scan.corpus_cells(corpus(spark, sf_dir), B, probe=True))
+    return P.profile(scan.probe_cells(spark, sf_dir, None, B))
 
 
 COUNTS = " union all ".join(f"select '{t}' as table_id, count(*) as n_rows from {t}" for t in TABLES)
@@ -445,9 +448,9 @@ def shuffle_specs(spark, d):
     f"select table_id, col, task, replica::bigint as replica, spec_idx from ({_ordered_sql(_balanced_sql(CHOSEN))})",
 )
 def target_specs(spark, d):
-    cells = scan.corpus_cells(corpus(spark, d), B, probe=True)
-    tables = _paths(manifest.table_rows(spark, d).select("table_id"))
-    specs = T.build_specs(cells, tables, SEED, balanced=True)
+    plan = plan_corpus(spark, d)
+    tables = _paths(plan.table_rows().select("table_id"))
+    specs = T.build_specs(probe_cells(plan, B), tables, SEED, balanced=True)
     return specs.select("table_id", "col", "task", "replica", "spec_idx")
 
 
@@ -460,11 +463,45 @@ def target_specs(spark, d):
 )
 def spec_replay(spark, d):
     specs = T.balance(stage(chosen_targets(spark, d).drop("kind"), "specs"), SEED)
-    parts = [scan.cut_chunks(f, B).select("table_id", "chunk_id") for f in corpus(spark, d)]
-    replayed = T.replay_specs(specs, scan.union_all(parts), SEED)
+    replayed = T.replay_specs(specs, plan_corpus(spark, d).chunks(B), SEED)
     return replayed.select("table_id", "col", "chunk_id", "replica", "sample_draw")
 
 
+PLAIN = f"select table_id, col, case when kind = 'num' then 'regression' else 'classification' end as task from ({CHOSEN})"
+SAMPLED = f"""select *, row_number() over (partition by table_id, chunk_id, replica
+      order by {sql_draw("row_order", "table_id", "chunk_id", "replica", "row_ord")}, row_ord) as pos,
+    count(*) over (partition by table_id, chunk_id, replica) as n from (
+      select r.table_id, r.row_ord, r.row_ord // {B} as chunk_id, s.replica, s.col, s.task, c.v
+      from ({sql_numbered()}) r join ({_balanced_sql(PLAIN)}) s using (table_id)
+      join ({sql_cells()}) c on c.table_id = r.table_id and c.row_ord = r.row_ord and c.col = s.col)"""
+SAMPLED_LOW = "greatest(1, least(50, least(900, n - 1)))"
+
+
+@query(
+    "corpus_samples",
+    f"""select table_id, col as target_column, task, chunk_id, replica::bigint as replica, count(*) as n_rows,
+        count(*) filter (is_query) as n_query, sum(row_ord) filter (is_query)::bigint as query_rows, sum(pos * row_ord)::bigint as place,
+        case when task = 'classification' then least(count(distinct v) filter (not is_query), 62) end::bigint as n_codes
+        from (select *, pos > n - ({SAMPLED_LOW} + {sql_draw("query_rows", "table_id", "chunk_id", "replica")}
+          % (greatest(least(900, n - 1), {SAMPLED_LOW}) - {SAMPLED_LOW} + 1)) as is_query from ({SAMPLED}) where n >= 150)
+        group by table_id, col, task, chunk_id, replica""",
+)
+def corpus_samples_query(spark, d):
+    """Whole samples of the whole corpus, summed up by sample from the first cell of each row."""
+    config = SampleConfig(
+        query_range=(50, 900), shuffle=True, min_rows=150, max_rows=B, rows_per_chunk=B, balanced=True, seed=SEED
+    )
+    rows = corpus_samples(spark, d, config).where("col_pos = 0")
+    code = F.when(~F.col("is_query") & (F.col("task") == "classification") & (F.col("truth") < 62), F.col("truth"))
+    return rows.groupBy("table_id", "target_column", "task", "chunk_id", "replica").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if("is_query").alias("n_query"),
+        F.sum(F.when(F.col("is_query"), F.col("row_ord"))).alias("query_rows"),
+        F.sum(F.col("pos") * F.col("row_ord")).alias("place"),
+        F.when(F.col("task") == "classification", F.count_distinct(code)).alias("n_codes"),
+    )
+
+
 SPARSE = "case when (event_id // 1000) % 2 = 0 and event_id % 3 < 2 then null else value end"
 
 

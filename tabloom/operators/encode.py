@@ -253,6 +253,47 @@ def encode_labels(rows, mapping, label, keys=SAMPLE, clustering=False, out="code
     )
 
 
+def code_labels(rows, label, keys=SAMPLE, seed=42, clustering=False, out="code"):
+    """``encode_labels`` with the map of ``label_map``, as windows over the sample's own exchange: the rows
+    are read once and nothing is joined."""
+    y, sample = F.col(f"`{label}`"), W.partitionBy(*keys)
+    seen = F.count(context(y)).over(W.partitionBy(*keys, y))
+    rows = rows.withColumn("_seen", seen)
+    # Labels without a context row rank last, so a rank counts kept labels only.
+    place = F.dense_rank().over(sample.orderBy(F.desc("_seen"), y))
+    kept = F.col("_seen") > 0
+    if not clustering:
+        kept = kept & (F.col("_place") <= K.KEPT_LABELS)
+    rows = rows.withColumn("_place", place).withColumn("_kept", kept)
+    drawn = F.when(F.col("_kept"), draw(seed, "label", *keys, y))
+    code = F.dense_rank().over(sample.orderBy(F.desc("_kept"), drawn, y)) - 1
+    rows = rows.withColumn("_drawn", F.when(F.col("_kept"), code))
+    other = F.lit(K.OTHER_LABEL)
+    if clustering:
+        other = F.greatest(other, F.coalesce(F.max("_drawn").over(sample) + 1, F.lit(0)))
+    return rows.withColumn(out, F.coalesce("_drawn", other).cast("int")).drop("_seen", "_place", "_kept", "_drawn")
+
+
+def label_texts(rows, label, vector, keys=SAMPLE, row="row_ord", out="label_text"):
+    """Label texts told apart where label vectors collide, as windows over the sample's own exchange.
+
+    ``vector`` gives the vector of a text column. With fewer distinct vectors than labels in a sample, a
+    text becomes ``ordinal_label``, the ordinal counting labels by first appearance. Null stays null.
+    """
+    y, sample = F.col(f"`{label}`").cast("string"), W.partitionBy(*keys)
+    rows = rows.withColumn("_y", y).withColumn("_first", F.min(row).over(W.partitionBy(*keys, "_y")))
+    # One row of each label stands for it, so a vector is made once a label.
+    lead = F.col("_y").isNotNull() & (F.col(row) == F.col("_first"))
+    rows = rows.withColumn("_v", F.when(lead, vector(F.col("_y"))))
+    vectors = F.size(F.collect_set("_v").over(sample))
+    labels = F.count(F.when(lead, 1)).over(sample)
+    nulls_last = F.when(F.col("_y").isNotNull(), F.col("_first")).asc_nulls_last()
+    ordinal = F.dense_rank().over(sample.orderBy(nulls_last)) - 1
+    rows = rows.withColumns({"_apart": vectors < labels, "_ordinal": ordinal})
+    text = F.when(F.col("_apart") & F.col("_y").isNotNull(), F.concat_ws("_", F.col("_ordinal").cast("string"), "_y")).otherwise(F.col("_y"))
+    return rows.withColumn(out, text).drop("_y", "_first", "_v", "_apart", "_ordinal")
+
+
 def classes(rows, label):
     """Sorted distinct labels."""
     return rows.select(F.col(label).alias("label")).where("label is not null").distinct().orderBy("label")
@@ -289,8 +330,7 @@ def encode_target(
             extra = ["_y", "_y__code"]
     elif task == "classification":
         clustering = classification != "cross-entropy"
-        counts = label_counts(rows, target, keys, None if clustering else K.KEPT_LABELS)
-        out = encode_labels(rows, label_map(counts, seed, keys), target, keys, clustering, "_code")
+        out = code_labels(rows, target, keys, seed, clustering, "_code")
         value, delta = F.col("_code").cast("double"), F.lit(0.0)
         label, extra = value, ["_code"]
     else:

@@ -1,18 +1,25 @@
-"""A corpus of tables to encoded samples, with targets chosen automatically or fixed."""
+"""A corpus of tables to encoded samples, with targets chosen automatically or fixed.
 
+Each file is planned once from its footer and read once: the tables of one schema, target column and task
+are the splits of one scan, chosen by path, and what decides on a chunk (is its target usable, is
+its text valid) are windows over the exchange that the sample needs anyway.
+"""
+
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Optional
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..operators import profile as P
+from ..functions.channels import DATE, NUM, TIME, channel_value, kinds
 from ..operators import sampling as S
 from ..operators import targets as G
 from ..operators.ranking import bounded
-from ..sources import manifest, scan
-from ..sources.guards import drop_invalid_text
+from ..sources import corpus, manifest, scan
+from ..sources.guards import valid_chunk
 from ..sources.shared import stage
 from .encode_sample import encode
 from .prepare import SampleConfig, prepare
@@ -29,84 +36,92 @@ class Encoding:
     mode: str = "valid"
     bins: int = K.NUM_BINS
     scale: Optional[int] = None
+    label_vector: Optional[Callable] = None
 
 
-def corpus_samples(spark, root, config=None, encoding=None, shard=(0, 1), epoch=0):
+def corpus_samples(spark, root, config=None, encoding=None, shard=(0, 1), epoch=0, plan=None):
     """Encoded cells of every sample of a corpus.
 
     One row per (table_id, chunk_id, replica, row_ord, feature) with path, target column, task and
     query chunk. Shards only select tables: draws are keyed by table, so a sample is the same in
-    any sharding. ``epoch`` shifts the seed.
+    any sharding. ``epoch`` shifts the seed. ``plan``: a ``plan_corpus`` of the shard's tables, to use
+    it again for further epochs and to ask it afterwards what was ``skipped``.
     """
     config, encoding = config or SampleConfig(), encoding or Encoding()
     config = replace(config, seed=config.seed + epoch)
-    tables = manifest.with_ordinal(manifest.list_tables(spark, root))
-    if tables.isEmpty():
-        raise FileNotFoundError(f"no {manifest.SUFFIX} files below {root}")
-    tables = manifest.shard(tables, *shard)
     size = scan.chunk_size(
         config.min_rows, config.max_rows, config.query_range, config.rows_per_chunk
     )
     if config.auto_target and size < K.MIN_PROBE_ROWS:
         raise ValueError(f"chunks of {size} rows are below the probe minimum: no table can qualify")
-    listed = manifest.list_tables(spark, root).join(tables.select("table_id"), "table_id", "left_semi")
-    frames = scan.corpus_tables(spark, root, listed)
-    if config.auto_target:
-        cells = scan.probe_cells(spark, root, listed, size, config.min_rows, config.times)
-        parts = _auto(frames, cells, tables, size, config, encoding)
-    else:
-        parts = _fixed(frames, tables, size, config, encoding)
+    plan = plan or plan_shard(spark, root, shard)
+    tables = plan.splits.select("table_id", "path").distinct()
+    chosen = _auto(plan, tables, size, config) if config.auto_target else _fixed(plan, tables, config)
+    parts = [_encoded(plan, size, config, encoding, *c) for c in chosen]
     parts = [p for p in parts if p is not None]
     if not parts:
         raise ValueError(f"no eligible table below {root}")
-    return scan.union_all(parts).join(tables.select("table_id", "path"), "table_id")
+    return scan.union_all(parts).join(tables, "table_id")
+
+
+def plan_shard(spark, root, shard=(0, 1)):
+    """The plan of a shard's tables; raises where the root holds none."""
+    tables = manifest.with_ordinal(manifest.list_tables(spark, root))
+    if tables.isEmpty():
+        raise FileNotFoundError(f"no {manifest.SUFFIX} files below {root}")
+    return corpus.plan_corpus(spark, root, manifest.shard(tables, *shard))
 
 
-def _auto(frames, cells, tables, size, config, encoding):
+def _auto(plan, tables, size, config):
+    """(schema, splits, specs, their number, column, task) by chosen targets."""
+    cells = corpus.probe_cells(plan, size, config.min_rows, config.times)
     specs = G.build_specs(
         cells, tables, config.seed, K.MIN_PROBE_ROWS, config.max_features, config.keyword, config.balanced
     )
     specs = stage(specs.select("table_id", "col", "task", "replica"), "specs")
     total = specs.count()
-    # Few distinct pairs: at most one per column name and task.
-    wanted = {(r.col, r.task) for r in specs.select("col", "task").distinct().toLocalIterator()}
-    for frame in frames:
-        for column, task in sorted(wanted):
-            if column in frame.columns:
-                chosen = specs.where((F.col("col") == column) & (F.col("task") == task))
-                yield _encoded(frame, chosen, total, column, task, size, config, encoding)
-
-
-def _fixed(frames, tables, size, config, encoding):
+    placed = plan.readable().join(specs.select("table_id", "col", "task").distinct(), "table_id")
+    placed = stage(placed, "placed")
+    schemas = dict(plan.schemas())
+    # A spec names a column of its schema, so there are at most as many groups as distinct columns.
+    groups = placed.groupBy("schema_key", "col", "task").agg(F.min("path").alias("path")).collect()
+    for g in sorted(groups, key=lambda g: (g.path, g.col, g.task)):
+        own = (F.col("col") == g.col) & (F.col("task") == g.task)
+        splits = placed.where(own & (F.col("schema_key") == g.schema_key))
+        yield schemas[g.schema_key], splits, specs.where(own), total, g.col, g.task
+
+
+def _fixed(plan, tables, config):
     by_path = G.infer_task(tables, config.keyword, by_path_only=True)
-    by_path = by_path.withColumn("replica", F.lit(0).cast("bigint"))
-    for frame in frames:
-        data = [c for c in frame.columns if c not in scan.ROW_COLUMNS]
-        column = G.resolve_target(data, config.target)
+    by_path = by_path.withColumn("replica", F.lit(0).cast("bigint")).drop("path")
+    placed = stage(plan.readable().join(by_path.select("table_id", "task"), "table_id"), "placed")
+    for key, schema in plan.schemas():
+        column = G.resolve_target(schema.names, config.target)
         for task in ("classification", "regression"):
-            chosen = by_path.where(F.col("task") == task)
-            yield _encoded(frame, chosen, None, column, task, size, config, encoding)
+            splits = placed.where((F.col("schema_key") == key) & (F.col("task") == task))
+            yield schema, splits, by_path.where(F.col("task") == task), None, column, task
 
 
-def _numeric(frame, column):
-    return isinstance(frame.schema[column].dataType, T.NumericType)
-
-
-def _encoded(frame, specs, n_specs, column, task, size, config, encoding):
-    """Samples of the tables of one frame whose spec names this column and task."""
-    if task == "regression" and not _numeric(frame, column) and config.skip_ineligible:
+def _encoded(plan, size, config, encoding, schema, splits, specs, n_specs, column, task):
+    """Samples of the tables whose spec names this schema, column and task."""
+    kind = kinds(schema, config.times)[column]
+    numeric = isinstance(schema[column].dataType, T.NumericType)
+    if config.skip_ineligible and (kind in (DATE, TIME) or (task == "regression" and not numeric)):
+        return None
+    if config.skip_ineligible and (kind == NUM) != (task == "regression"):
         return None
     picked = bounded(specs.select("table_id", "replica"), n_specs)
-    rows = scan.cut_chunks(frame, size, config.min_rows)
+    rows = corpus.read_rows(plan, splits, schema, size, config.min_rows).join(picked, "table_id")
+    usable = valid_chunk(rows, KEYS)
     if config.skip_ineligible:
-        rows = _eligible(rows, column, task, config)
-    rows = drop_invalid_text(rows.join(picked, "table_id"))
+        usable = usable & _eligible(schema, column, kind, config)
+    rows = rows.withColumn("_usable", usable).where("_usable").drop("_usable")
     prepared, kind = prepare(rows, column, config, KEYS)
     if prepared is None:
         return None
     cells = encode(
         prepared, kind, column, task, KEYS, encoding.regression, encoding.classification,
-        encoding.mode, config.seed, encoding.bins, encoding.scale,
+        encoding.mode, config.seed, encoding.bins, encoding.scale, encoding.label_vector,
     )
     chunk = S.query_chunk_of(config.query_chunk)
     return (
@@ -117,9 +132,14 @@ def _encoded(frame, specs, n_specs, column, task, size, config, encoding):
     )
 
 
-def _eligible(rows, column, task, config):
-    keys = ["table_id", "chunk_id"]
-    cells = scan.to_cells(rows.select(*scan.ROW_COLUMNS, F.col(f"`{column}`")), config.times)
-    profiled = P.profile(cells, keys).withColumn("task", F.lit(task))
-    fit = G.filter_eligible(profiled, config.auto_target, config.max_null, config.max_distinct)
-    return rows.join(fit.select(*keys), keys, "left_semi")
+def _eligible(schema, column, kind, config):
+    """Whether a chunk's target has values, and in fixed mode few nulls or few classes, as a window."""
+    chunk = W.partitionBy(*KEYS)
+    value = channel_value(column, schema[column].dataType, kind)
+    present, rows = F.count(value).over(chunk), F.count(F.lit(1)).over(chunk)
+    if config.auto_target:
+        return present > 0
+    if kind == NUM:
+        return (present > 0) & (rows - present <= config.max_null * rows)
+    # Values of one chunk: bounded by its rows.
+    return (present > 0) & (F.size(F.collect_set(value).over(chunk)) <= config.max_distinct * rows)

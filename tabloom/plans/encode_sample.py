@@ -11,13 +11,14 @@ from ..operators import sampling as S
 
 def encode(
     prepared, kind, target, task, keys=S.SAMPLE, regression="bins",
-    classification="cross-entropy", mode="valid", seed=42, bins=K.NUM_BINS, scale=None,
+    classification="cross-entropy", mode="valid", seed=42, bins=K.NUM_BINS, scale=None, label_vector=None,
 ):
     """Encoded cells, one row per (sample row, feature), with the row's encoded target.
 
     Columns: keys, row_ord, pos, is_query, target, target_delta, truth, target_text (context labels
-    of a classification), col_pos, col, mask, kind, txt, floor, delta, z, y, m, d, w. Features without any context value are left out. Statistics
-    of all columns share the partitioning the preparation made.
+    of a classification), col_pos, col, mask, kind, txt, floor, delta, z, y, m, d, w. Features without any
+    context value are left out. Statistics of all columns share the partitioning the preparation made.
+    ``label_vector`` gives the vector of a label's text; labels whose vectors collide are told apart.
     """
     features = [c for c, k in kind.items() if c != target]
     numbers = [c for c in features if kind[c] in (NUM, TIME)]
@@ -42,7 +43,11 @@ def encode(
         text = F.coalesce(F.col(f"`{c}`"), F.lit(K.NULL_TEXT)) if kind[c] == TEXT else F.lit(None)
         cells.append(_cell(kind[c], text, code, z, codes, hidden))
     filler = _cell(TEXT, F.lit(K.PAD_VALUE), None, hidden, {p: F.lit(0) for p in "ymdw"}, hidden)
-    label = F.coalesce(F.col(f"`{target}`").cast("string"), F.lit(K.NULL_TEXT))
+    if label_vector is not None and task == "classification":
+        rows = E.label_texts(rows, target, label_vector, keys, out="_label")
+    else:
+        rows = rows.withColumn("_label", F.col(f"`{target}`").cast("string"))
+    label = F.coalesce("_label", F.lit(K.NULL_TEXT))
     shown = label if task == "classification" else F.lit(None).cast("string")
     rows = rows.withColumn("target_text", F.when(~F.col("is_query"), shown))
     row = [*keys, "row_ord", "pos", "is_query", "target", "target_delta", "truth", "target_text"]

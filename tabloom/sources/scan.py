@@ -1,18 +1,16 @@
 """Table scans: row ordinals, chunks, probe chunks and the long cell relation."""
 
 import base64
-import time
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark.errors import PySparkTypeError
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions.channels import DATE, NUM, TEXT, TIME, channel_sql, kinds
-from .manifest import _check_root, list_tables, table_id_of
+from .manifest import _check_root, table_id_of
 
 ROW_COLUMNS = ("table_id", "chunk_id", "row_ord")
 
@@ -34,70 +32,6 @@ def scan(spark, root, paths=None, schema=None):
     )
 
 
-def retried(read, attempts=3, wait=0.2):
-    """What read() gives; an input/output error is tried again and then raised, never swallowed."""
-    for attempt in range(attempts):
-        try:
-            return read()
-        except OSError:
-            if attempt == attempts - 1:
-                raise
-            time.sleep(wait * 2**attempt)
-
-
-def _first_rows(path, size):
-    fs, inner = _open(path)
-    with fs.open_input_file(inner) as source:
-        return next(pq.ParquetFile(source).iter_batches(batch_size=size), None)
-
-
-def probe_scan(spark, root, tables, schema, size, min_rows=1):
-    """Rows of the first chunk of each table of one schema, as ``scan`` gives them.
-
-    ``tables``: (table_id, path) frame. A scan with a filter on the row position would decode
-    whole files; here a task opens a file and stops after ``size`` rows. A file that fails to
-    read is left out.
-    """
-    fields = [T.StructField("table_id", T.StringType()), T.StructField("row_ord", T.LongType())]
-    out = T.StructType(fields + list(schema.fields))
-    arrow = to_arrow_schema(schema)
-
-    def first_chunks(batches):
-        for batch in batches:
-            ids, paths = batch.column("table_id").to_pylist(), batch.column("path").to_pylist()
-            for table_id, path in zip(ids, paths):
-                try:
-                    rows = retried(lambda path=path: _first_rows(path, size))
-                    if rows is None or rows.num_rows < min_rows:
-                        continue
-                    cast = pa.Table.from_batches([rows]).cast(arrow)
-                except pa.ArrowException:  # not a Parquet file, or broken inside
-                    continue
-                n = rows.num_rows
-                keys = [pa.array([table_id] * n, pa.string()), pa.array(range(n), pa.int64())]
-                whole = pa.Table.from_arrays(
-                    keys + cast.columns, names=["table_id", "row_ord", *cast.schema.names]
-                )
-                yield from whole.combine_chunks().to_batches()
-
-    return tables.select("table_id", "path").mapInArrow(first_chunks, out)
-
-
-def probe_cells(spark, root, tables, size, min_rows=1, times=()):
-    """Cells of the probe chunk of every table of a corpus."""
-    base = _check_root(spark, root)
-    parts = []
-    for schema, paths, _ in schema_groups(spark, root, tables)[0]:
-        # File metadata the driver holds anyway; one task per file up to the parallelism allowed.
-        listed = spark.createDataFrame([(p,) for p in paths], "path string")
-        few = len(paths) <= spark.sparkContext.defaultParallelism
-        listed = listed.coalesce(len(paths)) if few else listed.repartition(min(len(paths), 10_000))
-        listed = listed.select(table_id_of("path", base).alias("table_id"), "path")
-        rows = probe_scan(spark, root, listed, schema, size, min_rows)
-        parts.append(to_cells(rows.withColumn("chunk_id", F.lit(0).cast("bigint")), times))
-    return union_all(parts)
-
-
 def named_table(df, table_id, row_ord):
     """Give an in-memory or single-table frame the scan columns. ``row_ord``: dense 0-based key."""
     return df.withColumn("table_id", F.lit(table_id)).withColumn(
@@ -173,7 +107,7 @@ def _cell_sql(ordinal, field, kind):
     )
 
 
-def _open(path):
+def open_path(path):
     """Filesystem and path for a location string; bare paths are local.
 
     A scheme Arrow does not know is an error, never an unreadable file.
@@ -190,29 +124,9 @@ def _open(path):
         raise RuntimeError(f"no filesystem for {path}") from exc
 
 
-def _footer(path):
-    fs, inner = _open(path)
-    return pq.read_schema(inner, filesystem=fs).remove_metadata()
-
-
-def _footer_schemas(batches):
-    for batch in batches:
-        keys = []
-        for path in batch.column("path").to_pylist():
-            try:
-                schema = retried(lambda path=path: _footer(path))
-                keys.append(base64.b64encode(schema.serialize().to_pybytes()).decode())
-            except pa.ArrowException:  # not a Parquet file, or broken inside
-                keys.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(keys, pa.string())], names=[*batch.schema.names, "schema_key"]
-        )
-
-
-def footer_schemas(tables):
-    """Adds schema_key, read from each file's footer in parallel; null where it is unreadable."""
-    listed = tables.select("path", "length")
-    return listed.mapInArrow(_footer_schemas, "path string, length bigint, schema_key string")
+def schema_text(schema):
+    """A footer's Arrow schema as text, without its metadata."""
+    return base64.b64encode(schema.remove_metadata().serialize().to_pybytes()).decode()
 
 
 def schema_groups(spark, root, tables=None):
@@ -221,20 +135,17 @@ def schema_groups(spark, root, tables=None):
     Paths and distinct schemas are what Spark's driver has to know to plan any scan; no rows are
     read. One scan per schema replaces one plan per file.
     """
-    tables = list_tables(spark, root) if tables is None else tables
-    keyed = footer_schemas(tables).withColumn("_print", F.xxhash64("schema_key")).persist()
-    firsts = keyed.where("schema_key is not null").groupBy("_print").agg(
-        F.any_value("schema_key").alias("schema_key"), F.min("path").alias("path")
-    )
-    schemas = {r._print: _spark_schema(spark, r.schema_key, r.path) for r in firsts.collect()}
+    from .corpus import plan_corpus
+
+    plan = plan_corpus(spark, root, tables)
+    files = plan.splits.groupBy("path").agg(F.any_value("schema_key").alias("key"), F.sum("bytes").alias("n"))
     groups, unreadable = {}, []
-    found = keyed.select("path", "length", "_print", F.isnotnull("schema_key"))
-    for path, length, key, known in found.collect():
-        if known:
-            groups.setdefault(key, []).append((path, length))
-        else:
+    for path, key, size in files.collect():
+        if key is None:
             unreadable.append(path)
-    keyed.unpersist()
+        else:
+            groups.setdefault(key, []).append((path, size))
+    schemas = dict(plan.schemas())
     ordered = sorted(groups.items(), key=lambda g: min(g[1]))
     listed = [(schemas[k], sorted(p for p, _ in g), sum(n for _, n in g)) for k, g in ordered]
     return listed, sorted(unreadable)
@@ -250,6 +161,13 @@ def _spark_schema(spark, key, path):
         return spark.read.parquet(path).schema
 
 
+def probe_cells(spark, root, tables, size, min_rows=1, times=()):
+    """Cells of the probe chunk of every table of a corpus; see ``corpus`` for how files are read."""
+    from . import corpus
+
+    return corpus.probe_cells(corpus.plan_corpus(spark, root, tables), size, min_rows, times)
+
+
 def corpus_tables(spark, root, tables=None):
     """One scanned frame per schema of the corpus."""
     groups, _ = schema_groups(spark, root, tables)

@@ -1,6 +1,7 @@
 """Corpus discovery, scans, guards, sink and whole-corpus plans on a small directory."""
 
 import datetime
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import profile as P
 from tabloom.plans.corpus import Encoding, corpus_samples
 from tabloom.plans.prepare import SampleConfig
-from tabloom.sources import guards, manifest, scan, sink
+from tabloom.sources import corpus, guards, manifest, scan, sink
 
 
 def make_table(n, seed, wide=False):
@@ -135,17 +136,79 @@ def test_shards_of_an_epoch_do_not_replace_each_other(spark, tmp_path):
     assert sorted(r.shard for r in spark.read.parquet(path).collect()) == [0, 0, 1, 1]
 
 
-def test_read_errors_are_retried_and_then_raised():
-    calls = []
+def test_read_errors_are_retried_and_then_raised(tmp_path):
+    calls, path = [], str(tmp_path / "whole")
+    (tmp_path / "whole").write_bytes(b"bytes")
 
-    def broken():
-        calls.append(1)
-        raise OSError("store is away")
+    def broken(error):
+        def read():
+            calls.append(1)
+            raise error
 
-    with pytest.raises(OSError):
-        scan.retried(broken, wait=0)
+        return read
+
+    with pytest.raises(OSError):  # its bytes cannot be fetched: the store is away
+        corpus.attempt(path + "-absent", broken(OSError("store is away")), wait=0)
     assert len(calls) == 3
-    assert scan.retried(lambda: 5) == 5
+    assert corpus.attempt(path, broken(OSError("page header")), wait=0) == (None, "OSError: page header")
+    assert corpus.attempt(path, broken(pa.ArrowInvalid("no magic"))) == (None, "ArrowInvalid: no magic")
+    assert len(calls) == 7 and corpus.attempt(path, lambda: 5) == (5, None)
+
+
+@pytest.fixture(scope="module")
+def broken_root(tmp_path_factory):
+    """A whole table, one with a broken page in its second row group, one cut short, one that is none."""
+    root = tmp_path_factory.mktemp("broken")
+    table = make_table(400, 1)
+    for name in ("whole", "page", "cut"):
+        pq.write_table(table, root / f"{name}.parquet", row_group_size=100, compression="none")
+    data = bytearray((root / "page.parquet").read_bytes())
+    column = pq.ParquetFile(root / "page.parquet").metadata.row_group(1).column(0)
+    start = column.dictionary_page_offset or column.data_page_offset
+    data[start : start + 60] = b"\xff" * 60
+    (root / "page.parquet").write_bytes(data)
+    whole = (root / "cut.parquet").read_bytes()
+    (root / "cut.parquet").write_bytes(whole[: len(whole) // 2])
+    (root / "junk.parquet").write_bytes(b"not parquet at all")
+    return str(root)
+
+
+def test_plan_cuts_files_between_row_groups(spark, root):
+    plan = corpus.plan_corpus(spark, root, split_bytes=1)
+    got = plan.readable().where("table_id = 'a'").orderBy("first").collect()
+    assert [(r.first, r.end, r.first_row, r.n_rows, r.table_rows) for r in got] == [
+        (0, 1, 0, 90, 430), (1, 2, 90, 90, 430), (2, 3, 180, 90, 430), (3, 4, 270, 90, 430), (4, 5, 360, 70, 430)]
+    assert {r.table_id: r.n_rows for r in plan.table_rows().collect()} == {
+        "a": 430, "b/nested": 300, "b-x/other": 200, "empty": 0, "junk": 0, "regression/r": 250}
+    assert [(r.table_id, r.row_group) for r in plan.skipped().collect()] == [("junk", None)]
+
+
+@pytest.mark.parametrize("split_bytes, task_bytes", [(1, 1), (1, 1 << 30), (1 << 30, 1 << 30)])
+def test_source_gives_the_rows_that_spark_reads(spark, root, split_bytes, task_bytes):
+    plan = corpus.plan_corpus(spark, root, split_bytes=split_bytes)
+    for key, schema in plan.schemas():
+        splits = plan.readable().where(F.col("schema_key") == key)
+        got = corpus.read_rows(plan, splits, schema, 100, 50, task_bytes=task_bytes)
+        paths = [r.path for r in splits.select("path").distinct().collect()]
+        want = scan.cut_chunks(scan.scan(spark, root, paths, schema), 100, 50)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        probe = corpus.read_rows(plan, splits, schema, 100, 50, columns=["grade"], probe=True, task_bytes=task_bytes)
+        assert probe.columns == ["table_id", "chunk_id", "row_ord", "grade"]
+        want = scan.probe_chunk(want).select(*probe.columns)
+        assert sorted(map(str, probe.collect())) == sorted(map(str, want.collect()))
+
+
+def test_broken_row_groups_are_left_out_and_reported(spark, broken_root):
+    plan = corpus.plan_corpus(spark, broken_root, split_bytes=1)
+    ((_, schema),) = plan.schemas()
+    rows = corpus.read_rows(plan, plan.readable(), schema, 100)
+    counts = {(r.table_id, r.chunk_id): r["count"] for r in rows.groupBy("table_id", "chunk_id").count().collect()}
+    assert counts == {**{("whole", i): 100 for i in range(4)}, **{("page", i): 100 for i in (0, 2, 3)}}
+    rows.count()  # a second pass reports nothing twice
+    report = {(r.table_id, r.row_group, r.first_row): r.reason for r in plan.skipped().collect()}
+    assert set(report) == {("page", 1, 100), ("cut", None, None), ("junk", None, None)} and all(report.values())
+    probed = corpus.probe_cells(corpus.plan_corpus(spark, broken_root), 150).groupBy("table_id").agg(F.max("row_ord").alias("m")).collect()
+    assert {r.table_id: r.m for r in probed} == {"whole": 149, "page": 99}  # the same rule in a probe
 
 
 CONFIG = SampleConfig(
@@ -193,3 +256,40 @@ def test_corpus_samples_fixed(spark, root):
 def test_too_small_chunks_fail_early(spark, root):
     with pytest.raises(ValueError, match="probe minimum"):
         corpus_samples(spark, root, SampleConfig(query_range=(2, 5)))
+
+
+def test_corpus_samples_read_each_file_once(spark, root, monkeypatch):
+    read = []
+    kept = corpus.read_rows
+
+    def watched(plan, splits, *args, **options):
+        read.append((options.get("probe", False), [r.table_id for r in splits.select("table_id").collect()]))
+        return kept(plan, splits, *args, **options)
+
+    monkeypatch.setattr(corpus, "read_rows", watched)
+    plan = corpus.plan_corpus(spark, root)
+    samples = corpus_samples(spark, root, CONFIG, plan=plan)
+    scans = [t for probe, tables in read if not probe for t in tables]
+    assert len(scans) == len(set(scans)) and {"a", "b/nested"} <= set(scans)
+    text = samples._jdf.queryExecution().executedPlan().toString()
+    assert text.count("BatchScan") == sum(not probe for probe, _ in read)
+    assert len(re.findall(r"Exchange hashpartitioning\(table_id", text)) <= sum(not probe for probe, _ in read) + 2
+    assert samples.count() and [r.table_id for r in plan.skipped().collect()] == ["junk"]
+
+
+def test_samples_of_broken_tables_keep_whole_chunks_and_bad_text_goes(spark, broken_root):
+    config = SampleConfig(**{**CONFIG.__dict__, "balanced": False, "min_rows": 100, "max_rows": 100, "rows_per_chunk": 200, "query_range": (20, 60)})
+    plan = corpus.plan_corpus(spark, broken_root)
+    got = corpus_samples(spark, broken_root, config, plan=plan)
+    chunks = {(r.table_id, r.chunk_id) for r in got.select("table_id", "chunk_id").distinct().collect()}
+    assert ("whole", 0) in chunks and {t for t, _ in chunks} <= {"whole", "page"}
+    assert {(r.table_id, r.row_group) for r in plan.skipped().collect()} == {("page", 1), ("cut", None), ("junk", None)}
+
+
+def test_chunk_flags_as_windows(spark):
+    rows = spark.range(30).select(
+        F.lit("t").alias("table_id"), F.floor(F.col("id") / 10).alias("chunk_id"), F.lit(0).alias("replica"),
+        F.when(F.col("id") == 14, F.unhex(F.lit("C328")).cast("string")).otherwise("fine").alias("s"),
+    )
+    kept = rows.withColumn("ok", guards.valid_chunk(rows, ("table_id", "chunk_id", "replica"))).where("ok")
+    assert sorted(map(tuple, kept.groupBy("chunk_id").count().collect())) == [(0, 10), (2, 10)]
