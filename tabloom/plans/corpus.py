@@ -20,7 +20,7 @@ from ..operators import targets as G
 from ..operators.ranking import bounded
 from ..sources import corpus, manifest, scan
 from ..sources.guards import valid_chunk
-from ..sources.shared import stage
+from ..sources.shared import fresh_path, stage
 from .encode_sample import encode
 from .prepare import SampleConfig, prepare
 
@@ -73,36 +73,39 @@ def plan_shard(spark, root, shard=(0, 1)):
 
 
 def _auto(plan, tables, size, config):
-    """(schema, splits, specs, their number, column, task) by chosen targets."""
+    """(schema, splits written, which of them, specs, their number, column, task) by chosen targets."""
     cells = corpus.probe_cells(plan, size, config.min_rows, config.times)
     specs = G.build_specs(
         cells, tables, config.seed, K.MIN_PROBE_ROWS, config.max_features, config.keyword, config.balanced
     )
     specs = stage(specs.select("table_id", "col", "task", "replica"), "specs")
     total = specs.count()
-    placed = plan.readable().join(specs.select("table_id", "col", "task").distinct(), "table_id")
-    placed = stage(placed, "placed")
+    at, placed = _written(plan.readable().join(specs.select("table_id", "col", "task").distinct(), "table_id"))
     schemas = dict(plan.schemas())
     # A spec names a column of its schema, so there are at most as many groups as distinct columns.
-    groups = placed.groupBy("schema_key", "col", "task").agg(F.min("path").alias("path")).collect()
-    for g in sorted(groups, key=lambda g: (g.path, g.col, g.task)):
+    for g in sorted(placed.select("schema_key", "col", "task").distinct().collect()):
         own = (F.col("col") == g.col) & (F.col("task") == g.task)
-        splits = placed.where(own & (F.col("schema_key") == g.schema_key))
-        yield schemas[g.schema_key], splits, specs.where(own), total, g.col, g.task
+        yield schemas[g.schema_key], at, g.asDict(), specs.where(own), total, g.col, g.task
 
 
 def _fixed(plan, tables, config):
     by_path = G.infer_task(tables, config.keyword, by_path_only=True)
     by_path = by_path.withColumn("replica", F.lit(0).cast("bigint")).drop("path")
-    placed = stage(plan.readable().join(by_path.select("table_id", "task"), "table_id"), "placed")
+    at, _ = _written(plan.readable().join(by_path.select("table_id", "task"), "table_id"))
     for key, schema in plan.schemas():
         column = G.resolve_target(schema.names, config.target)
         for task in ("classification", "regression"):
-            splits = placed.where((F.col("schema_key") == key) & (F.col("task") == task))
-            yield schema, splits, by_path.where(F.col("task") == task), None, column, task
+            which = {"schema_key": key, "task": task}
+            yield schema, at, which, by_path.where(F.col("task") == task), None, column, task
 
 
-def _encoded(plan, size, config, encoding, schema, splits, specs, n_specs, column, task):
+def _written(splits):
+    path = fresh_path(splits.sparkSession, "placed")
+    splits.write.parquet(path)
+    return path, splits.sparkSession.read.schema(splits.schema).parquet(path)
+
+
+def _encoded(plan, size, config, encoding, schema, at, which, specs, n_specs, column, task):
     """Samples of the tables whose spec names this schema, column and task."""
     kind = kinds(schema, config.times)[column]
     numeric = isinstance(schema[column].dataType, T.NumericType)
@@ -111,7 +114,7 @@ def _encoded(plan, size, config, encoding, schema, splits, specs, n_specs, colum
     if config.skip_ineligible and (kind == NUM) != (task == "regression"):
         return None
     picked = bounded(specs.select("table_id", "replica"), n_specs)
-    rows = corpus.read_rows(plan, splits, schema, size, config.min_rows).join(picked, "table_id")
+    rows = corpus.read_rows(plan, which, schema, size, config.min_rows, at=at).join(picked, "table_id")
     usable = valid_chunk(rows, KEYS)
     if config.skip_ineligible:
         usable = usable & _eligible(schema, column, kind, config)

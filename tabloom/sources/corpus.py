@@ -96,9 +96,11 @@ def _file_splits(table_id, path, split_bytes):
 
 @dataclass(frozen=True)
 class CorpusPlan:
-    """Splits of a corpus, written; ``report`` is the folder where scans report what they left out."""
+    """Splits of a corpus, written to ``path``; ``report`` is the folder where scans report what they left
+    out."""
 
     splits: DataFrame
+    path: str
     report: str
 
     def readable(self):
@@ -147,7 +149,7 @@ def plan_corpus(spark, root, tables=None, split_bytes=SPLIT_BYTES):
     _mkdir(report)
     path = fresh_path(spark, "corpus-plan")
     tables.select("table_id", "path").mapInArrow(cut, SPLIT).write.parquet(path)
-    return CorpusPlan(spark.read.schema(SPLIT).parquet(path), report)
+    return CorpusPlan(spark.read.schema(SPLIT).parquet(path), path, report)
 
 
 def _mkdir(uri):
@@ -178,14 +180,18 @@ class Part(InputPartition):
 
 class CorpusReader(DataSourceReader):
     def __init__(self, options, schema):
-        self.at, self.report = options["splits"], options["report"]
+        self.at, self.where, self.report = options["splits"], json.loads(options["where"]), options["report"]
         self.size, self.min_rows = int(options["size"]), int(options["minrows"])
         self.probe, self.most = options["probe"] == "true", int(options["bytes"])
         self.arrow = to_arrow_schema(schema)
 
     def partitions(self):
         fs, inner = open_path(self.at)
-        splits = pads.dataset(inner, filesystem=fs, format="parquet").to_table().to_pylist()
+        own = pads.field("reason").is_null()
+        for column, value in self.where.items():
+            own = own & (pads.field(column) == value)
+        columns = ["table_id", "path", "first", "end", "first_row", "n_rows", "table_rows", "bytes"]
+        splits = pads.dataset(inner, filesystem=fs, format="parquet").to_table(columns, filter=own).to_pylist()
         splits.sort(key=lambda s: (s["path"], s["first"]))
         parts, size = [], 0
         for s in splits:
@@ -280,20 +286,19 @@ class CorpusReader(DataSourceReader):
             f.write(json.dumps(found).encode() + b"\n")
 
 
-def read_rows(plan, splits, schema, size, min_rows=1, columns=None, probe=False, task_bytes=SPLIT_BYTES):
-    """Rows of the given splits of one schema, in chunks of ``size`` rows: (table_id, chunk_id, row_ord, columns).
+def read_rows(plan, where, schema, size, min_rows=1, columns=None, probe=False, task_bytes=SPLIT_BYTES, at=None):
+    """Rows of splits of one schema, in chunks of ``size`` rows: (table_id, chunk_id, row_ord, columns).
 
-    ``probe`` stops after the first chunk of each table. ``columns`` are those to decode.
+    The splits are those of the plan, or of the written table of splits ``at``, whose columns have the
+    values of ``where``. ``probe`` stops after the first chunk of each table. ``columns`` are those to decode.
     """
-    spark = splits.sparkSession
+    spark = plan.splits.sparkSession
     spark.dataSource.register(CorpusSource)
     wanted = [f for f in schema.fields if columns is None or f.name in columns]
     fields = [T.StructField("table_id", T.StringType()), T.StructField("chunk_id", T.LongType()), T.StructField("row_ord", T.LongType())]
     shape = T.StructType(fields + [T.StructField(f.name, f.dataType) for f in wanted])
-    path = fresh_path(spark, "splits")
-    splits.select("table_id", "path", "first", "end", "first_row", "n_rows", "table_rows", "bytes").write.parquet(path)
     options = {
-        "splits": path, "schema": shape.json(), "report": plan.report, "size": str(size), "minrows": str(min_rows),
+        "splits": at or plan.path, "where": json.dumps(where), "schema": shape.json(), "report": plan.report, "size": str(size), "minrows": str(min_rows),
         "probe": str(probe).lower(), "bytes": str(task_bytes),
     }
     return spark.read.format(NAME).options(**options).load()
@@ -303,8 +308,8 @@ def probe_cells(plan, size, min_rows=1, times=()):
     """Cells of the probe chunk of every table of a plan."""
     parts = []
     for key, schema in plan.schemas():
-        splits = plan.readable().where(F.col("schema_key") == key)
-        parts.append(to_cells(read_rows(plan, splits, schema, size, min_rows, probe=True), times))
+        rows = read_rows(plan, {"schema_key": key}, schema, size, min_rows, probe=True)
+        parts.append(to_cells(rows, times))
     if not parts:
         raise ValueError("no readable table")
     return union_all(parts)

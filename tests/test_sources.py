@@ -187,12 +187,12 @@ def test_plan_cuts_files_between_row_groups(spark, root):
 def test_source_gives_the_rows_that_spark_reads(spark, root, split_bytes, task_bytes):
     plan = corpus.plan_corpus(spark, root, split_bytes=split_bytes)
     for key, schema in plan.schemas():
-        splits = plan.readable().where(F.col("schema_key") == key)
-        got = corpus.read_rows(plan, splits, schema, 100, 50, task_bytes=task_bytes)
+        splits, which = plan.readable().where(F.col("schema_key") == key), {"schema_key": key}
+        got = corpus.read_rows(plan, which, schema, 100, 50, task_bytes=task_bytes)
         paths = [r.path for r in splits.select("path").distinct().collect()]
         want = scan.cut_chunks(scan.scan(spark, root, paths, schema), 100, 50)
         assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
-        probe = corpus.read_rows(plan, splits, schema, 100, 50, columns=["grade"], probe=True, task_bytes=task_bytes)
+        probe = corpus.read_rows(plan, which, schema, 100, 50, columns=["grade"], probe=True, task_bytes=task_bytes)
         assert probe.columns == ["table_id", "chunk_id", "row_ord", "grade"]
         want = scan.probe_chunk(want).select(*probe.columns)
         assert sorted(map(str, probe.collect())) == sorted(map(str, want.collect()))
@@ -201,7 +201,7 @@ def test_source_gives_the_rows_that_spark_reads(spark, root, split_bytes, task_b
 def test_broken_row_groups_are_left_out_and_reported(spark, broken_root):
     plan = corpus.plan_corpus(spark, broken_root, split_bytes=1)
     ((_, schema),) = plan.schemas()
-    rows = corpus.read_rows(plan, plan.readable(), schema, 100)
+    rows = corpus.read_rows(plan, {}, schema, 100)
     counts = {(r.table_id, r.chunk_id): r["count"] for r in rows.groupBy("table_id", "chunk_id").count().collect()}
     assert counts == {**{("whole", i): 100 for i in range(4)}, **{("page", i): 100 for i in (0, 2, 3)}}
     rows.count()  # a second pass reports nothing twice
@@ -262,9 +262,12 @@ def test_corpus_samples_read_each_file_once(spark, root, monkeypatch):
     read = []
     kept = corpus.read_rows
 
-    def watched(plan, splits, *args, **options):
+    def watched(plan, which, *args, at=None, **options):
+        splits = spark.read.parquet(at or plan.path)
+        for column, value in which.items():
+            splits = splits.where(F.col(column) == value)
         read.append((options.get("probe", False), [r.table_id for r in splits.select("table_id").collect()]))
-        return kept(plan, splits, *args, **options)
+        return kept(plan, which, *args, at=at, **options)
 
     monkeypatch.setattr(corpus, "read_rows", watched)
     plan = corpus.plan_corpus(spark, root)
