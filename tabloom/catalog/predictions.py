@@ -382,10 +382,52 @@ HELD = f"select vec_id, label, {VEC} as v, {sql_draw('holdout', 'vec_id')} % 5 =
 CTX = f"select *, row_number() over (order by vec_id) - 1 as idx from ({HELD}) where not is_query"
 DRAWN = f"""select bag, c.* from (select bag, {sql_draw("bootstrap", "'predict'", "bag", "slot")} % (select count(*) from ({CTX})) as idx
     from range({N_BAGS}) b(bag), range({M_ROWS}) s(slot)) join ({CTX}) c using (idx)"""
-BAG_BEST = f"""select q.vec_id, c.bag, c.label, max(list_cosine_similarity(q.v, c.v)) as sim
-    from ({HELD}) q join (select distinct * from ({DRAWN})) c on q.is_query group by 1, 2, 3"""
-PROBA = f"""select vec_id, label, exp(s) / sum(exp(s)) over (partition by vec_id) as p from (
-    select vec_id, label, max({SQL_LOGIT('sim')}) as s from ({BAG_BEST}) group by 1, 2)"""
+
+
+def sql_proba(held=HELD):
+    """Every class of the context table has a row, also one that no bag drew; queries without a vector have
+    null probabilities."""
+    ctx, drawn = (x.replace(HELD, held) for x in (CTX, DRAWN))
+    best = f"""select q.vec_id, c.bag, c.label, max(list_cosine_similarity(q.v, c.v)) as sim
+        from ({held}) q join (select distinct * from ({drawn})) c on q.is_query and q.v is not null group by 1, 2, 3"""
+    proba = f"""select vec_id, label, exp(s) / sum(exp(s)) over (partition by vec_id) as p from (
+        select vec_id, label, max({SQL_LOGIT('sim')}) as s from ({best}) group by 1, 2)"""
+    return f"""select vec_id, label, case when v is not null then coalesce(p, 0) end as p
+        from (select vec_id, v from ({held}) where is_query) cross join (select distinct label from ({ctx}))
+        left join ({proba}) using (vec_id, label)"""
+
+
+PROBA = sql_proba()
+# Rare classes, most of them in no bag, and queries without a vector.
+GAPPY = HELD.replace("label", "case when vec_id % 50 = 1 then 1000 + vec_id else label end as label", 1).replace(
+    f"{VEC} as v", f"case when vec_id % 55 <> 0 or {sql_draw('holdout', 'vec_id')} % 5 <> 0 then {VEC} end as v"
+)
+
+
+def gappy(spark, d):
+    context, queries = context_and_queries(spark, d)
+    rare = F.when(F.col("vec_id") % 50 == 1, 1000 + F.col("vec_id")).otherwise(F.col("label").cast("bigint"))
+    return context.withColumn("label", rare), queries.withColumn("embedding", F.when(F.col("vec_id") % 55 != 0, F.col("embedding")))
+
+
+@query("predict_proba_gappy", f"select vec_id, label::bigint as class, round(p, 6) as prob from ({sql_proba(GAPPY)})")
+def predict_proba_gappy(spark, d):
+    context, queries = gappy(spark, d)
+    out = PR.predict_proba(context, queries, "vec_id", "embedding", "label", N_BAGS, M_ROWS, SEED)
+    return out.select("vec_id", big("class"), rounded("prob"))
+
+
+@query(
+    "predict_class_gappy",
+    f"""select vec_id, case when count(p) > 0 then arg_min(label, (-p, label)) end::bigint as pred
+        from ({sql_proba(GAPPY)}) group by 1""",
+)
+def predict_class_gappy(spark, d):
+    context, queries = gappy(spark, d)
+    out = PR.predict_class(
+        context, queries, "vec_id", "embedding", "label", bagging=N_BAGS, m=M_ROWS, seed=SEED
+    )
+    return out.select("vec_id", big("pred"))
 
 
 @query("predict_proba_bagged", f"select vec_id, label::bigint as class, round(p, 6) as prob from ({PROBA})")

@@ -40,11 +40,12 @@ def clipped_logit(p, eps=1e-6):
 
 
 def softmax_array(scores):
-    """Softmax over an array column, shifted by its maximum. Null entries count as absent."""
+    """Softmax over an array column, shifted by its maximum. Null entries count as absent; with none but
+    those the shares are null."""
 
     def share(weights):
         total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
-        return let(total, lambda t: F.transform(weights, lambda x: x / t))
+        return let(total, lambda t: F.transform(weights, lambda x: F.try_divide(x, t)))
 
     def weigh(held):
         return let(

@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.draws import as_col
+from ..sources.shared import stage
 
 TOLERANCE = 1e-4
 NEG_INF = float("-inf")
@@ -77,12 +78,24 @@ def combine_bags_cls(scores, keys, n_bags, mode, bag="bag", class_col="class", s
 
 
 def combine_bags_auto(scores, keys, n_bags, bag="bag", class_col="class", score="score"):
-    """Mean of probabilities when the scores of every bag look like such, else of softmaxes."""
-    checks = looks_like_probabilities(scores, [bag], keys, score)
-    all_fine = checks.agg(F.bool_and("is_probability")).scalar()
-    per_bag = softmax(scores, [*keys, bag], score, "_p")
-    used = F.when(all_fine, as_col(score)).otherwise(F.col("_p"))
-    return per_bag.groupBy(*keys, class_col).agg((F.sum(used) / n_bags).alias("prob"))
+    """Mean of probabilities when the scores of every bag look like such, else of softmaxes.
+
+    Both means and the check are carried side by side and written once, so what makes the scores, a
+    user's scorer perhaps, runs once.
+    """
+    w = W.partitionBy(*keys, bag)
+    fine = (
+        (F.min(score).over(w) >= -TOLERANCE)
+        & (F.max(score).over(w) <= 1 + TOLERANCE)
+        & (F.abs(F.sum(score).over(w) - 1.0) <= 2 * TOLERANCE)
+    )
+    per_bag = softmax(scores, [*keys, bag], score, "_p").withColumn("_fine", F.coalesce(fine, F.lit(False)))
+    both = per_bag.groupBy(*keys, class_col).agg(
+        (F.sum(score) / n_bags).alias("_mean"), (F.sum("_p") / n_bags).alias("_soft"), F.bool_and("_fine").alias("_fine")
+    )
+    both = stage(both, "combined")
+    all_fine = bool(both.agg(F.bool_and("_fine")).first()[0])
+    return both.select(*keys, class_col, F.col("_mean" if all_fine else "_soft").alias("prob"))
 
 
 def combine_bags_reg(preds, keys, pred="pred"):

@@ -6,14 +6,12 @@ an Arrow task and leaves one number per query and class.
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.vectors import NORM_FLOOR
 
 KINDS = ("cosine", "dot")
 BLOCK_ROWS = 1024
-BROADCAST_BYTES = 256 << 20  # vectors sent to every task
 
 
 def _matrix(column):
@@ -183,98 +181,6 @@ def symmetrise(sims, keys, left="i", right="j", sim="sim"):
     return mean.select(*keys, F.inline(shape), "sim")
 
 
-def _list_matrix(column):
-    """Arrow list column of equal-length vectors as a matrix, without Python objects."""
-    if not len(column):
-        return np.zeros((0, 1))
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(len(column), -1)
-
-
-def _bag_scores(q, bags, n_codes, kind):
-    """Array (rows, bags · classes) of best similarities; NaN where a bag lacks a class."""
-    out = np.full((len(q), len(bags), n_codes), np.nan)
-    for b, (codes, context) in enumerate(bags):
-        found, best = _class_best(_similarities(q, context, kind), codes)
-        out[:, b, found] = best
-    return out.reshape(len(q), -1)
-
-
-def _score_batch(batch, bags, n_codes, kind):
-    q = _list_matrix(batch.column(1))
-    flat = np.concatenate(
-        [_bag_scores(q[a : a + BLOCK_ROWS], bags, n_codes, kind) for a in range(0, len(q), BLOCK_ROWS)]
-        or [np.zeros((0, len(bags) * n_codes))]
-    )
-    values = pa.array(flat.ravel(), from_pandas=True)
-    offsets = pa.array(np.arange(len(q) + 1, dtype=np.int32) * flat.shape[1])
-    return pa.ListArray.from_arrays(offsets, values)
-
-
-def fits_broadcast(rows, dims):
-    """Do that many vectors of that many doubles stay below the broadcast limit?"""
-    return rows * (dims + 2) * 8 <= BROADCAST_BYTES
-
-
-def bag_scores(queries, context, row, vec, code, n_codes, n_bags, dims, max_rows, kind="cosine"):
-    """(row, sims): best similarity of every query row to each class code in each bag.
-
-    ``sims`` is an array at position bag · n_codes + code, null where the bag lacks the class.
-    ``context`` has bag, the code (0..n_codes-1) and the vector, in at most ``max_rows`` rows.
-    While that many vectors fit the broadcast limit, they go to every task and queries stream
-    through without a shuffle. Beyond it, query blocks and bags meet by key, one bag at a time.
-    """
-    _check(kind)
-    ctx = context.select("bag", F.col(code).alias("_code"), F.col(vec).alias("_v"))
-    # Rows repeated by sampling with replacement add nothing to a maximum.
-    ctx = ctx.dropDuplicates(["bag", "_code", "_v"])
-    qry = queries.select(row, F.col(vec).alias("_v"))
-    row_type = qry.schema[row].dataType.simpleString()
-    if fits_broadcast(max_rows, dims):
-        frame = ctx.toPandas()
-        parts = {int(b): g for b, g in frame.groupby("bag")}
-        bags = [
-            (parts[b]["_code"].to_numpy(np.int64), _matrix(parts[b]["_v"])) for b in sorted(parts)
-        ]
-        shared = queries.sparkSession.sparkContext.broadcast(bags)
-
-        def stream(batches):
-            for batch in batches:
-                sims = _score_batch(batch, shared.value, n_codes, kind)
-                yield pa.RecordBatch.from_arrays([batch.column(0), sims], names=[row, "sims"])
-
-        return qry.mapInArrow(stream, f"`{row}` {row_type}, sims array<double>")
-    return _bag_scores_by_key(qry, ctx, row, row_type, n_codes, n_bags, kind)
-
-
-def _bag_scores_by_key(qry, ctx, row, row_type, n_codes, n_bags, kind, block_rows=20_000):
-    blocks = max(1, -(-qry.count() // block_rows))
-    spread = qry.withColumn("_block", F.pmod(F.xxhash64(row), F.lit(blocks)).cast("int"))
-    spread = spread.withColumn("_bag", F.explode(F.sequence(F.lit(0), F.lit(n_bags - 1))))
-    copies = ctx.withColumnRenamed("bag", "_bag").withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    schema = f"`{row}` {row_type}, _bag int, sims array<double>"
-
-    def meet(left, right):
-        left = left.select([row, "_v", "_bag"])
-        codes = right.column("_code").to_numpy().astype(np.int64)
-        context = _list_matrix(right.column("_v").combine_chunks())
-        outs = []
-        for batch in left.combine_chunks().to_batches() if len(codes) else []:
-            sims = _score_batch(batch, [(codes, context)], n_codes, kind)
-            outs.append(
-                pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sims], [row, "_bag", "sims"])
-            )
-        kinds = [left.schema.field(row).type, pa.int32(), pa.list_(pa.float64())]
-        return pa.Table.from_batches(outs, pa.schema(list(zip([row, "_bag", "sims"], kinds))))
-
-    met = spread.groupBy("_block", "_bag").cogroup(copies.groupBy("_block", "_bag"))
-    scored = met.applyInArrow(meet, schema)
-    parts = F.array_sort(F.collect_list(F.struct("_bag", "sims")))
-    return scored.groupBy(row).agg(F.flatten(F.transform(parts, lambda s: s["sims"])).alias("sims"))
-
-
 def score_hook(samples, keys, scorer, schema):
     """Run a user scorer on encoded samples: pandas frame of one (sample, bag, query chunk) in,
     scores out. Groups hold one context and one query chunk."""

@@ -9,26 +9,22 @@ from ..operators import encode as E
 from ..operators import sampling as S
 from ..operators import scores as O
 from ..operators import similarity as M
+from ..operators.search import bag_scores
 from ..sources.shared import stage
 from .encode_sample import encode
 from .prepare import SampleConfig, decide_columns
 
 
 def draw_context(context, bagging, m, seed, index="row_ord", table="predict"):
-    """The bags of one context table, written once: (bags, bound on rows, frame).
+    """The bags of one context table, written once: (bags, frame).
 
     At most bags × m rows, whatever the size of the table. Writing them cuts the lineage, so the
     table is read once however often the bags are used.
     """
     keyed = context.withColumn("_t", F.lit(table))
-    bags = K.MAX_AUTO_BAGS if bagging == "auto" else bagging
     drawn = S.make_bags(keyed, bagging, m, seed, ["_t"], index, max_groups=1).drop("_t")
     held = stage(drawn, "context")
-    return int(held.agg(F.max("bag")).first()[0]) + 1, bags * m, held
-
-
-def _dims(df, vec):
-    return df.select(F.max(F.size(vec))).first()[0]
+    return int(held.agg(F.max("bag")).first()[0] or 0) + 1, held
 
 
 def _at(sims, bag, code, n_codes):
@@ -41,17 +37,18 @@ def predict_proba(
 ):
     """(row, class, prob): class probabilities of every query row by similarity to its contexts.
 
-    ``context``: one table with a dense row index, vectors and labels. Queries stream through the
-    scorer; bag maximum, logit and softmax work on the arrays in place, so queries never shuffle.
+    ``context``: one table with a dense row index, vectors and labels. There is a row for each class of
+    that table, with probability 0 if no bag holds it. Queries stream through the scorer; bag
+    maximum, logit and softmax work on the arrays in place, so queries never shuffle. A query without
+    a vector has null probabilities.
     """
     labelled = context.where(F.col(label).isNotNull())
-    bags, limit, drawn = draw_context(labelled, bagging, m, seed, index)
-    # Classes no bag holds have probability 0; the classes met are at most as many as bag rows.
-    names = [r[0] for r in E.classes(drawn, label).collect()]
+    bags, drawn = draw_context(labelled, bagging, m, seed, index)
+    names = [r[0] for r in E.classes(labelled, label).collect()]  # the columns of the result, so to speak
     listed = F.array(*[F.lit(c) for c in names])
     coded = drawn.withColumn("_code", (F.array_position(listed, F.col(label)) - 1).cast("int"))
     n = len(names)
-    sims = M.bag_scores(queries, coded, row, vec, "_code", n, bags, _dims(drawn, vec), limit, kind)
+    sims = bag_scores(queries, coded, row, vec, "_code", n, bags, kind)
     over_bags = lambda k: F.array_max(
         F.transform(F.sequence(F.lit(0), F.lit(bags - 1)), lambda b: _at("sims", b, k, n))
     )
@@ -66,11 +63,14 @@ def predict_proba(
 def predict_class(context, queries, row, vec, label, **options):
     """(row, pred): the most probable class, the first one on a tie.
 
-    Rows of one query row are made next to each other, so the choice is a plain aggregation.
+    Rows of one query row are made next to each other, so the choice is a plain aggregation. A query
+    without a vector has no class.
     """
     probs = predict_proba(context, queries, row, vec, label, **options)
     order = F.struct((-F.col("prob")).alias("p"), F.col("class").alias("c"))
-    return probs.groupBy(row).agg(F.min_by("class", order).alias("pred"))
+    return probs.groupBy(row).agg(
+        F.min_by(F.when(F.col("prob").isNotNull(), F.col("class")), order).alias("pred")
+    )
 
 
 def predict_value(
@@ -79,10 +79,10 @@ def predict_value(
 ):
     """(row, pred): expected value over the quantile bins of each bag, averaged over the bags.
 
-    NaN targets are missing targets.
+    NaN targets are missing targets; a query without a vector has no value.
     """
     valued = context.withColumn("_y", F.col(target).cast("double")).where("_y is not null and not isnan(_y)")
-    bags, limit, drawn = draw_context(valued, bagging, m, seed, index)
+    bags, drawn = draw_context(valued, bagging, m, seed, index)
     marked = drawn.withColumn("is_query", F.lit(False))
     coded = E.quantile_bin(marked, ["_y"], ["bag"], bins, scale)
     coded = coded.withColumn("_code", F.col("_y__code.bin"))
@@ -90,7 +90,7 @@ def predict_value(
     inner = edges.select("bag", F.slice("edges", 2, bins).alias("q"))
     parts = F.array_sort(F.collect_list(F.struct("bag", "q")))
     quantiles = inner.agg(F.flatten(F.transform(parts, lambda s: s["q"]))).scalar()
-    sims = M.bag_scores(queries, coded, row, vec, "_code", bins, bags, _dims(drawn, vec), limit, kind)
+    sims = bag_scores(queries, coded, row, vec, "_code", bins, bags, kind)
     absent = F.lit(float("-inf"))
     codes = F.sequence(F.lit(0), F.lit(bins - 1))
 
@@ -107,7 +107,8 @@ def predict_value(
 
     values = F.transform(F.sequence(F.lit(0), F.lit(bags - 1)), bag_value)
     total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-    return sims.withColumn("_q", quantiles).select(row, (total / bags).alias("pred"))
+    pred = F.when(F.col("sims").isNotNull(), total / bags)
+    return sims.withColumn("_q", quantiles).select(row, pred.alias("pred"))
 
 
 def in_context_samples(
@@ -123,7 +124,7 @@ def in_context_samples(
     """
     config = config or SampleConfig()
     features = [c for c in context.columns if c not in (target, index)]
-    bags, _, drawn = draw_context(context, bagging, m, config.seed, index)
+    bags, drawn = draw_context(context, bagging, m, config.seed, index)
     drawn = drawn.withColumn("bag", F.col("bag").cast("bigint"))
     cut = S.table_query_chunks(queries.select(index, *features), chunk, index)
     last = cut.agg(F.max("query_chunk")).first()[0]

@@ -10,6 +10,7 @@ from tabloom.operators import metrics as M
 from tabloom.operators import scores as O
 from tabloom.operators import similarity as S
 from tabloom.operators import text as X
+from tabloom.operators import search as N
 from tabloom.plans import predict as P
 
 INF = float("inf")
@@ -108,22 +109,75 @@ def test_pair_metrics_match_brute_force(spark):
         assert share[k] == pytest.approx((t & (p > 0.5)).sum() / (t | (p > 0.5)).sum())
 
 
-def test_broadcast_and_keyed_scoring_agree(spark, monkeypatch):
-    _, df = vectors(spark, 80)
+def full_product(q, ctx, codes, n_codes, kind):
+    out = np.full((len(q), n_codes), np.nan)
+    unit = lambda m: m / np.sqrt(np.maximum((m * m).sum(axis=1, keepdims=True), 1e-12))
+    sims = unit(q) @ unit(ctx).T if kind == "cosine" else q @ ctx.T
+    for c in set(codes):
+        out[:, c] = sims[:, codes == c].max(axis=1)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["cosine", "dot"])
+def test_pivot_bounds_leave_out_blocks_and_change_nothing(kind):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 6))
+    ctx = np.concatenate([c + 0.02 * rng.normal(size=(60, 6)) for c in centres])
+    ctx[5] = ctx[77] = 0  # vectors of no length
+    codes = np.repeat(np.arange(40) % 4, 60)
+    q = np.concatenate([ctx[::37] + 0.01 * rng.normal(size=(len(ctx[::37]), 6)), rng.normal(size=(50, 6)), np.zeros((2, 6)), 5 * ctx[:40]])
+    blocks = []
+    for c in range(4):
+        rows = np.flatnonzero(codes == c)
+        for part in N.cut_blocks(ctx[rows], 32):
+            blocks.append((c, *N.bounds_of(ctx[rows][part]), ctx[rows][part]))
+    assert max(len(b[5]) for b in blocks) <= 32 and sum(len(b[5]) for b in blocks) == len(ctx)
+    best, products = N.best_by_class(q, blocks, 5, kind)
+    np.testing.assert_allclose(best, full_product(q, ctx, codes, 5, kind), atol=1e-12)
+    if kind == "cosine":
+        assert products < 0.6 * len(q) * len(ctx)
+    alone = N.best_by_class(q, [(0, *N.bounds_of(ctx), ctx)], 1, kind)[0]
+    np.testing.assert_allclose(alone[:, 0], full_product(q, ctx, np.zeros(len(ctx), int), 1, kind)[:, 0], atol=1e-12)
+
+
+@pytest.mark.parametrize("held", [0, 1 << 30])
+def test_bag_scores_on_gappy_input(spark, held):
+    frame, df = vectors(spark, 80)
     context = df.where("not is_query").withColumn("bag", F.col("sample").cast("int"))
-    queries = df.where("is_query")
-    args = (queries, context, "row", "vec", "code", 4, 2, 5, 1000)
-
-    def scores():
-        rows = S.bag_scores(*args).collect()
-        return {r["row"]: [np.nan if x is None else round(x, 9) for x in r.sims] for r in rows}
-
-    streamed = scores()
-    monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
-    keyed = scores()
-    assert streamed.keys() == keyed.keys() and len(streamed) > 10
-    for k in streamed:
-        np.testing.assert_array_equal(streamed[k], keyed[k])
+    context = context.unionByName(context.limit(3).withColumn("vec", F.lit(None).cast(context.schema["vec"].dataType)))
+    context = context.unionByName(context.limit(3).withColumn("code", F.lit(None).cast(context.schema["code"].dataType)))
+    queries = df.where("is_query").withColumn("vec", F.when(F.col("row") % 7 != 0, F.col("vec")))
+    got = {(r["row"]): r.sims for r in N.bag_scores(queries, context, "row", "vec", "code", 5, 3, most=8, held_bytes=held).collect()}
+    asked = frame[frame["is_query"]]
+    assert len(got) == len(set(asked["row"])) and any(v is None for v in got.values())
+    for row in asked.itertuples():
+        if row.row % 7 == 0:
+            assert got[row.row] is None
+            continue
+        want = []
+        for bag in range(3):
+            own = frame[~frame["is_query"] & (frame["sample"] == bag)]
+            ctx = np.stack(own["vec"]) if len(own) else np.zeros((0, 5))
+            want += list(full_product(np.array([row.vec]), ctx, own["code"].to_numpy(), 5, "cosine")[0])
+        np.testing.assert_allclose([np.nan if x is None else x for x in got[row.row]], want, atol=1e-9)
+
+
+def test_scores_are_made_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    rows = [(q, b, c, 0.25 + 0.5 * (c == 1)) for q in range(20) for b in range(2) for c in range(2)]
+    scores = spark.createDataFrame(rows, "q long, bag long, class long, score double").mapInArrow(made, "q long, bag long, class long, score double")
+    got = O.combine_bags_auto(scores, ["q"], 2).toPandas()
+    assert calls.value == len(rows)
+    assert got.groupby("class")["prob"].first().tolist() == [0.25, 0.75]  # they look like probabilities
+    one_off = scores.withColumn("score", F.when((F.col("q") == 3) & (F.col("bag") == 1), 5.0).otherwise(F.col("score")))
+    got = O.combine_bags_auto(one_off, ["q"], 2).toPandas()
+    assert got[(got["q"] == 0)]["prob"].round(6).tolist() != [0.25, 0.75] and got["prob"].sum() == pytest.approx(20)
 
 
 def test_dictionary(spark):
