@@ -24,7 +24,12 @@ def query(x):
     return F.when(F.col("is_query"), x)
 
 
-def over_sample(rows, keys, **aggregates):
+KEPT, GIVEN = "kept", "given"  # a step's statistics stay as columns, or are columns already
+
+
+def over_sample(rows, keys, state=None, **aggregates):
+    if state == GIVEN:
+        return rows
     w = W.partitionBy(*keys)
     return rows.select("*", *[a.over(w).alias(n) for n, a in aggregates.items()])
 
@@ -33,6 +38,11 @@ def _name(col, suffix):
     return f"{col}__{suffix}"
 
 
+def number(x):
+    """A double, NaN as null."""
+    return F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+
+
 def clip(x, lo, hi):
     """x within [lo, hi]; null stays null."""
     return F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi))
@@ -44,7 +54,7 @@ def clip(x, lo, hi):
 def clamp_inf(rows, columns, keys=SAMPLE):
     """Replace infinite values by the finite extreme ∓ 1, context and query sides apart.
 
-    A side without any finite value becomes null. Adds ``<col>__clamped``.
+    A side without any finite value becomes null, as does NaN. Adds ``<col>__clamped``.
     """
     aggs = {}
     for c in columns:
@@ -54,7 +64,7 @@ def clamp_inf(rows, columns, keys=SAMPLE):
             aggs[_name(c, f"{side}hi")] = F.max(pick(f))
     added = {}
     for c in columns:
-        x = F.col(f"`{c}`")
+        x = number(F.col(f"`{c}`"))
         lo, hi = (
             F.when(F.col("is_query"), F.col(_name(c, f"q{e}"))).otherwise(F.col(_name(c, f"c{e}")))
             for e in ("lo", "hi")
@@ -91,8 +101,8 @@ def _count_up_to(edges, x):
     return F.size(F.filter(edges, lambda e: e <= x))
 
 
-def code_bins(rows, columns, keys=SAMPLE, bins=K.NUM_BINS, scale=None):
-    """Adds ``<col>__code`` (floor, delta, bin) by inner edges; a missing value has floor 63.
+def code_bins(rows, columns, keys=SAMPLE, bins=K.NUM_BINS, scale=None, state=None):
+    """Adds ``<col>__code`` (floor, delta, bin) by inner edges; a missing value has floor 63. NaN is missing.
 
     The outer edges (minimum and maximum) cannot change the result: a value below the first inner
     edge is in the first bin with or without them, one above the last in the last. Edges and
@@ -100,8 +110,8 @@ def code_bins(rows, columns, keys=SAMPLE, bins=K.NUM_BINS, scale=None):
     """
     mids, places, codes = {}, {}, {}
     for c in columns:
-        mids[_name(c, "mid")] = bin_quantiles(F.col(f"`{c}`"), bins)
-        x, mid, i = F.col(f"`{c}`"), F.col(f"`{_name(c, 'mid')}`"), F.col(f"`{_name(c, 'at')}`")
+        mids[_name(c, "mid")] = bin_quantiles(number(F.col(f"`{c}`")), bins)
+        x, mid, i = number(F.col(f"`{c}`")), F.col(f"`{_name(c, 'mid')}`"), F.col(f"`{_name(c, 'at')}`")
         place = F.least(F.greatest(_count_up_to(mid, x), F.lit(1)), F.lit(bins - 1))
         places[_name(c, "at")] = F.when(x.isNotNull() & mid.isNotNull(), place)
         lower, upper = F.get(mid, i - 1), F.get(mid, i)
@@ -112,16 +122,16 @@ def code_bins(rows, columns, keys=SAMPLE, bins=K.NUM_BINS, scale=None):
             F.when(i.isNotNull(), delta).otherwise(F.lit(0.0)).alias("delta"),
             F.when(i.isNotNull(), F.rint(i - 1 + delta)).cast("int").alias("bin"),
         )
-    out = over_sample(rows, keys, **mids)
-    if scale is not None:
+    out = over_sample(rows, keys, state, **mids)
+    if scale is not None and state != GIVEN:
         out = out.withColumns({m: _rounded(F.col(f"`{m}`"), scale) for m in mids})
-    return out.withColumns(places).withColumns(codes).drop(*mids, *places)
+    return out.withColumns(places).withColumns(codes).drop(*places, *(() if state == KEPT else mids))
 
 
-def quantile_bin(rows, columns, keys=SAMPLE, bins=K.NUM_BINS, scale=None):
+def quantile_bin(rows, columns, keys=SAMPLE, bins=K.NUM_BINS, scale=None, state=None):
     """Adds ``<col>__code`` for each numeric column, infinite values drawn in first."""
     clamped = [_name(c, "clamped") for c in columns]
-    out = code_bins(clamp_inf(rows, columns, keys), clamped, keys, bins, scale)
+    out = code_bins(clamp_inf(rows, columns, keys), clamped, keys, bins, scale, state)
     named = {_name(k, "code"): _name(c, "code") for c, k in zip(columns, clamped)}
     return out.withColumnsRenamed(named).drop(*clamped)
 
@@ -139,14 +149,15 @@ def tame(x):
     return F.when(f.isNotNull(), bounded_number(x))
 
 
-def fill_mean(rows, columns, keys=SAMPLE):
+def fill_mean(rows, columns, keys=SAMPLE, state=None):
     """Missing feature values become the context mean of the unclipped values: ``<col>__filled``."""
     means = {_name(c, "fill"): F.avg(context(finite(F.col(f"`{c}`")))) for c in columns}
     filled = {
         _name(c, "filled"): F.coalesce(finite(F.col(f"`{c}`")), F.col(_name(c, "fill")))
         for c in columns
     }
-    return over_sample(rows, keys, **means).withColumns(filled).drop(*means)
+    out = over_sample(rows, keys, state, **means).withColumns(filled)
+    return out if state else out.drop(*means)
 
 
 def winsor_limits(x, mode="valid"):
@@ -154,7 +165,7 @@ def winsor_limits(x, mode="valid"):
     return F.percentile(context(x), list(K.WINSOR_LIMITS[mode]))
 
 
-def standardise(rows, columns, keys=SAMPLE, role="feature", mode="valid"):
+def standardise(rows, columns, keys=SAMPLE, role="feature", mode="valid", state=None):
     """Adds ``<col>__z``, ``<col>__mean``, ``<col>__std``.
 
     Winsorise by context limits, fill, centre and scale by context mean and population deviation.
@@ -162,11 +173,12 @@ def standardise(rows, columns, keys=SAMPLE, role="feature", mode="valid"):
     mean. No finite context value gives 0, mean 0, std 1. Without variance the divisor is 1.
     """
     if role == "feature":
-        out = fill_mean(rows, columns, keys)
+        out = fill_mean(rows, columns, keys, state)
         source = {c: tame(F.col(f"`{_name(c, 'filled')}`")) for c in columns}
     else:
         out, source = rows, {c: tame(F.col(f"`{c}`")) for c in columns}
-    out = over_sample(out, keys, **{_name(c, "lim"): winsor_limits(source[c], mode) for c in columns})
+    limits = {_name(c, "lim"): winsor_limits(source[c], mode) for c in columns}
+    out = over_sample(out, keys, state, **limits)
     clipped = {}
     for c in columns:
         lim = F.col(_name(c, "lim"))
@@ -184,7 +196,7 @@ def standardise(rows, columns, keys=SAMPLE, role="feature", mode="valid"):
         x = context(F.col(_name(c, "clip")))
         aggs[_name(c, "m")], aggs[_name(c, "s")] = F.avg(x), F.stddev_pop(x)
         aggs[_name(c, "k")] = F.count(x)
-    out, scaled = over_sample(out, keys, **aggs), {}
+    out, scaled = over_sample(out, keys, state, **aggs), {}
     for c in columns:
         m, s, k = (F.col(_name(c, e)) for e in ("m", "s", "k"))
         var = s * s
@@ -194,7 +206,7 @@ def standardise(rows, columns, keys=SAMPLE, role="feature", mode="valid"):
         scaled[_name(c, "mean")] = F.coalesce(m, F.lit(0.0))
         scaled[_name(c, "std")] = F.when(k > 0, s).otherwise(F.lit(1.0))
     out = out.withColumns(scaled)
-    extra = ["filled", "lim", "clip", "cm", "m", "s", "k"]
+    extra = ["filled", "clip", "cm"] + ([] if state == KEPT else ["fill", "lim", "m", "s", "k"])
     return out.drop(*[_name(c, e) for c in columns for e in extra])
 
 

@@ -20,6 +20,18 @@ def encode(
     context value are left out. Statistics of all columns share the partitioning the preparation made.
     ``label_vector`` gives the vector of a label's text; labels whose vectors collide are told apart.
     """
+    rows = coded(
+        prepared, kind, target, task, keys, regression, classification, mode, seed, bins, scale, label_vector
+    )
+    return lay_out(rows, kind, target, task, keys, regression)
+
+
+def coded(
+    prepared, kind, target, task, keys, regression, classification, mode, seed, bins, scale,
+    label_vector=None, state=None,
+):
+    """Rows with codes, target, label text and presence flags; ``state`` keeps the statistics of
+    features as columns."""
     features = [c for c, k in kind.items() if c != target]
     numbers = [c for c in features if kind[c] in (NUM, TIME)]
     rows = prepared
@@ -27,12 +39,23 @@ def encode(
     rows = rows.withColumn("_present", present)
     if numbers:
         if regression == "l2":
-            rows = E.standardise(rows, numbers, keys, "feature", mode)
+            rows = E.standardise(rows, numbers, keys, "feature", mode, state)
         else:
-            rows = E.quantile_bin(rows, numbers, keys, bins, scale)
+            rows = E.quantile_bin(rows, numbers, keys, bins, scale, state)
     rows = E.encode_target(
         rows, target, task, keys, regression, classification, seed, bins, scale, mode
     )
+    if label_vector is not None and task == "classification":
+        rows = E.label_texts(rows, target, label_vector, keys, out="_label")
+    else:
+        rows = rows.withColumn("_label", F.col(f"`{target}`").cast("string"))
+    return rows
+
+
+def lay_out(rows, kind, target, task, keys, regression):
+    """Cells of rows whose codes, target, label text, feature list and presence flags are columns."""
+    features = [c for c, k in kind.items() if c != target]
+    numbers = [c for c in features if kind[c] in (NUM, TIME)]
     hidden = F.lit(K.HIDDEN)
     cells = []
     for c in features:
@@ -43,10 +66,6 @@ def encode(
         text = F.coalesce(F.col(f"`{c}`"), F.lit(K.NULL_TEXT)) if kind[c] == TEXT else F.lit(None)
         cells.append(_cell(kind[c], text, code, z, codes, hidden))
     filler = _cell(TEXT, F.lit(K.PAD_VALUE), None, hidden, {p: F.lit(0) for p in "ymdw"}, hidden)
-    if label_vector is not None and task == "classification":
-        rows = E.label_texts(rows, target, label_vector, keys, out="_label")
-    else:
-        rows = rows.withColumn("_label", F.col(f"`{target}`").cast("string"))
     label = F.coalesce("_label", F.lit(K.NULL_TEXT))
     shown = label if task == "classification" else F.lit(None).cast("string")
     rows = rows.withColumn("target_text", F.when(~F.col("is_query"), shown))

@@ -8,10 +8,10 @@ from ..functions.vectors import clipped_logit, softmax_array
 from ..operators import encode as E
 from ..operators import sampling as S
 from ..operators import scores as O
-from ..operators import similarity as M
 from ..operators.search import bag_scores
 from ..sources.shared import stage
 from .encode_sample import encode
+from .fitted import encode_queries, fit_encoder, score_with_bags
 from .prepare import SampleConfig, decide_columns
 
 
@@ -146,21 +146,31 @@ def in_context_samples(
     return samples, bags, drawn
 
 
-def predict_with_scorer(context, queries, target, task, scorer, **options):
-    """Predictions from a user scorer over ``in_context_samples``.
+def predict_with_scorer(
+    context, queries, target, task, scorer, bagging=8, m=K.MAX_CONTEXT_ROWS, chunk=K.QUERY_CHUNK_ROWS,
+    config=None, regression="l2", classification="cross-entropy", index="row_ord", scale=None,
+):
+    """Predictions from a user scorer over bags that are encoded once and queries encoded by their state.
 
     ``scorer`` takes the pandas frame of one (bag, query chunk), encoded cells in long form. For
     classification it returns (row_ord, bag, label, score); the result is (row_ord, label, prob),
     bags combined as probabilities if all look so, else by their softmax. For regression it
     returns (row_ord, bag, pred) in scaled units; the result is (row_ord, pred) in target units.
     """
-    samples, bags, drawn = in_context_samples(context, queries, target, task, **options)
-    groups = ["bag", "query_chunk"]
+    config = config or SampleConfig()
+    features = [c for c in context.columns if c not in (target, index)]
+    bags, drawn = draw_context(context, bagging, m, config.seed, index)
+    drawn = drawn.withColumn("bag", F.col("bag").cast("bigint"))
+    held = drawn.select("bag", F.col("slot").cast("bigint").alias("row_ord"), *features, target)
+    cells, state, kind = fit_encoder(held, target, task, config, regression, classification, K.NUM_BINS, scale)
+    asked = encode_queries(
+        queries.select(index, *features), state, target, task, config, kind, index, chunk, regression, K.NUM_BINS
+    )
     if task == "classification":
         schema = "row_ord bigint, bag bigint, label string, score double"
-        scores = M.score_hook(samples, groups, scorer, schema)
+        scores = score_with_bags(cells, asked, scorer, schema)
         return O.combine_bags_auto(scores, ["row_ord"], bags, class_col="label")
-    preds = M.score_hook(samples, groups, scorer, "row_ord bigint, bag bigint, pred double")
+    preds = score_with_bags(cells, asked, scorer, "row_ord bigint, bag bigint, pred double")
     marked = drawn.withColumn("is_query", F.lit(False))
     stats = E.scale_stats(marked, [target], ["bag"], "target").drop("col")
     scaled = O.unscale(preds.join(F.broadcast(stats), "bag"))  # stats: one short row per bag

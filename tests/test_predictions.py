@@ -11,7 +11,9 @@ from tabloom.operators import scores as O
 from tabloom.operators import similarity as S
 from tabloom.operators import text as X
 from tabloom.operators import search as N
+from tabloom.plans import fitted as FT
 from tabloom.plans import predict as P
+from tabloom.plans.prepare import SampleConfig
 
 INF = float("inf")
 
@@ -306,3 +308,43 @@ def test_scorer_predictions(spark):
         context.select(*keep, "value"), queries.select(*keep), "value", "regression", nearest, bagging=3, m=40, chunk=20
     ).toPandas()
     assert values.set_index("row_ord")["pred"].sort_index().to_numpy() == pytest.approx(truth["value"].to_numpy(), abs=1e-6)
+
+
+CELLS = ["bag", "query_chunk", "row_ord", "pos", "is_query", "target", "target_delta", "target_text", "col_pos", "col", "mask",
+         "kind", "txt", "floor", "delta", "z", "y", "m", "d", "w"]
+
+
+@pytest.mark.parametrize("regression", ["l2", "bins"])
+@pytest.mark.parametrize("target, task", [("label", "classification"), ("value", "regression")])
+def test_fitted_state_equals_samples_encoded_whole(spark, regression, target, task):
+    frame, context, queries = tables(spark)
+    features = ["size", "shade", "fixed", "gap", "day"]
+    more = {
+        "gap": F.expr("case when row_ord % 3 = 0 then null when row_ord % 17 = 1 then double('inf') when row_ord % 17 = 2 then double('nan') else row_ord * 0.5 end"),
+        "day": F.expr("date_add(date'2020-01-01', cast(row_ord * 7 as int))"),
+    }
+    context, queries = context.withColumns(more).select("row_ord", *features, target), queries.withColumns(more).select("row_ord", *features)
+    options = dict(bagging=3, m=40, chunk=20, config=SampleConfig(max_columns=500, pad=7))
+    whole, _, _ = P.in_context_samples(context, queries, target, task, regression=regression, **options)
+    bags, drawn = P.draw_context(context, 3, 40, options["config"].seed)
+    held = drawn.select(F.col("bag").cast("bigint"), F.col("slot").cast("bigint").alias("row_ord"), *features, target)
+    cells, state, kind = FT.fit_encoder(held, target, task, options["config"], regression)
+    asked = FT.encode_queries(queries, state, target, task, options["config"], kind, chunk=20, regression=regression)
+    assert state.count() == bags == 3 and cells.select("bag", "row_ord").distinct().count() == 120
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2  # by query chunk, never by bag
+    chunks = [r[0] for r in whole.select("query_chunk").distinct().collect()]
+    copies = cells.withColumn("query_chunk", F.explode(F.array(*[F.lit(c) for c in chunks])))
+    fitted = copies.select(*CELLS).union(asked.select(*CELLS))
+
+    # Label codes are drawn by sample: by bag here, by bag and chunk there.
+    shown = [c for c in CELLS if task == "regression" or c != "target"]
+
+    def rows(df):
+        return sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.select(*shown).collect())
+
+    assert rows(fitted) == rows(whole)
+    if task == "classification":
+        known = cells.groupBy("bag", "target_text").agg(F.count_distinct("target").alias("n"), F.min("target").alias("code"))
+        codes = known.toPandas()
+        assert (codes["n"] == 1).all() and not codes.duplicated(["bag", "code"]).any()
