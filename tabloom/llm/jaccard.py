@@ -54,6 +54,7 @@ HOT = 65_536
 SPREAD = 1_024  # tasks at most that share the owners of one frequent shingle
 BLOCK = 256
 AT_ONCE = 1 << 17  # pairs of entries compared in one step
+COUNTED = 1 << 21  # pairs a task holds before it gives them out
 ENTRY = ("node", "g", "n", "most", "need", "mark")
 FILTER_BITS = 1 << 24
 MARK_BITS = 512
@@ -290,11 +291,23 @@ def _flat(column):
     return offsets - offsets[0], values
 
 
+def _counted(parts):
+    """Distinct pairs of (a, b, need) arrays, with how often each occurs and its least need."""
+    a, b, need = (np.concatenate(x) for x in zip(*parts))
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b, need = a[order], b[order], need[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    k = np.diff(np.append(first, len(a)))
+    return pa.RecordBatch.from_pydict({"a": a[first], "b": b[first], "k": k, "need": np.minimum.reduceat(need, first)})
+
+
 def comparer(percent, second):
     """Compares in each row the list of entries with the second list, whose columns end in ``second``:
-    (a, b, need) of the pairs that can link."""
+    (a, b, k, need) of the pairs that can link, the k tokens a pair shares in a task counted there."""
 
     def compare(batches):
+        held, size = [], 0
         for batch in batches:
             side = {}
             for x in ENTRY:
@@ -303,7 +316,6 @@ def comparer(percent, second):
             from1, from2 = side["node"][0], side["node", 2][0]
             len1, len2 = np.diff(from1), np.diff(from2)
             salt, salt2 = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("salt", "salt" + second))
-            parts = []
             for at, to in _runs_of_rows(len1.astype(np.int64) * len2, AT_ONCE):
                 # Entry i of the first list, repeated for each entry j of the second one.
                 row = np.repeat(np.arange(at, to), len1[at:to])
@@ -322,9 +334,13 @@ def comparer(percent, second):
                 both = v["n"][i] + w["n"][j]
                 ok = (both - apart) * (100 + percent) >= 2 * percent * both
                 i, j = i[ok], j[ok]
-                parts.append((v["node"][i], w["node"][j], np.minimum(v["need"][i], w["need"][j])))
-            a, b, need = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
-            yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), "need": need})
+                held.append((v["node"][i], w["node"][j], np.minimum(v["need"][i], w["need"][j])))
+                size += len(i)
+            if size > COUNTED:
+                yield _counted(held)
+                held, size = [], 0
+        if size:
+            yield _counted(held)
 
     return compare
 
@@ -347,9 +363,9 @@ def group_pairs(prefixes, groups, marks, percent=PERCENT, block=BLOCK):
     other = many.select("token", *[F.col(x).alias(f"{x}2") for x in ("salt", *ENTRY)])
     met = many.join(other, "token").filter("salt <= salt2").drop("token")
     alone = lists.filter("blocks = 1").select("salt", *ENTRY)
-    columns = "a long, b long, need long"
+    columns = "a long, b long, k long, need long"
     met = met.mapInArrow(comparer(percent, "2"), columns).union(alone.mapInArrow(comparer(percent, ""), columns))
-    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need"))
+    met = met.groupBy("a", "b").agg(F.sum("k").alias("k"), F.min("need").alias("need"))
     return met.filter("k >= need").select("a", "b")
 
 
