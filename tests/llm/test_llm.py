@@ -305,18 +305,66 @@ def test_water_filling_gives_shortages_to_siblings_first(spark):
     assert {r.source: r.budget for r in got} == {"d": 5, "a": 10, "b": 390, "c": 400}
 
 
-def test_sharding_is_plain_lpt_on_small_tables(spark, odd):
+def brute_shards(groups, shards):
+    """Plain longest processing time: {bytes: shards taken, sorted} and the loads."""
+    loads, taken = [0] * shards, {}
+    for size in sorted(groups, reverse=True):
+        s = loads.index(min(loads))
+        loads[s] += size
+        taken.setdefault(size, []).append(s)
+    return {k: sorted(v) for k, v in taken.items()}, loads
+
+
+def test_runs_of_equal_groups_are_dealt_as_one_by_one():
+    draw = random.Random(3)
+    for _ in range(400):
+        shards = draw.randint(1, 9)
+        groups = Counter(draw.choice([1, 2, 3, 7, 50, 1000]) for _ in range(draw.randint(0, 120)))
+        groups[draw.randint(1, 5000)] += draw.randint(1, 3)
+        heap, got = [(0, s) for s in range(shards)], {}
+        for size in sorted(groups, reverse=True):
+            turns = sharding.deal(size, groups[size], heap)
+            assert len(turns) <= shards and turns[0][0] == 0
+            ends = [t[0] for t in turns[1:]] + [groups[size]]
+            got[size] = [c[(i - a) % len(c)] for (a, c), z in zip(turns, ends) for i in range(a, z)]
+        want, loads = brute_shards(groups.elements(), shards)
+        assert {k: sorted(v) for k, v in got.items()} == want
+        assert [load for load, _ in sorted(heap, key=lambda x: x[1])] == loads
+
+
+@pytest.mark.parametrize("per_bucket", [1, 2_000])
+def test_sharding_against_plain_lpt(spark, odd, per_bucket):
     docs, rows = odd
-    got = sharding.shard_rows(docs).collect()
-    sizes = Counter()
-    for r in rows:
-        sizes[hashlib.md5((r[1] or "").encode()).hexdigest()] += len((r[1] or "").encode()) + 1
-    want = sharding.least_loaded(list(sizes.items()), 8)
-    assert len(got) == len(rows) and all(want[r.group_key] == r.shard for r in got)
+    rows = rows + [(100 + i, f"text {i % 40:02d}", None, None, None, None, None, None) for i in range(150)]
+    rows += [(None, "text 00", None, None, None, None, None, None)] * 60
+    docs = spark.createDataFrame(rows, docs.schema)
+    got = sharding.shard_rows(docs, per_bucket=per_bucket).collect()
+    text = [(r[1] or "").encode() for r in rows]
+    want = Counter((r[0], len(t) + 1, zlib.crc32(t), hashlib.md5(t).hexdigest()) for r, t in zip(rows, text))
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.group_key) for r in got) == want
+    size, shard = Counter(), {}
+    for r in got:
+        size[r.group_key] += r.size
+        assert shard.setdefault(r.group_key, r.shard) == r.shard
+    taken = {}
+    for k, n in size.items():
+        taken.setdefault(n, []).append(shard[k])
+    assert {k: sorted(v) for k, v in taken.items()} == brute_shards(size.values(), 8)[0]
     for s in range(8):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
-    packed = sharding.shard_rows(docs, items=4, per_bucket=1).collect()
-    assert all(len({r.shard for r in packed if r.group_key == g}) == 1 for g in sizes)
+
+
+@pytest.mark.skipif(not os.path.isdir(TINY), reason="the given tables are absent")
+def test_op9_law_and_loads(spark):
+    got = QUERIES["op9_lpt_sharding"](spark, TINY).collect()
+    size = Counter()
+    for (t,) in spark.read.parquet(f"{TINY}/documents.parquet").select("text").collect():
+        size[t or ""] += len((t or "").encode()) + 1
+    loads = Counter()
+    for r in got:
+        assert r.law == "bytes" and r.grown_shard is None
+        loads[r.shard] += r.size
+    assert [loads[s] for s in range(8)] == brute_shards(size.values(), 8)[1]
 
 
 def test_licences_of_odd_rows(spark, odd):
