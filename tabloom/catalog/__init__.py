@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from . import predictions, samples, scans  # noqa: F401  (importing registers the queries)
+from . import epochs, predictions, samples, scans  # noqa: F401  (importing registers the queries)
 from .registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -91,12 +91,13 @@ def _auto(plan, tables, size, config):
 def _fixed(plan, tables, config):
     by_path = G.infer_task(tables, config.keyword, by_path_only=True)
     by_path = by_path.withColumn("replica", F.lit(0).cast("bigint")).drop("path")
-    at, _ = _written(plan.readable().join(by_path.select("table_id", "task"), "table_id"))
-    for key, schema in plan.schemas():
+    at, placed = _written(plan.readable().join(by_path.select("table_id", "task"), "table_id"))
+    schemas = dict(plan.schemas())
+    # At most two tasks for each schema.
+    for g in sorted(placed.select("schema_key", "task").distinct().collect()):
+        schema = schemas[g.schema_key]
         column = G.resolve_target(schema.names, config.target)
-        for task in ("classification", "regression"):
-            which = {"schema_key": key, "task": task}
-            yield schema, at, which, by_path.where(F.col("task") == task), None, column, task
+        yield schema, at, g.asDict(), by_path.where(F.col("task") == g.task), None, column, g.task
 
 
 def _written(splits):
