@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import channels as CH
-
+from ..functions.draws import draw
 from ..operators import encode as E
 from ..operators import sampling as S
 from ..operators import text as X
+from ..plans import vectors as V
 from ..plans.encode_sample import encode
 from ..plans.prepare import SampleConfig, prepare
 from .registry import (
@@ -618,3 +619,44 @@ def label_disambiguation(spark, d):
     attached = X.attach_text(rows, dictionary)
     out = X.disambiguate_labels(attached, "event_type", "vec")
     return out.select("chunk_id", F.col("event_type").alias("label"), "ordinal", "collides", "label_text")
+
+
+# ---- vectors of samples -------------------------------------------------------------------
+
+SQL_LABELS = f"""select chunk_id, event_type, case when len(list_distinct(list(b) over (partition by chunk_id))) < count(*) over (partition by chunk_id)
+      then (row_number() over (partition by chunk_id order by first_row) - 1) || '_' || event_type else event_type end as txt
+    from (select chunk_id, event_type, min(row_ord) as first_row, any_value({sql_draw("token", "event_type", seed=0)} % 2) as b
+      from ({SQL_PREPARED}) group by 1, 2)"""
+
+
+def _vectors_check():
+    cells = f"select row_ord, col, txt, col as name from ({_encode_check()})"
+    labels = f"select s.row_ord, 'event_type' as col, case when not s.is_query then m.txt end as txt, null as name from ({SQL_PREPARED}) s join ({SQL_LABELS}) m using (chunk_id, event_type)"
+    both = f"{cells} union all {labels}"
+    sums = f"select txt, round(sum(v::float::double * (b + 1)), 6) as s from ({{}}) group by 1"
+    texts, names = (sums.format(sql_embed(f"select {c} from ({both}) where {c} is not null", c)) for c in ("txt", "name"))
+    return f"""select x.row_ord, x.col, case when x.txt is not null then coalesce(t.s, 0) end as txt_sum, n.s as name_sum
+        from ({both}) x left join ({texts}) t on x.txt = t.txt left join ({names}) n on x.name = n.txt"""
+
+
+# Label vectors have two values only, so that they collide; the told apart labels are embedded.
+@query("encode_sample_vectors", _vectors_check)
+def encode_sample_vectors(spark, d):
+    keys = ("table_id", "chunk_id")
+    rows, kind = prepare(raw_events(spark, d), "value", CONFIG)
+    cells = encode(rows, kind, "value", "regression", seed=SEED, scale=EDGE_SCALE)
+    rows, kind = prepare(raw_events(spark, d), "event_type", CONFIG)
+    collide = lambda c: F.array(draw(0, "token", c) % 2)
+    labelled = encode(rows, kind, "event_type", "classification", seed=SEED, scale=EDGE_SCALE, label_vector=collide)
+    labelled = labelled.where("col_pos = 7").withColumn("col", F.lit("event_type"))  # the last cell of a row is padding
+    shown = ("row_ord", "col", "txt", "target_text")
+    both = cells.select(*keys, *shown, F.lit(False).alias("label")).unionByName(
+        labelled.select(*keys, *shown, F.lit(True).alias("label"))
+    )
+    vectors = V.sample_vectors(both, keys)
+    total = lambda c: F.round(F.aggregate(F.transform(c, lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda acc, x: acc + x), 6)
+    out = V.inline_vectors(both, vectors, keys)
+    return out.select(
+        "row_ord", "col", total(F.when(F.col("label"), F.col("target_text_vec")).otherwise(F.col("txt_vec"))).alias("txt_sum"),
+        total(F.when(~F.col("label"), F.col("col_vec"))).alias("name_sum"),
+    )

@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
+from ..sources.shared import stage
 from .ranking import bounded
 
 DIMS = 64
@@ -84,20 +85,25 @@ def extend_dictionary(dictionary, texts, embed=hash_embed):
 
 
 def attach_text(cells, dictionary, txt="txt"):
-    """Vector of each cell's text, as ``vec``.
+    """Vector of each cell's text, as ``vec``."""
+    return attach_vectors(cells.withColumn("text_id", text_id(txt)), dictionary).drop("text_id")
 
-    Texts on more than 1/1000 of the cells are at most 1000; they are joined by broadcast and
-    their cells never shuffle. All other texts are joined by key, none of them hot.
+
+def attach_vectors(keyed, dictionary):
+    """Rows with a text_id and the vector of that text, as ``vec``.
+
+    Texts on more than 1/1000 of the rows are at most 1000; they are joined by broadcast and
+    their rows never shuffle. All other texts are joined by key, none of them hot. The rows are
+    counted by text once.
     """
-    keyed = cells.withColumn("text_id", text_id(txt))
-    counts = keyed.groupBy("text_id").agg(F.count(F.lit(1)).alias("_n"))
-    total = keyed.agg(F.count(F.lit(1))).scalar()
-    hot = counts.where(F.col("_n") * HOT_SHARE > total).select("text_id")
-    hot = bounded(hot, HOT_SHARE)
+    counts = stage(keyed.groupBy("text_id").agg(F.count(F.lit(1)).alias("_n")), "text-counts")
+    hot = counts.where(F.col("_n") * HOT_SHARE > counts.agg(F.sum("_n")).scalar())
+    hot = bounded(hot.where("text_id is not null").select("text_id"), HOT_SHARE)
     hot_vectors = F.broadcast(dictionary.join(hot, "text_id", "left_semi"))
     head = keyed.join(hot, "text_id", "left_semi").join(hot_vectors, "text_id", "left")
-    tail = keyed.join(hot, "text_id", "left_anti").join(dictionary, "text_id", "left")
-    return head.unionByName(tail).drop("text_id")
+    tail = keyed.join(hot, "text_id", "left_anti").where("text_id is not null").join(dictionary, "text_id", "left")
+    none = keyed.where("text_id is null").withColumn("vec", F.lit(None).cast(dictionary.schema["vec"].dataType))
+    return head.unionByName(tail).unionByName(none)
 
 
 def first_occurrence(rows, value, keys=("table_id", "chunk_id"), row="row_ord"):
