@@ -1,15 +1,18 @@
 """Licence scan by a positional index of rare licence words.
 
-Every licence word of a file is kept with its position. The file's rarest ones (fewest documents
-over the whole corpus) are looked up in the postings of the licence templates; two or more that
-stand at one relative position make the template a candidate, and a candidate counts once its
-mandatory key phrase stands word by word in the file. Fixed phrases give the base labels.
+Every licence word of a file is kept with its position. Of the words of each template that the file
+holds, the rarest ones (fewest documents over the whole corpus) are looked up in the template's postings.
+Three or more (all, if the template has fewer) that stand at one relative position make the template a
+candidate there, and the candidate counts once the template's mandatory key phrase stands word by word where that position puts
+it. A notice that stands in a file in full is always found: words are ranked per template, so that no
+other notice of the file displaces them. Fixed phrases give the base labels.
 
 The templates are a fixed list, so vocabulary, postings and phrases are bounded and broadcast; a
 file's words are never shuffled, only its licence words.
 
 Defined cases: a null text has no words; equal rows get equal results; no licence words give null
-positions, empty labels and score 0; an empty table gives no rows.
+positions, empty labels and score 0; an empty table gives no rows; a very long text may leave as many
+rows as it has licence words, ranked by distinct words only; extra columns are ignored.
 """
 
 from pyspark.sql import Window as W
@@ -27,32 +30,55 @@ BASE = {
 }
 # Notices of common licences with the phrase each must contain.
 TEMPLATES = {
-    "apache-2.0": ("licensed under the apache license version 2 0", "apache license version 2 0"),
+    "apache-2.0": (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+        "apache license version 2 0",
+    ),
     "bsd": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided",
+        "redistribution and use in source and binary forms with or without modification are permitted provided "
+        "that the following conditions are met",
         "binary forms",
     ),
     "cc-by-nc": ("licensed under cc by nc 4 0", "cc by nc"),
     "cc-by-sa": ("licensed under cc by sa 4 0", "cc by sa"),
     "cc-attribution": ("licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
     "gpl-3": ("licensed under the gnu general public license version 3", "public license version 3"),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose", "copy modify"),
+    "gpl-notice": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+        "license as published by the free software foundation",
+        "terms of the gnu general public license",
+    ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "copy modify",
+    ),
     "lgpl": ("terms of the gnu lesser general public license as published", "gnu lesser general public license"),
-    "mit-grant": ("permission is hereby granted free of charge to any person obtaining a copy", "hereby granted free"),
+    "mit-grant": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files the software to deal in the software without restriction",
+        "hereby granted free",
+    ),
     "mit-notice": ("released under the mit license", "mit license"),
     "mpl-2.0": ("subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     "reserved": ("all rights reserved", "rights reserved"),
     "unlicense": ("free and unencumbered software released into the public domain", "public domain"),
 }
-COMMON = set("a all and any are as by for in into is of or the this to under use with without".split())
-RARE_WORDS = 8
-MIN_SHARED = 2
+COMMON = set("a all and any are as by can for in into is it may not of or that the this to under use with without you".split())
+RARE_WORDS = 5
+MIN_SHARED = 3
+
+
+def key_offset(template):
+    """Where the key phrase of a template stands in it."""
+    text, key = (x.split() for x in TEMPLATES[template])
+    return next(i for i in range(len(text)) if text[i : i + len(key)] == key)
 
 
 def _phrases():
-    out = [("base", label, i, k, w, len(p.split())) for i, (p, label) in enumerate(BASE.items()) for k, w in enumerate(p.split())]
+    out = [("base", label, i, k, w, len(p.split()), 0) for i, (p, label) in enumerate(BASE.items()) for k, w in enumerate(p.split())]
     for i, (label, (_, key)) in enumerate(TEMPLATES.items()):
-        out += [("key", label, len(BASE) + i, k, w, len(key.split())) for k, w in enumerate(key.split())]
+        width, at = len(key.split()), key_offset(label)
+        out += [("key", label, len(BASE) + i, k, w, width, at) for k, w in enumerate(key.split())]
     return out
 
 
@@ -60,6 +86,11 @@ def _postings():
     return [(label, k, w) for label, (text, _) in TEMPLATES.items() for k, w in enumerate(text.split()) if w not in COMMON]
 
 
+def looked_up_words(rare_words=RARE_WORDS):
+    """{template: most words of it that are looked up}."""
+    return {t: min(rare_words, len({w for u, _, w in _postings() if u == t})) for t in TEMPLATES}
+
+
 VOCABULARY = sorted({p[4] for p in _phrases()} | {p[2] for p in _postings()})
 LOOKED_UP = sorted({p[2] for p in _postings()})
 
@@ -80,44 +111,50 @@ def scan_licences(docs, rare_words=RARE_WORDS, min_shared=MIN_SHARED):
     spark = docs.sparkSession
     files = stage(licence_words(docs), "licence-words")  # row numbers are read, not drawn, from here on
     hits = files.select("row", F.inline("hits"))
-    phrases = F.broadcast(spark.createDataFrame(_phrases(), "kind string, label string, phrase int, k int, word string, width int"))
-    postings = F.broadcast(spark.createDataFrame(_postings(), "template string, at int, word string"))
-
-    places = hits.join(phrases, "word").groupBy("row", "kind", "label", "phrase", "width", (F.col("pos") - F.col("k")).alias("start"))
-    places = places.agg(F.count(F.lit(1)).alias("n")).filter("n = width")
-    base, key = F.col("kind") == "base", F.col("kind") == "key"
-    phrased = places.groupBy("row").agg(
-        F.sum(base.cast("bigint")).alias("n_base"),
-        F.min(F.when(base, F.col("start"))).cast("bigint").alias("first_word"),
-        F.max(F.when(base, F.col("start"))).cast("bigint").alias("last_word"),
-        F.collect_set(F.when(base, F.col("label"))).alias("base_set"),
-        F.collect_set(F.when(key, F.col("label"))).alias("key_set"),
+    phrases = F.broadcast(
+        spark.createDataFrame(_phrases(), "kind string, label string, phrase int, k int, word string, width int, offset int")
+    )
+    postings = spark.createDataFrame(_postings(), "template string, at int, word string")
+
+    of = ("row", "kind", "label", "phrase", "width", "offset", (F.col("pos") - F.col("k")).alias("start"))
+    places = hits.join(phrases, "word").groupBy(*of).agg(F.count(F.lit(1)).alias("n")).filter("n = width")
+    base = places.filter("kind = 'base'").groupBy("row").agg(
+        F.count(F.lit(1)).alias("n_base"),
+        F.min("start").cast("bigint").alias("first_word"),
+        F.max("start").cast("bigint").alias("last_word"),
+        F.collect_set("label").alias("base_set"),
+    )
+    keys = places.filter("kind = 'key'").select(
+        "row", F.col("label").alias("template"), (F.col("start") - F.col("offset")).alias("shift")
     )
 
     looked_up = hits.filter(F.col("word").isin(LOOKED_UP))
-    spread = looked_up.select("row", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n_files"))  # at most the vocabulary
-    rarity = F.dense_rank().over(W.partitionBy("row").orderBy("n_files", "word"))
-    rare = looked_up.join(F.broadcast(spread), "word").withColumn("rarity", rarity).filter(F.col("rarity") <= rare_words)
-    votes = rare.join(postings, "word").groupBy("row", "template", (F.col("pos") - F.col("at")).alias("shift"))
-    votes = votes.agg(F.count_distinct("word").alias("shared")).filter(F.col("shared") >= min_shared)
-    voted = votes.groupBy("row", "template").agg(F.max("shared").alias("shared"))
-    voted = voted.groupBy("row").agg(F.collect_set(F.struct("template", "shared")).alias("voted"))
+    present = looked_up.select("row", "word").distinct()
+    spread = present.groupBy("word").agg(F.count(F.lit(1)).alias("n_files"))  # at most the vocabulary
+    rank = F.row_number().over(W.partitionBy("row", "template").orderBy("n_files", "word"))
+    rare = present.join(F.broadcast(spread), "word").join(F.broadcast(postings.select("template", "word").distinct()), "word")
+    rare = rare.withColumn("rank", rank).filter(F.col("rank") <= rare_words).select("row", "template", "word")
+    met = rare.join(looked_up, ["row", "word"]).join(F.broadcast(postings), ["template", "word"])
+    met = met.select("row", "template", (F.col("pos") - F.col("at")).alias("shift"), "word")
+    met = met.unionByName(keys.withColumn("word", F.lit(None).cast("string")))
+    # A null word stands for the key phrase; words are counted without it.
+    votes = met.groupBy("row", "template", "shift").agg(
+        F.count_distinct("word").alias("shared"), F.bool_or(F.col("word").isNull()).alias("keyed")
+    )
+    most = F.create_map(*[F.lit(x) for pair in looked_up_words(rare_words).items() for x in pair])
+    votes = votes.withColumn("most", F.element_at(most, F.col("template")))
+    votes = votes.filter(F.col("keyed") & (F.col("shared") >= F.least(F.lit(min_shared), F.col("most"))))
+    share = F.max(F.col("shared") / F.col("most"))
+    verified = votes.groupBy("row").agg(F.collect_set("template").alias("names"), share.alias("best"))
 
     none = F.array().cast("array<string>")
-    out = files.select("row", "doc_id", "n_words").join(phrased, "row", "left").join(voted, "row", "left")
-    out = out.withColumn(
-        "verified",
-        F.filter(F.coalesce("voted", F.array().cast("array<struct<template:string,shared:bigint>>")),
-                 lambda v: F.array_contains(F.coalesce("key_set", none), v.template)),
-    )
-    base_set = F.coalesce("base_set", none)
-    labels = F.array_union(base_set, F.transform("verified", lambda v: v.template))
-    best = F.coalesce(F.array_max(F.transform("verified", lambda v: v.shared)), F.lit(0))
+    out = files.select("row", "doc_id", "n_words").join(base, "row", "left").join(verified, "row", "left")
+    base_set, names = F.coalesce("base_set", none), F.coalesce("names", none)
     return out.select(
         "doc_id", "n_words",
         F.coalesce("n_base", F.lit(0)).cast("bigint").alias("n_base"), "first_word", "last_word",
         F.array_join(F.array_sort(base_set), ",").alias("base_labels"),
-        F.array_join(F.array_sort(labels), ",").alias("labels"),
-        F.when(F.size(base_set) > 0, F.lit(1.0)).otherwise(best / F.lit(float(rare_words))).alias("score"),
-        F.size("verified").cast("bigint").alias("n_templates"),
+        F.array_join(F.array_sort(F.array_union(base_set, names)), ",").alias("labels"),
+        F.when(F.size(base_set) > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        F.size(names).cast("bigint").alias("n_templates"),
     )

@@ -8,7 +8,7 @@ from .conversations import repair_reports
 from .decontaminate import mark_documents
 from .jaccard import jaccard_components
 from .langid import identify
-from .licenses import BASE, COMMON, TEMPLATES, scan_licences
+from .licenses import BASE, COMMON, TEMPLATES, key_offset, scan_licences
 from .mixing import Level, MixPlan, measure, mix
 from .periodic import find_runs
 from .pieces import encode_pieces
@@ -187,30 +187,31 @@ def _licence_sql():
     def values(rows):
         return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
-    phrases = [("base", label, p) for p, label in BASE.items()] + [("key", t, key) for t, (_, key) in TEMPLATES.items()]
+    phrases = [("base", label, p, 0) for p, label in BASE.items()]
+    phrases += [("key", t, key, key_offset(t)) for t, (_, key) in TEMPLATES.items()]
     postings = [(t, k, w) for t, (text, _) in TEMPLATES.items() for k, w in enumerate(text.split()) if w not in COMMON]
     return f"""
 with d as (select row_number() over () as rid, doc_id, {SQL_PLAIN_WORDS.format('text')} as w from documents),
 places as (select rid, unnest(w) as word, unnest(range(0, len(w))) as pos from d),
-phrase as (select kind, label, string_split(p, ' ') as q from (values {values(phrases)}) v(kind, label, p)),
-found as (select rid, kind, label, pos from places join phrase on word = q[1] join d using (rid)
+phrase as (select kind, label, string_split(p, ' ') as q, away from (values {values(phrases)}) v(kind, label, p, away)),
+found as (select rid, kind, label, pos, pos - away as shift from places join phrase on word = q[1] join d using (rid)
   where list_slice(w, pos + 1, pos + len(q)) = q),
 base as (select rid, count(*) as n_base, min(pos) as first_word, max(pos) as last_word,
   list(distinct label) as labels from found where kind = 'base' group by rid),
 post as (select * from (values {values(postings)}) v(template, spot, word)),
+size as (select template, least(5, count(distinct word)) as most from post group by template),
 hits as (select rid, word, pos from places where word in (select word from post)),
 spread as (select word, count(distinct rid) as n from hits group by word),
-rare as (select rid, word, pos from hits join spread using (word)
-  qualify dense_rank() over (partition by rid order by n, word) <= 8),
-votes as (select rid, template, pos - spot as shift, count(distinct word) as shared
-  from rare join post using (word) group by all having count(distinct word) >= 2),
-best as (select rid, template, max(shared) as shared from votes group by all),
-ok as (select rid, list(template) as names, max(shared) as shared, count(*) as n from best
-  where (rid, template) in (select rid, label from found where kind = 'key') group by rid)
+rare as (select rid, template, word, spot, pos from hits join spread using (word) join post using (word)
+  qualify dense_rank() over (partition by rid, template order by n, word) <= 5),
+votes as (select rid, template, pos - spot as shift, count(distinct word) as shared from rare group by all),
+best as (select rid, template, max(shared / most) as share from votes join size using (template)
+  where shared >= least(most, 3) and (rid, template, shift) in (select rid, label, shift from found where kind = 'key') group by all),
+ok as (select rid, list(template) as names, max(share) as share, count(*) as n from best group by rid)
 select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word,
   last_word::bigint as last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') as base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(names, [])))), ',') as labels,
-  case when n_base > 0 then 1.0 else coalesce(shared, 0) / 8.0 end::double as score, coalesce(n, 0)::bigint as n_templates
+  case when n_base > 0 then 1.0 else coalesce(share, 0) end::double as score, coalesce(n, 0)::bigint as n_templates
 from d left join base using (rid) left join ok using (rid)
 """
 

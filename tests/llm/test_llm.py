@@ -381,6 +381,25 @@ def test_licences_of_odd_rows(spark, odd):
     assert next(r for r in got if r.doc_id == 15).labels == "cc-by,gpl,mit,mit-notice"
 
 
+def test_every_notice_of_a_file_is_found_where_its_key_phrase_fits(spark):
+    notices = {t: text for t, (text, _) in licenses.TEMPLATES.items()}
+    filler = " some other words of the file "
+    rows = [(0, filler.join(notices.values()))]
+    rows += [(i + 1, f"Copyright 2020\n{filler}{text.title()}.{filler}") for i, text in enumerate(notices.values())]
+    # Words of a notice in another order, and its key phrase far from the rest.
+    rows += [(100, " ".join(reversed(notices["bsd"].split()))), (101, notices["bsd"].replace("binary forms", "other things") + filler + "binary forms")]
+    rows += [(200 + i, " ".join(random.Random(i).choices(licenses.VOCABULARY, k=3_000))) for i in range(3)]
+    got = {r.doc_id: r for r in licenses.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got[0].labels.split(",")) >= set(notices) and got[0].n_templates == len(notices)
+    for i, t in enumerate(notices):  # recall of whole notices, alone and in company
+        assert t in got[i + 1].labels.split(",") and got[i + 1].score == 1.0
+    assert got[100].labels == got[101].labels == "" and got[100].score == got[101].score == 0.0
+    for i in range(3):  # no template without its key phrase in place
+        w = next(text for d, text in rows if d == 200 + i).split()
+        held = {t for t, (_, k) in licenses.TEMPLATES.items() if any(w[j : j + len(k.split())] == k.split() for j in range(len(w)))}
+        assert set(got[200 + i].labels.split(",")) - set(got[200 + i].base_labels.split(",")) <= held
+
+
 def test_empty_tables(spark, odd):
     docs = odd[0].limit(0)
     items = spark.createDataFrame([], "item_id string, text string")
