@@ -11,6 +11,8 @@ from ..operators import text as X
 from ..plans import vectors as V
 from ..plans.encode_sample import encode
 from ..plans.prepare import SampleConfig, prepare
+from ..sources import dictionary as D
+from ..sources.shared import fresh_path
 from .registry import (
     SEED,
     big,
@@ -660,3 +662,24 @@ def encode_sample_vectors(spark, d):
         "row_ord", "col", total(F.when(F.col("label"), F.col("target_text_vec")).otherwise(F.col("txt_vec"))).alias("txt_sum"),
         total(F.when(~F.col("label"), F.col("col_vec"))).alias("name_sum"),
     )
+
+
+# ---- growing dictionary -------------------------------------------------------------------
+
+
+@query(
+    "dictionary_versions",
+    f"""select sha256(t.txt) as text_id, case when t.txt in (select text from conversations) then 'run1' else 'run2' end as version,
+        coalesce(round(sum(v::float::double * (b + 1)), 6), 0) as checksum
+        from (select distinct txt from ({SQL_TEXTS}) where txt is not null) t left join ({sql_embed(SQL_TEXTS, "txt")}) e on t.txt = e.txt group by t.txt""",
+)
+def dictionary_versions(spark, d):
+    """Three runs: the texts of one table, those of all tables, and the same again."""
+    path = fresh_path(spark, "dictionary")
+    first = X.distinct_texts(table(spark, d, "conversations").withColumnRenamed("text", "txt"))
+    every = X.distinct_texts(all_texts(spark, d))
+    for run, texts in (("run1", first), ("run2", every), ("run3", every)):
+        D.grow_dictionary(spark, path, texts, version=run)
+    weighted = F.transform("vec", lambda v, i: v.cast("double") * (i + 1))
+    total = F.aggregate(weighted, F.lit(0.0), lambda acc, x: acc + x)
+    return D.known_vectors(spark, path).select("text_id", "version", F.round(total, 6).alias("checksum"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import text as X
 from tabloom.plans import vectors as V
+from tabloom.sources import dictionary as D
 
 KEYS = ("table_id", "chunk_id")
 
@@ -67,3 +68,48 @@ def test_no_cells_and_no_texts(spark, cells):
     vectors = V.sample_vectors(bare, KEYS)
     assert vectors.count() == 0 and vectors.schema["vec"].dataType.simpleString() == "array<float>"
     assert V.inline_vectors(bare, vectors, KEYS).where("txt_vec is null and col_vec is null").count() == 4000
+
+
+def texts_of(spark, *texts):
+    return X.text_counts(spark.createDataFrame([(t,) for t in texts], "txt string"))
+
+
+def test_dictionary_grows_by_committed_versions(spark, tmp_path, monkeypatch):
+    path, calls = str(tmp_path / "dictionary"), []
+    assert D.known_vectors(spark, path).count() == 0
+    assert D.grow_dictionary(spark, path, texts_of(spark, "a", "bb", None, "", "a"), embedder(calls), "one") == 3
+    assert D.grow_dictionary(spark, path, texts_of(spark, "bb", "ccc"), embedder(calls), "two") == 1
+    assert D.grow_dictionary(spark, path, texts_of(spark, "a", "bb", "ccc"), embedder(calls)) == 0
+    assert D.grow_dictionary(spark, path, texts_of(spark, "dddd"), embedder(calls), "two") == 0  # committed already
+    assert sorted(calls) == ["", "a", "bb", "ccc"]
+
+    def dies(texts):
+        embedder(calls)(texts).write.parquet(f"{path}/vectors/version=three")
+        raise RuntimeError("killed")
+
+    with pytest.raises(RuntimeError):
+        D.grow_dictionary(spark, path, texts_of(spark, "dddd"), dies, "three")
+    assert D.known_vectors(spark, path).count() == 4  # what is not committed is not read
+    assert D.grow_dictionary(spark, path, texts_of(spark, "dddd", "e" * 5), embedder(calls), "three") == 2
+    got = D.known_vectors(spark, path).collect()
+    assert sorted((int(r.vec[0]), r.version) for r in got) == [(0, "one"), (1, "one"), (2, "one"), (3, "two"), (4, "three"), (5, "three")]
+    with pytest.raises(ValueError):
+        D.grow_dictionary(spark, path, texts_of(spark, "x"), version="a/b")
+
+
+def test_two_writers_leave_one_vector_for_each_text(spark, tmp_path):
+    path = str(tmp_path / "raced")
+
+    def other(texts):  # the second writer begins and ends while the first one embeds
+        if not D.versions(spark, path).count():
+            assert D.grow_dictionary(spark, path, texts_of(spark, "a", "bb"), embedder([]), "w2") == 2
+        return embedder([])(texts)
+
+    assert D.grow_dictionary(spark, path, texts_of(spark, "a", "ccc"), other, "w1") == 2
+    got = sorted((int(r.vec[0]), r.version) for r in D.known_vectors(spark, path).collect())
+    assert got == [(1, "w1"), (2, "w2"), (3, "w1")]
+    vectors = V.sample_vectors(
+        spark.createDataFrame([("t", 0, "a", "bb", None), ("t", 0, None, "ccc", None)], "table_id string, chunk_id long, txt string, col string, target_text string"),
+        KEYS, embedder([]), D.known_vectors(spark, path).select("text_id", "vec"),
+    )
+    assert sorted(int(r.vec[0]) for r in vectors.collect()) == [1, 2, 3]
