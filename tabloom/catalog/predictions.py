@@ -13,6 +13,7 @@ from ..operators import scores as O
 from ..operators import similarity as M
 from ..operators import text as X
 from ..plans import predict as PR
+from ..plans.prepare import SampleConfig
 from .registry import SEED, big, chunked, query, rounded, sql_chunked, sql_draw, table
 
 B = 125
@@ -490,3 +491,32 @@ def score_hook(spark, d):
     samples = split_vectors(spark, d).select(*KEYS, "vec_id", "embedding", "label", "is_query")
     out = M.score_hook(samples, KEYS, centroid_scorer, "vec_id bigint, code bigint, score double")
     return out.select("vec_id", "code", rounded("score"))
+
+
+PARTS = f"select p_partkey, p_brand, p_type, p_size::varchar as p_size, {sql_draw('holdout', 'p_partkey')} % 5 = 0 as is_query from part"
+PART_CONTEXT = f"select *, row_number() over (order by p_partkey) - 1 as idx from ({PARTS}) where not is_query"
+PART_BAGS = f"""select bag, c.* from (select bag, {sql_draw("bootstrap", "'predict'", "bag", "slot")} % (select count(*) from ({PART_CONTEXT})) as idx
+    from range({N_BAGS}) b(bag), range({M_ROWS}) s(slot)) join ({PART_CONTEXT}) c using (idx)"""
+PART_BEST = f"""select row_ord, bag, label, least(greatest(sim, 1e-6), 1 - 1e-6) as p from (
+    select q.row_ord, c.bag, c.p_brand as label, max(((q.p_type = c.p_type)::int + (q.p_size = c.p_size)::int) / 2) as sim
+    from (select *, row_number() over (order by p_partkey) - 1 as row_ord from ({PARTS}) where is_query) q, ({PART_BAGS}) c group by 1, 2, 3)"""
+
+
+@query(
+    "predict_table",
+    f"""select row_ord, label, round(sum(prob) / {N_BAGS}, 6) as prob from (
+        select *, exp(ln(p) - ln(1 - p)) / sum(exp(ln(p) - ln(1 - p))) over (partition by row_ord, bag) as prob from ({PART_BEST}))
+        group by 1, 2""",
+)
+def predict_table(spark, d):
+    """The brand of a fifth of the parts from type and size of the others, without any vectors."""
+    rows = table(spark, d, "part").select("p_partkey", "p_type", F.col("p_size").cast("string").alias("p_size"), "p_brand")
+    rows = rows.withColumn("table_id", F.lit("part"))
+    is_query = draw(SEED, "holdout", "p_partkey") % 5 == 0
+    context, queries = (S.dense_index(rows.where(x), ["table_id"], "p_partkey", "row_ord") for x in (~is_query, is_query))
+    shown = ("row_ord", "p_type", "p_size")
+    out = PR.predict_table(
+        context.select(*shown, "p_brand"), queries.select(*shown), "p_brand", "classification",
+        bagging=N_BAGS, m=M_ROWS, config=SampleConfig(seed=SEED),
+    )
+    return out.select(big("row_ord"), "label", rounded("prob"))

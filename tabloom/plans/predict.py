@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.vectors import clipped_logit, softmax_array
 from ..operators import encode as E
+from ..operators import neighbours as N
 from ..operators import sampling as S
 from ..operators import scores as O
 from ..operators.search import bag_scores
@@ -175,3 +176,16 @@ def predict_with_scorer(
     stats = E.scale_stats(marked, [target], ["bag"], "target").drop("col")
     scaled = O.unscale(preds.join(F.broadcast(stats), "bag"))  # stats: one short row per bag
     return O.combine_bags_reg(scaled, ["row_ord"])
+
+
+def predict_table(context, queries, target, task, **options):
+    """Predictions from plain feature columns by the built-in scorer; see ``predict_with_scorer``.
+
+    Classification: (row_ord, label, prob, pred), pred being the most probable label, the first one on
+    a tie. Regression: (row_ord, pred).
+    """
+    if task == "regression":
+        return predict_with_scorer(context, queries, target, task, N.value_scorer, **options)
+    probs = predict_with_scorer(context, queries, target, task, N.class_scorer, **options)
+    best = F.min_by("label", F.struct(-F.col("prob"), "label")).over(W.partitionBy("row_ord"))
+    return probs.withColumn("pred", best)

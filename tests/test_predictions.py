@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom.operators import neighbours
 from tabloom.functions import vectors as V
 from tabloom.operators import metrics as M
 from tabloom.operators import scores as O
@@ -310,6 +311,46 @@ def test_scorer_predictions(spark):
     assert values.set_index("row_ord")["pred"].sort_index().to_numpy() == pytest.approx(truth["value"].to_numpy(), abs=1e-6)
 
 
+def test_built_in_scorer_on_plain_columns(spark):
+    frame, context, queries = tables(spark)
+    truth = frame.iloc[120:].reset_index(drop=True)
+    keep = ["row_ord", "size", "shade", "fixed"]
+    for regression in ("l2", "bins"):
+        got = P.predict_table(
+            context.select(*keep, "label"), queries.select(*keep), "label", "classification", bagging=3, m=40, chunk=20, regression=regression
+        ).toPandas()
+        assert got.groupby("row_ord")["prob"].sum().to_numpy() == pytest.approx(1.0) and got["row_ord"].nunique() == 45
+        first = got.drop_duplicates("row_ord").set_index("row_ord")["pred"].sort_index()
+        assert first.tolist() == truth["label"].tolist()
+    values = P.predict_table(context.select(*keep, "value"), queries.select(*keep), "value", "regression", bagging=3, m=40, chunk=20).toPandas()
+    assert values.set_index("row_ord")["pred"].sort_index().to_numpy() == pytest.approx(truth["value"].to_numpy(), abs=1.5)
+
+
+def test_row_similarity_against_brute_force():
+    rng = np.random.default_rng(5)
+    rows = [(bool(i >= 30), i if i < 30 else i - 30, rng.choice(["a", "b", "None"]), float(rng.normal()), int(rng.integers(0, 20)), int(rng.integers(1, 13)), int(rng.integers(1, 29))) for i in range(50)]
+    cells = []
+    for is_query, row, text, z, y, m, d in rows:
+        base = dict(bag=0, is_query=is_query, row_ord=row, target=-100.0 if is_query else row * 0.5, target_text=None if is_query else text, floor=-100.0, delta=0.0, z=-100.0, y=0, m=0, d=0)
+        cells += [{**base, "col_pos": 0, "kind": "text", "txt": text}, {**base, "col_pos": 1, "kind": "num", "txt": None, "z": z},
+                  {**base, "col_pos": 2, "kind": "date", "txt": None, "y": y, "m": m, "d": d}, {**base, "col_pos": 3, "kind": "text", "txt": "__LOOM_PAD__"}]
+    cells = pd.DataFrame(cells).sample(frac=1, random_state=1)
+    queries, context, near = neighbours.row_similarity(cells)
+    assert queries.tolist() == list(range(20)) and context.tolist() == list(range(30))
+    when = lambda r: r[4] + r[5] / 12 + r[6] / 372
+    want = [[((q[2] == c[2]) + 1 / (1 + abs(q[3] - c[3])) + 1 / (1 + abs(when(q) - when(c)))) / 3 for c in rows[:30]] for q in rows[30:]]
+    assert near == pytest.approx(np.array(want))
+    values = neighbours.value_scorer(cells, nearest=3).set_index("row_ord")["pred"]
+    for q in range(20):
+        top = sorted(range(30), key=lambda c: (-near[q, c], c))[:3]
+        assert values[q] == pytest.approx(sum((near[q, c] + 1e-6) * c * 0.5 for c in top) / sum(near[q, c] + 1e-6 for c in top))
+    best = neighbours.class_scorer(cells)
+    for r in best.itertuples():
+        assert r.score == pytest.approx(np.log(p := max(near[r.row_ord, c] for c in range(30) if rows[c][2] == r.label)) - np.log1p(-p))
+    bare = cells[cells["is_query"]]
+    assert neighbours.class_scorer(bare).empty and neighbours.value_scorer(bare)["pred"].isna().all()
+
+
 CELLS = ["bag", "query_chunk", "row_ord", "pos", "is_query", "target", "target_delta", "target_text", "col_pos", "col", "mask",
          "kind", "txt", "floor", "delta", "z", "y", "m", "d", "w"]
 
