@@ -55,7 +55,7 @@ def corpus_samples(spark, root, config=None, encoding=None, shard=(0, 1), epoch=
     if config.auto_target and size < K.MIN_PROBE_ROWS:
         raise ValueError(f"chunks of {size} rows are below the probe minimum: no table can qualify")
     plan = plan or plan_shard(spark, root, shard)
-    tables = plan.splits.select("table_id", "path").distinct()
+    tables = manifest.one_path(plan.splits)
     chosen = _auto(plan, tables, size, config) if config.auto_target else _fixed(plan, tables, config)
     parts = [_encoded(plan, size, config, encoding, *c) for c in chosen]
     parts = [p for p in parts if p is not None]

@@ -1,5 +1,6 @@
 """Epochs written by stage and shard: repeated, interrupted and read back."""
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,8 +8,9 @@ from tabloom.plans import epochs
 from tabloom.plans.corpus import Encoding
 from tabloom.plans.epochs import Stage, commits, read_epochs, write_epochs
 from tabloom.plans.prepare import SampleConfig
+from tabloom.sources import manifest, scan
 
-from test_sources import root  # noqa: F401  (the small corpus)
+from test_sources import make_table, root  # noqa: F401  (the small corpus)
 
 CONFIG = dict(query_range=(20, 60), auto_target=False, target="grade", min_rows=100, max_rows=100, rows_per_chunk=100, shuffle=True)
 STAGES = [Stage("one", SampleConfig(**CONFIG), 2), Stage("two", SampleConfig(**CONFIG, keyword="corpus"), 1, Encoding(regression="l2"))]
@@ -74,3 +76,22 @@ def test_shard_counts_and_stage_names_must_agree(spark, root, tmp_path):  # noqa
         write_epochs(spark, root, path, STAGES[1:], (0, 3))
     with pytest.raises(ValueError, match="share a name"):
         write_epochs(spark, root, path, [STAGES[0], STAGES[0]])
+
+
+def test_a_folder_of_parts_is_one_table(spark, tmp_path):
+    table, made = make_table(430, 1), {}
+    for name in ("file", "parts"):
+        (tmp_path / name).mkdir()
+        pq.write_table(make_table(300, 2), tmp_path / name / "b.parquet")
+    pq.write_table(table, tmp_path / "file" / "a.parquet")
+    (tmp_path / "parts" / "a.parquet").mkdir()
+    for i, (start, stop) in enumerate(((0, 130), (130, 130), (130, 280), (280, 430))):
+        pq.write_table(table.slice(start, stop - start), tmp_path / "parts" / "a.parquet" / f"part-{i}.parquet", row_group_size=70)
+    for name in ("file", "parts"):
+        at, path = str(tmp_path / name), str(tmp_path / f"epochs-{name}")
+        write_epochs(spark, at, path, STAGES[:1], (0, 2))
+        tables = [tuple(r) for r in manifest.manifest(spark, at).select("table_id", "ord", "n_rows").orderBy("ord").collect()]
+        rows = scan.union_all([f.select("table_id", "row_ord", "id") for f in scan.corpus_tables(spark, at)])
+        assert rows.where("row_ord <> id").isEmpty() and rows.distinct().count() == 730
+        made[name] = tables, cells(spark, path)
+    assert made["parts"] == made["file"] and made["file"][0] == [("a", 0, 430), ("b", 1, 300)]
