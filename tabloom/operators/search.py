@@ -27,6 +27,7 @@ from ..sources.shared import fresh_path
 BLOCK = 256
 QUERY_ROWS = 1024
 HELD_BYTES = 256 << 20
+OUT_BYTES = 16 << 20  # similarities a task holds before it gives them out
 SLACK = 1e-9  # of a bound, against rounding
 BLOCKS = "bag int, code int, pivot array<double>, angle double, low double, high double, vectors array<double>"
 
@@ -159,7 +160,8 @@ def bag_scores(queries, context, row, vec, code, n_codes, bags, kind="cosine", m
 
     def stream(batches):
         blocks = Blocks(path, held_bytes)
-        for batch in batches:
+        most = max(1, OUT_BYTES // max(1, 8 * bags * n_codes))
+        for batch in (b.slice(at, most) for b in batches for at in range(0, len(b), most)):
             vectors = batch.column(1)
             given = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
             q = _matrix(vectors.take(pa.array(given)))

@@ -9,6 +9,7 @@ from ..operators import encode as E
 from ..operators import neighbours as N
 from ..operators import sampling as S
 from ..operators import scores as O
+from ..operators.ranking import bounded
 from ..operators.search import bag_scores
 from ..sources.shared import stage
 from .encode_sample import encode
@@ -32,6 +33,23 @@ def _at(sims, bag, code, n_codes):
     return F.get(sims, bag * n_codes + code)
 
 
+def _held_shares(context, queries, row, vec, label, bagging, m, seed, kind, index):
+    """(shares, names): for every query row the array ``_p`` of the probabilities of ``names``, the sorted
+    classes that some bag holds, of which there are at most bags × m."""
+    bags, drawn = draw_context(context, bagging, m, seed, index)
+    names = [r[0] for r in E.classes(drawn, label).collect()]
+    listed = F.array(*[F.lit(c) for c in names])
+    coded = drawn.withColumn("_code", (F.array_position(listed, F.col(label)) - 1).cast("int"))
+    n = len(names)
+    sims = bag_scores(queries, coded, row, vec, "_code", n, bags, kind)
+    over_bags = lambda k: F.array_max(
+        F.transform(F.sequence(F.lit(0), F.lit(bags - 1)), lambda b: _at("sims", b, k, n))
+    )
+    best = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), over_bags)
+    logits = F.transform("_best", lambda s: F.when(s.isNotNull(), clipped_logit(s)))
+    return sims.withColumn("_best", best).select(row, softmax_array(logits).alias("_p")), names
+
+
 def predict_proba(
     context, queries, row, vec, label, bagging=8, m=K.MAX_CONTEXT_ROWS, seed=42, kind="cosine",
     index="row_ord",
@@ -40,38 +58,36 @@ def predict_proba(
 
     ``context``: one table with a dense row index, vectors and labels. There is a row for each class of
     that table, with probability 0 if no bag holds it. Queries stream through the scorer; bag
-    maximum, logit and softmax work on the arrays in place, so queries never shuffle. A query without
-    a vector has null probabilities.
+    maximum, logit and softmax work on the arrays in place, so queries never shuffle. Arrays hold the
+    classes of the bags only; the others are joined to their rows, so no array grows with the table. A
+    query without a vector has null probabilities.
     """
     labelled = context.where(F.col(label).isNotNull())
-    bags, drawn = draw_context(labelled, bagging, m, seed, index)
-    names = [r[0] for r in E.classes(labelled, label).collect()]  # the columns of the result, so to speak
-    listed = F.array(*[F.lit(c) for c in names])
-    coded = drawn.withColumn("_code", (F.array_position(listed, F.col(label)) - 1).cast("int"))
-    n = len(names)
-    sims = bag_scores(queries, coded, row, vec, "_code", n, bags, kind)
-    over_bags = lambda k: F.array_max(
-        F.transform(F.sequence(F.lit(0), F.lit(bags - 1)), lambda b: _at("sims", b, k, n))
-    )
-    best = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), over_bags)
-    logits = F.transform("_best", lambda s: F.when(s.isNotNull(), clipped_logit(s)))
-    probs = sims.withColumn("_best", best).select(row, softmax_array(logits).alias("_p"))
-    return probs.select(row, F.posexplode("_p").alias("_i", "prob")).select(
-        row, F.get(listed, F.col("_i")).alias("class"), "prob"
-    )
+    probs, names = _held_shares(labelled, queries, row, vec, label, bagging, m, seed, kind, index)
+    place = F.array_position(F.array(*[F.lit(c) for c in names]), F.col("class")) - 1
+    listed = labelled.select(F.col(label).alias("class")).distinct().withColumn("_i", place.cast("int"))
+    listed = stage(listed, "classes")
+    absent = F.when(F.get("_p", F.lit(0)).isNotNull(), F.lit(0.0))
+    prob = F.when(F.col("_i") >= 0, F.get("_p", F.col("_i"))).otherwise(absent)
+    return probs.crossJoin(bounded(listed, listed.count())).select(row, "class", prob.alias("prob"))
 
 
-def predict_class(context, queries, row, vec, label, **options):
+def predict_class(
+    context, queries, row, vec, label, bagging=8, m=K.MAX_CONTEXT_ROWS, seed=42, kind="cosine",
+    index="row_ord",
+):
     """(row, pred): the most probable class, the first one on a tie.
 
-    Rows of one query row are made next to each other, so the choice is a plain aggregation. A query
-    without a vector has no class.
+    A class that no bag holds has probability 0 and is never the most probable one, so the choice is made
+    in the arrays of ``predict_proba`` and classes are not expanded. A query without a vector has no class.
     """
-    probs = predict_proba(context, queries, row, vec, label, **options)
-    order = F.struct((-F.col("prob")).alias("p"), F.col("class").alias("c"))
-    return probs.groupBy(row).agg(
-        F.min_by(F.when(F.col("prob").isNotNull(), F.col("class")), order).alias("pred")
-    )
+    labelled = context.where(F.col(label).isNotNull())
+    probs, names = _held_shares(labelled, queries, row, vec, label, bagging, m, seed, kind, index)
+    listed = F.array(*[F.lit(c) for c in names])
+    shares = F.transform("_p", lambda p, i: F.struct((-p).alias("p"), F.get(listed, i).alias("c")))
+    best = probs.select(row, F.array_min(shares).alias("_best"))
+    chosen = F.when(F.col("_best.p").isNotNull(), F.col("_best.c"))
+    return best.groupBy(row).agg(F.min_by(chosen, "_best").alias("pred"))
 
 
 def predict_value(

@@ -272,6 +272,37 @@ def test_vector_predictions(spark, bagging, m):
     assert np.corrcoef(values, truth["value"])[0, 1] > 0.9
 
 
+def test_arrays_hold_the_classes_of_the_bags_only(spark, monkeypatch):
+    """Most classes are in no bag: they have a row of probability 0, or null without a vector, and no place."""
+    _, context, queries = tables(spark)
+    context = context.withColumn("label", F.when(F.col("row_ord") % 2 == 1, F.concat(F.lit("rare"), "row_ord")).otherwise(F.col("label")))
+    queries = queries.withColumn("vec", F.when(F.col("row_ord") > 4, F.col("vec")))
+    seen, scored = [], P.bag_scores
+    monkeypatch.setattr(P, "bag_scores", lambda *a: seen.append(a[5:7]) or scored(*a))
+    probs = P.predict_proba(context, queries, "row_ord", "vec", "label", 2, 10, 7).toPandas()
+    preds = P.predict_class(context, queries, "row_ord", "vec", "label", bagging=2, m=10, seed=7).toPandas()
+    assert len(seen) == 2 and all(n <= 20 and bags == 2 for n, bags in seen)
+    assert len(probs) == 45 * 63 and not probs.duplicated(["row_ord", "class"]).any()
+    assert probs["prob"].isna().equals(probs["row_ord"] <= 4)
+    assert (probs["prob"] == 0).sum() >= 40 * (63 - 20)
+    given = probs[probs["row_ord"] > 4]
+    assert given.groupby("row_ord")["prob"].sum().to_numpy() == pytest.approx(1.0)
+    best = given.sort_values(["prob", "class"], ascending=[False, True]).groupby("row_ord")["class"].first()
+    got = preds.set_index("row_ord")["pred"].sort_index()
+    assert got[got.index > 4].tolist() == best.tolist() and got[got.index <= 4].isna().all() and len(got) == 45
+
+
+def test_similarities_are_given_out_in_parts(spark, monkeypatch):
+    _, df = vectors(spark, 80)
+    context = df.where("not is_query").withColumn("bag", F.col("sample").cast("int"))
+    queries = df.where("is_query").withColumn("vec", F.when(F.col("row") % 7 != 0, F.col("vec"))).coalesce(1)
+    ask = lambda: N.bag_scores(queries, context, "row", "vec", "code", 5, 3)
+    whole = sorted(map(str, ask().collect()))
+    monkeypatch.setattr(N, "OUT_BYTES", 1000)  # eight rows of fifteen numbers
+    sizes = ask().mapInArrow(lambda batches: batches, "row long, sims array<double>")
+    assert sorted(map(str, sizes.collect())) == whole
+
+
 def scorers():
     """Two user scorers, local functions so that they travel to the workers by value."""
 
