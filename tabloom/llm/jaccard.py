@@ -161,14 +161,16 @@ def shared_postings(prefixes):
     place = F.col("n").cast("bigint") * (1 << 31) + F.col("pos")
     # Frequent shingles are known to be shared: their owners spread over tasks and are counted later.
     often = F.col("pos") >= F.col("rare")
-    cut = cut.select("token", "node", place.alias("place"), often.alias("often"))
+    # In this order what differs between the neighbouring rows of a node, token and position, is side by
+    # side, so the shuffle compresses better.
+    cut = cut.select("node", "token", place.alias("place"), often.alias("often"))
     spread = F.when(F.col("often"), F.pmod("node", F.lit(SPREAD))).otherwise(-1)
 
     def owners(batches):
         parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
         if not parts:
             return
-        token, node, where, often = (np.concatenate(x) for x in zip(*parts))
+        node, token, where, often = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((node, token))
         token, node, where, often = token[order], node[order], where[order], often[order]
         new = np.concatenate(([True], token[1:] != token[:-1]))
@@ -358,7 +360,9 @@ def group_pairs(prefixes, groups, marks, percent=PERCENT, block=BLOCK):
     spans = stage(spans.filter("lo < hi").select("token", F.ceil(F.col("c") / block).alias("blocks")), "spans")
     salt = F.pmod(F.xxhash64("node"), "blocks").alias("salt")
     lists = placed.join(spans, "token").join(marks, "node").groupBy("token", "blocks", salt)
-    lists = stage(lists.agg(*[F.collect_list(x).alias(x) for x in ENTRY]), "lists")
+    # One list of structs on the way: six lists of some entries each would be mostly headers.
+    lists = lists.agg(F.collect_list(F.struct(*ENTRY)).alias("e"))
+    lists = stage(lists.select("token", "blocks", "salt", *[F.col("e")[x].alias(x) for x in ENTRY]), "lists")
     many = lists.filter("blocks > 1").drop("blocks")
     other = many.select("token", *[F.col(x).alias(f"{x}2") for x in ("salt", *ENTRY)])
     met = many.join(other, "token").filter("salt <= salt2").drop("token")
