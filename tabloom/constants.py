@@ -16,6 +16,7 @@ MAX_COLUMNS = 500
 MAX_CONTEXT_ROWS = 8192
 QUERY_CHUNK_ROWS = 1000
 MIN_PROBE_ROWS = 150
+TASK_ROWS = 100_000
 LONG_TEXT_CHARS = 100
 MAX_DISTINCT_RATIO = 0.2
 MAX_NULL_RATIO = 0.5

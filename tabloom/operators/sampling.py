@@ -14,6 +14,17 @@ from .ranking import bounded, bucketed_rank, draw_rank, first_by_draw
 SAMPLE = ("table_id", "chunk_id")
 
 
+def deal_samples(rows, keys=("chunk_id",), per_task=None):
+    """Whole samples to tasks of about ``per_task`` rows, however many rows there are.
+
+    Windows per sample need no exchange after it when ``keys`` are among theirs; name no column of one
+    value only. An exchange of theirs would go by packed bytes, few for rows that take much room when
+    sorted, and tasks of a union add up. The rows are counted first, which for a scan reads footers.
+    """
+    tasks = -(-rows.count() // (per_task or K.TASK_ROWS))
+    return rows.repartition(max(1, tasks), *keys)
+
+
 def order_rows(rows, seed, keys=SAMPLE, cap=None, shuffle=False, row="row_ord"):
     """1-based position of each row in its sample, as ``pos``, and the sample size, as ``n_rows``.
 

@@ -9,6 +9,8 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom import constants as K
+from tabloom.catalog import scans
 from tabloom.operators import profile as P
 from tabloom.plans.corpus import Encoding, corpus_samples
 from tabloom.plans.prepare import SampleConfig
@@ -136,6 +138,25 @@ def test_shards_of_an_epoch_do_not_replace_each_other(spark, tmp_path):
     assert sorted(r.shard for r in spark.read.parquet(path).collect()) == [0, 0, 1, 1]
 
 
+def test_sink_deals_whole_samples_to_small_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.range(20_000).selectExpr("id as event_id", "concat('t', id % 7) as event_type", "id % 97 / 7.0 as value")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(K, "TASK_ROWS", 2_000, raising=False)
+    write = sink.write_samples
+
+    def placed(samples, path):
+        return write(samples.withColumn("part", F.spark_partition_id()), path)
+
+    monkeypatch.setattr(sink, "write_samples", placed)
+    monkeypatch.setattr(scans, "fresh_path", lambda *_: str(tmp_path / "out"))
+    got = {(r.task, r.epoch): r.n_rows for r in scans.sample_sink(spark, str(tmp_path)).collect()}
+    assert got == {(t, e): 20_000 for t in ("classification", "regression") for e in (0, 1)}
+    out = spark.read.parquet(str(tmp_path / "out"))
+    parts = out.groupBy("task", "epoch", "chunk_id").agg(F.count_distinct("part").alias("n"))
+    assert {r.n for r in parts.collect()} == {1}
+    assert max(r["count"] for r in out.groupBy("part").count().collect()) <= 80_000 * 3 // 10
+
+
 def test_read_errors_are_retried_and_then_raised(tmp_path):
     calls, path = [], str(tmp_path / "whole")
     (tmp_path / "whole").write_bytes(b"bytes")
