@@ -21,6 +21,8 @@ Steps, all distributed:
    kept in bounded blocks per group, so no task holds a whole list. Before a pair becomes a row, two
    bounds must allow the link: the shingles nobody else has, and the parity marks of the sets (each
    shingle flips one of ``MARK_BITS`` bits; sets differ by at least the number of bits that differ).
+   Most of what is left are near misses, so the sets of a pair meet by 16 bits of each shingle first:
+   what these share, and how often they coincide within a set, bounds what the sets share.
 6. Components of all links, by star contraction.
 
 Sets are not stored for all documents: those of candidate pairs are computed again from the texts.
@@ -58,6 +60,7 @@ COUNTED = 1 << 21  # pairs a task holds before it gives them out
 ENTRY = ("node", "g", "n", "most", "need", "mark")
 FILTER_BITS = 1 << 24
 MARK_BITS = 512
+SHORT = 1 << 16
 
 
 def _sets(batch, n_words):
@@ -263,9 +266,28 @@ def node_sets(docs, pairs, nodes, n_words=WORDS, bits=FILTER_BITS):
     return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def verified(docs, pairs, nodes, percent=PERCENT, n_words=WORDS):
-    """Pairs (a, b) whose whole sets are similar enough."""
+def possible_pairs(pairs, sets, percent=PERCENT):
+    """Pairs (a, b) that can be similar enough by 16 bits of each token, a quarter of what the sets take.
+
+    A shared token is shared by its bits too; tokens of a set that have their bits in common are one
+    among these, and as many more may be shared, at most.
+    """
+    bits = F.transform("tokens", lambda t: (F.pmod(t, F.lit(SHORT)) - SHORT // 2).cast("smallint"))
+    short = sets.select("node", F.size("tokens").alias("n"), F.array_distinct(bits).alias("s"))
+    both = pairs.join(short.toDF("b", "nb", "sb"), "b").join(short.toDF("a", "na", "sa"), "a")
+    more = F.least(F.col("na") - F.size("sa"), F.col("nb") - F.size("sb"))
+    both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")) + more)
+    return both.filter(F.col("i") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+
+
+def verified(docs, pairs, nodes, percent=PERCENT, n_words=WORDS, misses=False):
+    """Pairs (a, b) whose whole sets are similar enough. ``misses``: most pairs are none, so they are
+    bounded before whole sets are sent."""
     sets = stage(node_sets(docs, pairs, nodes, n_words), "sets")
+    if misses:
+        pairs = stage(possible_pairs(pairs, sets, percent), "possible")
+        met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = sets.join(met, "node", "left_semi")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(right, "b").join(left, "a")
@@ -388,7 +410,7 @@ def _rooted(docs, percent, n_words):
     near = stage(verified(docs, promising, nodes, percent, n_words), "near")
     groups = components(near).withColumnRenamed("root", "g")
     pairs = stage(group_pairs(prefixes, groups, nodes.select("node", "mark"), percent), "pairs")
-    roots = components(near.union(verified(docs, pairs, nodes, percent, n_words)))
+    roots = components(near.union(verified(docs, pairs, nodes, percent, n_words, misses=True)))
     nodes = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     return rows, stage(nodes, "rooted")
 

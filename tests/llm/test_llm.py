@@ -450,3 +450,24 @@ def test_pipeline_against_brute_force(spark):
     assert set(mixed) <= clean and max(mixed.values()) <= 2
     assert Counter(r.doc_id for r in out.collect()) == mixed
     assert Counter(r.doc_id for r in P.run(spark, TINY).collect()) == mixed
+
+
+def test_pairs_bounded_by_short_tokens_keep_every_link(spark):
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(-(2**63), 2**63, n, dtype=np.int64).tolist()
+    common, own, low = draw(600), draw(2_400), draw(1)[0] >> 20
+    same_bits = [low + (i << 16) for i in range(400)]  # one value of 16 bits
+    sets = {
+        1: common + own[:100], 2: common + own[100:200],  # 600 of 800: just a link
+        3: common[:599] + own[200:301], 4: common + own[300:400],  # 598 or 599 of 801 and more
+        5: common + own[400:800], 6: common + own[800:1_200],  # far from one
+        7: same_bits, 8: same_bits[:300], 9: own[:400],
+    }
+    frame = spark.createDataFrame(list(sets.items()), "node long, tokens array<bigint>")
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    met = spark.createDataFrame(pairs, "a long, b long")
+    found = {(r.a, r.b) for r in jaccard.possible_pairs(met, frame).collect()}
+    share = {(a, b): len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) for a, b in pairs}
+    assert {p for p in pairs if share[p] >= 0.75} >= {(1, 2), (7, 8)}
+    assert found >= {p for p in pairs if share[p] >= 0.75}
+    assert not found & {p for p in pairs if share[p] < 0.72}
