@@ -69,6 +69,28 @@ def test_manifest_errors(spark, root, tmp_path):
         manifest.manifest(spark, str(tmp_path))
 
 
+def test_epoch_plan_lists_empty_tables_and_refuses_unreadable_ones(spark, root, tmp_path):
+    pq.write_table(make_table(430, 1), tmp_path / "a.parquet", row_group_size=90)
+    pq.write_table(make_table(0, 5), tmp_path / "empty.parquet")
+    (tmp_path / "parts.parquet").mkdir()
+    for i in range(2):
+        pq.write_table(make_table(7, i), tmp_path / "parts.parquet" / f"{i}.parquet")
+    assert sorted(map(tuple, manifest.table_rows(spark, str(tmp_path)).collect())) == [("a", 430), ("empty", 0), ("parts", 14)]
+    plan = scans.epoch_plan(spark, str(tmp_path)).groupBy("table_id").count()
+    assert sorted(map(tuple, plan.collect())) == [("a", 5), ("empty", 5), ("parts", 5)]
+    with pytest.raises(ValueError, match="junk.parquet"):
+        scans.epoch_plan(spark, root)
+    whole = (tmp_path / "a.parquet").read_bytes()
+    (tmp_path / "parts.parquet" / "1.parquet").write_bytes(whole[: len(whole) // 2])
+    with pytest.raises(ValueError, match="parts.parquet/1.parquet"):  # a part of a table is missed as well
+        manifest.table_rows(spark, str(tmp_path))
+    reasons = {r.table_id: (r.n_rows, r.reason is None) for r in manifest.manifest(spark, str(tmp_path)).collect()}
+    assert reasons == {"a": (430, True), "empty": (0, True), "parts": (7, False)}
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        manifest.table_rows(spark, str(tmp_path / "none"))
+
+
 def test_schema_groups_report_unreadable_files(spark, root):
     groups, unreadable = scan.schema_groups(spark, root)
     assert sorted(len(paths) for _, paths, _ in groups) == [1, 1, 3]  # the empty table has an untyped column
