@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.channels import finite
 from ..functions.draws import draw
-from .sampling import SAMPLE
+from .sampling import SAMPLE, whole
 
 HUGE = 1e100
 EPS = 2.220446049250313e-16  # double precision unit
@@ -27,11 +27,23 @@ def query(x):
 KEPT, GIVEN = "kept", "given"  # a step's statistics stay as columns, or are columns already
 
 
-def over_sample(rows, keys, state=None, **aggregates):
+def over_sample(rows, keys, state=None, more=None, **aggregates):
     if state == GIVEN:
         return rows
-    w = W.partitionBy(*keys)
-    return rows.select("*", *[a.over(w).alias(n) for n, a in aggregates.items()])
+    w = whole(keys)
+    more = [x.alias(n) for n, x in (more or {}).items()]
+    return rows.select("*", *[a.over(w).alias(n) for n, a in aggregates.items()], *more)
+
+
+def in_parts(rows, added):
+    """``rows.withColumns(added)``, compiled as many short methods.
+
+    A stage compiles its projections into one method, which for some ten columns passes the 8,000 bytes above
+    which the JVM never compiles it and interprets it instead. A higher-order function keeps a projection out of
+    such stages; here it hands ``is_query`` on.
+    """
+    handed = F.get(F.transform(F.array("is_query"), lambda v: v), F.lit(0))
+    return rows.withColumns({**added, "is_query": handed})
 
 
 def _name(col, suffix):
@@ -51,17 +63,20 @@ def clip(x, lo, hi):
 # ---- bounds and quantile bins -------------------------------------------------------------
 
 
-def clamp_inf(rows, columns, keys=SAMPLE):
+def clamp_inf(rows, columns, keys=SAMPLE, more=None):
     """Replace infinite values by the finite extreme ∓ 1, context and query sides apart.
 
-    A side without any finite value becomes null, as does NaN. Adds ``<col>__clamped``.
+    A side without any finite value becomes null, as does NaN. Adds ``<col>__clamped``, and ``more``:
+    window expressions over the same keys that share the pass.
     """
-    aggs = {}
+    aggs, sides = {}, {}
     for c in columns:
         f = finite(F.col(f"`{c}`"))
         for side, pick in (("c", context), ("q", query)):
-            aggs[_name(c, f"{side}lo")] = F.min(pick(f))
-            aggs[_name(c, f"{side}hi")] = F.max(pick(f))
+            own = _name(c, side)
+            sides[own] = pick(f)
+            aggs[_name(c, f"{side}lo")] = F.min(f"`{own}`")
+            aggs[_name(c, f"{side}hi")] = F.max(f"`{own}`")
     added = {}
     for c in columns:
         x = number(F.col(f"`{c}`"))
@@ -70,7 +85,8 @@ def clamp_inf(rows, columns, keys=SAMPLE):
             for e in ("lo", "hi")
         )
         added[_name(c, "clamped")] = F.when(lo.isNotNull(), clip(x, lo - 1, hi + 1))
-    return over_sample(rows, keys, **aggs).withColumns(added).drop(*aggs)
+    out = over_sample(in_parts(rows, sides), keys, more=more, **aggs)
+    return in_parts(out, added).drop(*aggs, *sides)
 
 
 def bin_quantiles(x, bins=K.NUM_BINS):
@@ -97,8 +113,10 @@ def sample_edges(rows, column, keys=SAMPLE, bins=K.NUM_BINS, scale=None):
     return stats.select(*keys, _rounded(F.concat("_lo", "_mid", "_hi"), scale).alias("edges"))
 
 
-def _count_up_to(edges, x):
-    return F.size(F.filter(edges, lambda e: e <= x))
+def _count_up_to(edges, n, x):
+    """How many of ``n`` edges are at most x; names of columns. Plain comparisons, for a lambda is interpreted."""
+    x = f"nanvl(cast(`{x}` as double), cast(null as double))"
+    return F.expr(" + ".join(f"if(get(`{edges}`, {i}) <= {x}, 1, 0)" for i in range(n)))
 
 
 def code_bins(rows, columns, keys=SAMPLE, bins=K.NUM_BINS, scale=None, state=None):
@@ -112,7 +130,7 @@ def code_bins(rows, columns, keys=SAMPLE, bins=K.NUM_BINS, scale=None, state=Non
     for c in columns:
         mids[_name(c, "mid")] = bin_quantiles(number(F.col(f"`{c}`")), bins)
         x, mid, i = number(F.col(f"`{c}`")), F.col(f"`{_name(c, 'mid')}`"), F.col(f"`{_name(c, 'at')}`")
-        place = F.least(F.greatest(_count_up_to(mid, x), F.lit(1)), F.lit(bins - 1))
+        place = F.least(F.greatest(_count_up_to(_name(c, "mid"), bins, c), F.lit(1)), F.lit(bins - 1))
         places[_name(c, "at")] = F.when(x.isNotNull() & mid.isNotNull(), place)
         lower, upper = F.get(mid, i - 1), F.get(mid, i)
         inside = (x - lower) / F.greatest(upper - lower, F.lit(1e-10))
@@ -125,13 +143,13 @@ def code_bins(rows, columns, keys=SAMPLE, bins=K.NUM_BINS, scale=None, state=Non
     out = over_sample(rows, keys, state, **mids)
     if scale is not None and state != GIVEN:
         out = out.withColumns({m: _rounded(F.col(f"`{m}`"), scale) for m in mids})
-    return out.withColumns(places).withColumns(codes).drop(*places, *(() if state == KEPT else mids))
+    return in_parts(in_parts(out, places), codes).drop(*places, *(() if state == KEPT else mids))
 
 
-def quantile_bin(rows, columns, keys=SAMPLE, bins=K.NUM_BINS, scale=None, state=None):
-    """Adds ``<col>__code`` for each numeric column, infinite values drawn in first."""
+def quantile_bin(rows, columns, keys=SAMPLE, bins=K.NUM_BINS, scale=None, state=None, more=None):
+    """Adds ``<col>__code`` for each numeric column, infinite values drawn in first, and ``more`` (``clamp_inf``)."""
     clamped = [_name(c, "clamped") for c in columns]
-    out = code_bins(clamp_inf(rows, columns, keys), clamped, keys, bins, scale, state)
+    out = code_bins(clamp_inf(rows, columns, keys, more), clamped, keys, bins, scale, state)
     named = {_name(k, "code"): _name(c, "code") for c, k in zip(columns, clamped)}
     return out.withColumnsRenamed(named).drop(*clamped)
 
@@ -156,7 +174,7 @@ def fill_mean(rows, columns, keys=SAMPLE, state=None):
         _name(c, "filled"): F.coalesce(finite(F.col(f"`{c}`")), F.col(_name(c, "fill")))
         for c in columns
     }
-    out = over_sample(rows, keys, state, **means).withColumns(filled)
+    out = in_parts(over_sample(rows, keys, state, **means), filled)
     return out if state else out.drop(*means)
 
 
@@ -183,7 +201,7 @@ def standardise(rows, columns, keys=SAMPLE, role="feature", mode="valid", state=
     for c in columns:
         lim = F.col(_name(c, "lim"))
         clipped[_name(c, "clip")] = clip(source[c], F.get(lim, F.lit(0)), F.get(lim, F.lit(1)))
-    out = out.withColumns(clipped)
+    out = in_parts(out, clipped)
     if role == "target":
         out = over_sample(
             out, keys, **{_name(c, "cm"): F.avg(context(F.col(_name(c, "clip")))) for c in columns}
@@ -205,7 +223,7 @@ def standardise(rows, columns, keys=SAMPLE, role="feature", mode="valid", state=
         scaled[_name(c, "z")] = F.coalesce(F.when(k > 0, z), F.lit(0.0))
         scaled[_name(c, "mean")] = F.coalesce(m, F.lit(0.0))
         scaled[_name(c, "std")] = F.when(k > 0, s).otherwise(F.lit(1.0))
-    out = out.withColumns(scaled)
+    out = in_parts(out, scaled)
     extra = ["filled", "clip", "cm"] + ([] if state == KEPT else ["fill", "lim", "m", "s", "k"])
     return out.drop(*[_name(c, e) for c in columns for e in extra])
 
@@ -268,8 +286,8 @@ def encode_labels(rows, mapping, label, keys=SAMPLE, clustering=False, out="code
 def code_labels(rows, label, keys=SAMPLE, seed=42, clustering=False, out="code"):
     """``encode_labels`` with the map of ``label_map``, as windows over the sample's own exchange: the rows
     are read once and nothing is joined."""
-    y, sample = F.col(f"`{label}`"), W.partitionBy(*keys)
-    seen = F.count(context(y)).over(W.partitionBy(*keys, y))
+    y, sample = F.col(f"`{label}`"), whole(keys)
+    seen = F.count(context(y)).over(whole(keys, y))
     rows = rows.withColumn("_seen", seen)
     # Labels without a context row rank last, so a rank counts kept labels only.
     place = F.dense_rank().over(sample.orderBy(F.desc("_seen"), y))
@@ -292,8 +310,8 @@ def label_texts(rows, label, vector, keys=SAMPLE, row="row_ord", out="label_text
     ``vector`` gives the vector of a text column. With fewer distinct vectors than labels in a sample, a
     text becomes ``ordinal_label``, the ordinal counting labels by first appearance. Null stays null.
     """
-    y, sample = F.col(f"`{label}`").cast("string"), W.partitionBy(*keys)
-    rows = rows.withColumn("_y", y).withColumn("_first", F.min(row).over(W.partitionBy(*keys, "_y")))
+    y, sample = F.col(f"`{label}`").cast("string"), whole(keys)
+    rows = rows.withColumn("_y", y).withColumn("_first", F.min(row).over(whole(keys, "_y")))
     # One row of each label stands for it, so a vector is made once a label.
     lead = F.col("_y").isNotNull() & (F.col(row) == F.col("_first"))
     rows = rows.withColumn("_v", F.when(lead, vector(F.col("_y"))))

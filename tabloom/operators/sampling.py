@@ -14,40 +14,48 @@ from .ranking import bounded, bucketed_rank, draw_rank, first_by_draw
 SAMPLE = ("table_id", "chunk_id")
 
 
-def deal_samples(rows, keys=("chunk_id",), per_task=None):
+def whole(keys, *more):
+    """A sample as a window. Its chunk is compared first: sorts tell most rows apart by eight bytes of their first
+    column, which the names of tables share."""
+    return W.partitionBy(*sorted(keys, key=lambda k: k != "chunk_id"), *more)
+
+
+def deal_samples(rows, keys=("chunk_id",), per_task=None, n_rows=None):
     """Whole samples to tasks of about ``per_task`` rows, however many rows there are.
 
     Windows per sample need no exchange after it when ``keys`` are among theirs; name no column of one
     value only. An exchange of theirs would go by packed bytes, few for rows that take much room when
-    sorted, and tasks of a union add up. The rows are counted first, which for a scan reads footers.
+    sorted, and tasks of a union add up. The rows are counted first, which for a scan reads footers, unless
+    ``n_rows`` gives their number.
     """
-    tasks = -(-rows.count() // (per_task or K.TASK_ROWS))
+    tasks = -(-(rows.count() if n_rows is None else n_rows) // (per_task or K.TASK_ROWS))
     return rows.repartition(max(1, tasks), *keys)
 
 
-def order_rows(rows, seed, keys=SAMPLE, cap=None, shuffle=False, row="row_ord"):
+def order_rows(rows, seed, keys=SAMPLE, cap=None, shuffle=False, row="row_ord", keep=None):
     """1-based position of each row in its sample, as ``pos``, and the sample size, as ``n_rows``.
 
     Larger samples are cut to ``cap`` random rows, which then come in random order; ``shuffle``
-    orders the rest at random as well. One exchange by sample key serves all of it.
+    orders the rest at random as well. One exchange by sample key serves all of it. ``keep``: whether a
+    sample stays, a window over its keys, which is counted in the same pass.
     """
-    whole = W.partitionBy(*keys)
-    pos = F.col(row)
+    sample = whole(keys)
+    pos, sizes = F.col(row), F.count(F.lit(1)).over(sample)
+    rows = rows.withColumns({"_n": sizes} | ({} if keep is None else {"_keep": keep}))
+    if keep is not None:
+        rows = rows.where("_keep").drop("_keep")
     if cap is not None:
         picked = draw(seed, "row_cap", *keys, row)
-        rows = rows.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn(
-            "_pos", F.when(F.col("_n") > cap, picked).otherwise(F.col(row))
-        )
-        rank = F.row_number().over(whole.orderBy("_pos", row))
-        rows = rows.withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_n", "_pos")
+        rows = rows.withColumn("_pos", F.when(F.col("_n") > cap, picked).otherwise(F.col(row)))
+        rank = F.row_number().over(sample.orderBy("_pos", row))
+        rows = rows.withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_pos")
+        rows = rows.withColumn("_n", F.least("_n", F.lit(int(cap)).cast("bigint")))
         pos = F.col("_rank")
     if shuffle:
         pos = draw(seed, "row_order", *keys, row)
     rows = rows.withColumn("_pos", pos)
-    out = rows.withColumn(
-        "pos", F.row_number().over(whole.orderBy("_pos", row)).cast("bigint")
-    ).withColumn("n_rows", F.count(F.lit(1)).over(whole))
-    return out.drop("_pos", "_rank")
+    out = rows.withColumn("pos", F.row_number().over(sample.orderBy("_pos", row)).cast("bigint"))
+    return out.withColumn("n_rows", F.col("_n")).drop("_pos", "_rank", "_n")
 
 
 def sample_rows(rows, n, seed, keys=SAMPLE, row="row_ord"):

@@ -9,7 +9,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Optional
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,7 +72,7 @@ def plan_shard(spark, root, shard=(0, 1)):
 
 
 def _auto(plan, tables, size, config):
-    """(schema, splits written, which of them, specs, their number, column, task) by chosen targets."""
+    """(schema, splits written, which of them, rows, specs, their number, column, task) by chosen targets."""
     cells = corpus.probe_cells(plan, size, config.min_rows, config.times)
     specs = G.build_specs(
         cells, tables, config.seed, K.MIN_PROBE_ROWS, config.max_features, config.keyword, config.balanced
@@ -83,9 +82,10 @@ def _auto(plan, tables, size, config):
     at, placed = _written(plan.readable().join(specs.select("table_id", "col", "task").distinct(), "table_id"))
     schemas = dict(plan.schemas())
     # A spec names a column of its schema, so there are at most as many groups as distinct columns.
-    for g in sorted(placed.select("schema_key", "col", "task").distinct().collect()):
-        own = (F.col("col") == g.col) & (F.col("task") == g.task)
-        yield schemas[g.schema_key], at, g.asDict(), specs.where(own), total, g.col, g.task
+    for *g, rows in _groups(placed, specs, "schema_key", "col", "task"):
+        key, column, task = g
+        own = (F.col("col") == column) & (F.col("task") == task)
+        yield schemas[key], at, {"schema_key": key, "col": column, "task": task}, rows, specs.where(own), total, column, task
 
 
 def _fixed(plan, tables, config):
@@ -94,10 +94,17 @@ def _fixed(plan, tables, config):
     at, placed = _written(plan.readable().join(by_path.select("table_id", "task"), "table_id"))
     schemas = dict(plan.schemas())
     # At most two tasks for each schema.
-    for g in sorted(placed.select("schema_key", "task").distinct().collect()):
-        schema = schemas[g.schema_key]
+    for key, task, rows in _groups(placed, by_path, "schema_key", "task"):
+        schema = schemas[key]
         column = G.resolve_target(schema.names, config.target)
-        yield schema, at, g.asDict(), by_path.where(F.col("task") == g.task), None, column, g.task
+        yield schema, at, {"schema_key": key, "task": task}, rows, by_path.where(F.col("task") == task), None, column, task
+
+
+def _groups(placed, specs, *by):
+    """Sorted groups of splits with the rows of their samples, by the footers; a split counts once a spec."""
+    replicas = specs.groupBy("table_id").agg(F.count(F.lit(1)).alias("_k"))
+    rows = F.sum(F.col("n_rows") * F.col("_k")).alias("rows")
+    return sorted(map(tuple, placed.join(replicas, "table_id").groupBy(*by).agg(rows).collect()))
 
 
 def _written(splits):
@@ -106,7 +113,7 @@ def _written(splits):
     return path, splits.sparkSession.read.schema(splits.schema).parquet(path)
 
 
-def _encoded(plan, size, config, encoding, schema, at, which, specs, n_specs, column, task):
+def _encoded(plan, size, config, encoding, schema, at, which, n_rows, specs, n_specs, column, task):
     """Samples of the tables whose spec names this schema, column and task."""
     kind = kinds(schema, config.times)[column]
     numeric = isinstance(schema[column].dataType, T.NumericType)
@@ -116,11 +123,12 @@ def _encoded(plan, size, config, encoding, schema, at, which, specs, n_specs, co
         return None
     picked = bounded(specs.select("table_id", "replica"), n_specs)
     rows = corpus.read_rows(plan, which, schema, size, config.min_rows, at=at).join(picked, "table_id")
+    # Any task of a branch compiles it anew when the code of many branches does not fit the cache: few tasks.
+    rows = S.deal_samples(rows, ("chunk_id", "table_id", "replica"), n_rows=n_rows)
     usable = valid_chunk(rows, KEYS)
     if config.skip_ineligible:
         usable = usable & _eligible(schema, column, kind, config)
-    rows = rows.withColumn("_usable", usable).where("_usable").drop("_usable")
-    prepared, kind = prepare(rows, column, config, KEYS)
+    prepared, kind = prepare(rows, column, config, KEYS, usable)
     if prepared is None:
         return None
     cells = encode(
@@ -138,7 +146,7 @@ def _encoded(plan, size, config, encoding, schema, at, which, specs, n_specs, co
 
 def _eligible(schema, column, kind, config):
     """Whether a chunk's target has values, and in fixed mode few nulls or few classes, as a window."""
-    chunk = W.partitionBy(*KEYS)
+    chunk = S.whole(KEYS)
     value = channel_value(column, schema[column].dataType, kind)
     present, rows = F.count(value).over(chunk), F.count(F.lit(1)).over(chunk)
     if config.auto_target:

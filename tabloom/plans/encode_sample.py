@@ -1,6 +1,5 @@
 """Sample encoding: prepared rows become encoded cells plus an encoded target."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -35,13 +34,13 @@ def coded(
     features = [c for c, k in kind.items() if c != target]
     numbers = [c for c in features if kind[c] in (NUM, TIME)]
     rows = prepared
-    present = F.array(*[F.count(E.context(F.col(f"`{c}`"))).over(W.partitionBy(*keys)) > 0 for c in features])
-    rows = rows.withColumn("_present", present)
-    if numbers:
-        if regression == "l2":
+    present = F.array(*[F.count(E.context(F.col(f"`{c}`"))).over(S.whole(keys)) > 0 for c in features])
+    if numbers and regression != "l2":
+        rows = E.quantile_bin(rows, numbers, keys, bins, scale, state, {"_present": present})
+    else:
+        rows = rows.withColumn("_present", present)
+        if numbers:
             rows = E.standardise(rows, numbers, keys, "feature", mode, state)
-        else:
-            rows = E.quantile_bin(rows, numbers, keys, bins, scale, state)
     rows = E.encode_target(
         rows, target, task, keys, regression, classification, seed, bins, scale, mode
     )
@@ -71,12 +70,13 @@ def lay_out(rows, kind, target, task, keys, regression):
     rows = rows.withColumn("target_text", F.when(~F.col("is_query"), shown))
     row = [*keys, "row_ord", "pos", "is_query", "target", "target_delta", "truth", "target_text"]
     row += ["fit_rows"] if "fit_rows" in rows.columns else []
-    rows = rows.select(*row, "columns", "_present", F.array(*cells, filler).alias("_cells"))
-    # Each row's cells are put in feature order on the spot; nothing is copied per cell.
+    # The list beside the cells is a higher-order function: see in_parts.
     listed = F.filter("columns", lambda c: (c["src"] < 0) | F.get("_present", c["src"]))
+    rows = rows.select(*row, listed.alias("_listed"), F.array(*cells, filler).alias("_cells"))
+    # Each row's cells are put in feature order on the spot; nothing is copied per cell.
     at = lambda c: F.when(c["src"] < 0, F.lit(len(features))).otherwise(c["src"])
     ordered = F.transform(
-        listed,
+        "_listed",
         lambda c: F.named_struct(
             F.lit("col_pos"), c["pos"], F.lit("col"), c["col"], F.lit("mask"), c["mask"],
             F.lit("_cell"), F.get("_cells", at(c)),

@@ -3,7 +3,6 @@
 from dataclasses import dataclass, field
 from typing import Optional, Union
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -41,8 +40,9 @@ class SampleConfig:
 BOOKKEEPING = ("pos", "n_rows", "fit_rows")
 
 
-def prepare(rows, target, config, keys=S.SAMPLE):
-    """Cap, order and split the rows of each sample and decide its feature columns.
+def prepare(rows, target, config, keys=S.SAMPLE, keep=None):
+    """Cap, order and split the rows of each sample and decide its feature columns; samples that are not to
+    ``keep`` go.
 
     Returns the frame and the channel of each column, or (None, None) for a table wider than the
     feature limit. One exchange by sample key serves all steps.
@@ -50,7 +50,7 @@ def prepare(rows, target, config, keys=S.SAMPLE):
     width = len(features_of(rows, exclude=(*keys, target)))
     if config.max_features is not None and width > config.max_features:
         return None, None
-    ordered = S.order_rows(rows, config.seed, keys, config.max_rows, config.shuffle)
+    ordered = S.order_rows(rows, config.seed, keys, config.max_rows, config.shuffle, keep=keep)
     split = S.split_context(ordered, config.seed, config.fit_size, config.query_range, keys)
     return decide_columns(split, target, config, keys)
 
@@ -67,7 +67,7 @@ def decide_columns(split, target, config, keys=S.SAMPLE):
         flags = F.array(*[F.col(f"`_keep_{i}`") for i in range(len(names))])
     kept = C.kept_features(flags, names, keys, config.max_columns, config.seed)
     once = F.when(F.col("pos") == 1, kept)
-    out = normal.withColumn("_kept", F.max(once).over(W.partitionBy(*keys)))
+    out = normal.withColumn("_kept", F.max(once).over(S.whole(keys)))
     if config.pad is not None:
         out = out.where(F.size("_kept") <= config.pad)
     out = out.drop(*[f"_keep_{i}" for i in range(len(names))])
@@ -76,7 +76,7 @@ def decide_columns(split, target, config, keys=S.SAMPLE):
 
 
 def _spread_flags(normal, names, keys):
-    w = W.partitionBy(*keys)
+    w = S.whole(keys)
     cols = []
     for i, n in enumerate(names):
         v = F.col(f"`{n}`")

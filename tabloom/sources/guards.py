@@ -1,9 +1,10 @@
 """Guards on source text."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.sampling import whole
+
 
 def _invalid(rows, keys):
     """Whether some string of a row is not valid UTF-8; None for rows without strings."""
@@ -19,7 +20,7 @@ def _invalid(rows, keys):
 def valid_chunk(rows, keys):
     """Whether all strings of a row's chunk are valid, as a window over the chunk's keys."""
     bad = _invalid(rows, keys)
-    return F.lit(True) if bad is None else ~F.max(bad).over(W.partitionBy(*keys))
+    return F.lit(True) if bad is None else ~F.max(bad).over(whole(keys))
 
 
 def drop_invalid_text(rows, keys=("table_id", "chunk_id")):

@@ -323,6 +323,24 @@ def test_corpus_samples_read_each_file_once(spark, root, monkeypatch):
     assert samples.count() and [r.table_id for r in plan.skipped().collect()] == ["junk"]
 
 
+def test_corpus_samples_run_in_few_tasks_of_short_methods(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "TASK_ROWS", 150)
+    table = make_table(400, 1, wide=True)
+    for i in range(4):
+        table = table.append_column(f"y{i}", pa.array(np.random.default_rng(i).random(400)))
+    pq.write_table(table, tmp_path / "a.parquet")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan has no code before it runs
+    try:
+        plan = corpus_samples(spark, str(tmp_path), CONFIG)._jdf.queryExecution().executedPlan()
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(plan))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes and max(sizes) <= 8_000  # above it the JVM interprets a method for ever
+    assert re.findall(r"hashpartitioning\(chunk_id[^)]*, (\d+)\), REPARTITION_BY_NUM", plan.toString()) == ["3"]  # by the rows
+
+
 def test_samples_of_broken_tables_keep_whole_chunks_and_bad_text_goes(spark, broken_root):
     config = SampleConfig(**{**CONFIG.__dict__, "balanced": False, "min_rows": 100, "max_rows": 100, "rows_per_chunk": 200, "query_range": (20, 60)})
     plan = corpus.plan_corpus(spark, broken_root)
